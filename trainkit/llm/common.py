@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +39,31 @@ def hash_share(id_col: str, seed: int) -> Column:
 
 def tasks_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def map_rows(
+    docs: DataFrame,
+    carry: list[Column],
+    inputs: list[Column],
+    compute: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]],
+    fields: str,
+) -> DataFrame:
+    """Columns `carry` as c0, c1, ... beside the `fields` that are computed from `inputs`, row by row, without a shuffle.
+
+    `compute()` is called once per task and returns the function from a batch's inputs to its results.  Carried
+    columns go by position, so their names can't clash with the results'.
+    """
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(carry)], *[x.alias(f"x{i}") for i, x in enumerate(inputs)])
+    kept, given = len(carry), len(inputs)
+    results = T.StructType.fromDDL(fields)
+    schema = T.StructType([*rows.schema.fields[:kept], *results.fields])
+    names = [f.name for f in schema.fields]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = compute()
+        for batch in batches:
+            if batch.num_rows:
+                made = judge([batch.column(kept + i) for i in range(given)])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(kept)], *made], names=names)
+
+    return rows.mapInArrow(apply, schema)

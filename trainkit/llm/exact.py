@@ -1,7 +1,8 @@
 """Exact duplicates by content sort.
 
-Normalised texts are dealt out by sampled splitters (`repartitionByRange`), sorted inside every
-partition by Spark's spilling sort, and neighbours are compared in full.  A run of equal texts keeps
+Normalised texts are dealt out by sampled splitters over their leading characters and digest
+(`repartitionByRange`), sorted inside every partition by Spark's spilling sort, and neighbours are compared
+in full.  A run of equal texts keeps
 its smallest identifier.  The identifier belongs to the range key, so one huge group of copies is
 spread over many partitions; the two outer runs of every partition are stitched together afterwards
 by their full text, of which there are at most two per partition.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from trainkit.llm.common import cut, tasks_for
 
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
+SPLITTER_CHARS = 24
 NO_ID = np.iinfo(np.int64).max
 
 _RUNS = "row_key long, id long, head boolean, sha string, run_min long, run_rows long, edge long, edge_text string"
@@ -103,9 +105,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     key = F.col(key_col) if key_col else F.monotonically_increasing_id()
     rows = docs.select(key.alias("row_key"), F.col(id_col).cast("long").alias("id"), normalise(F.col(text_col)).alias("norm"))
-    order = ["norm", F.col("id").asc_nulls_last(), "row_key"]
-    ordered = rows.repartitionByRange(tasks_for(spark), *order).sortWithinPartitions(*order)
-    runs = cut(ordered.select("row_key", "id", "norm", F.sha2("norm", 256).alias("sha")).mapInArrow(_compare_neighbours, _RUNS))
+    # Splitters hold the first characters and the digest of a text, not the text: they pass through the driver.
+    rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER_CHARS)).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    by_id = [F.col("id").asc_nulls_last(), F.col("row_key")]
+    ordered = rows.repartitionByRange(tasks_for(spark), "head", "digest", *by_id).sortWithinPartitions("head", "digest", "norm", *by_id)
+    runs = cut(ordered.select("row_key", "id", "norm", F.lower(F.hex("digest")).alias("sha")).mapInArrow(_compare_neighbours, _RUNS))
 
     # At most two edge runs per partition, stitched by their full texts; the lowest edge has the smallest id.
     edges = runs.where(F.col("edge").isNotNull() & F.col("head"))

@@ -4,11 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainkit.llm import exact, mixing, simhash
-from trainkit.llm.common import table
+from trainkit.llm import decontam, exact, html, langid, mixing, secrets, simhash, tokens, toxicity, urls
+from trainkit.llm.common import id_remainder, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    languages, prototypes = langid.learn_prototypes(docs.where(~held_out), "doc_id", "text", "lang")
+    judged = langid.identify(docs, languages, prototypes).withColumnRenamed("id", "doc_id")
+    return judged.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract_text(pages, [F.col("page_id"), F.col("url")]).select(F.col("c0").alias("page_id"), F.col("c1").alias("url"), "text", "n_chars")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, [F.col("page_id")]).select(F.col("c0").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host || path, '(^|[.\-])(casino|pills|bets|adult|spam|ads)([.\-]|$)[^/]*/') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,16 +66,77 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+TOKEN_LIMIT = 512
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), [F.col("doc_id")])
+    return found.select(
+        F.col("c0").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        decontam.items_digest().alias("items_sha256"),
+        decontam.contaminated().alias("contaminated"),
+    )
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS key
+  FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i) WHERE len(w) > 0),
+keys AS (SELECT DISTINCT n, key FROM windows),
+lengths AS (SELECT DISTINCT n FROM keys),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS key
+  FROM d, lengths, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n),
+hits AS (SELECT g.doc_id, g.n, g.i, g.key FROM grams g JOIN keys k ON g.n = k.n AND g.key = k.key),
+words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM hits),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT h.doc_id, CAST(w.item_id AS VARCHAR) AS item FROM hits h JOIN windows w ON h.n = w.n AND h.key = w.key) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items,
+  sha256(coalesce(items.list, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AND 20 * coalesce(hit.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), max_repeat=3.0)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    judged = toxicity.score_texts(docs, model, [F.col("doc_id")]).withColumnRenamed("c0", "doc_id")
+    return judged.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_html_text": op2_html_text,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
