@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
 
 
+def _add_up(parts: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"place": [parts["place"].iloc[0]], "total": [np.sum(np.stack(parts["total"].to_list()), axis=0)]})
+
+
 def learn_prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, seed: int = 42) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes), learnt from at most about `rows_per_language` rows of each language, drawn by id hash."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -143,8 +148,9 @@ def learn_prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["place", "total"])
 
     total = np.zeros((len(languages), DIMENSIONS))
-    for row in sample.mapInArrow(sums, "place long, total array<double>").toLocalIterator():
-        total[row["place"]] += np.array(row["total"])
+    partial = sample.mapInArrow(sums, "place long, total array<double>")
+    for row in partial.groupBy("place").applyInPandas(_add_up, "place long, total array<double>").collect():  # a row per language
+        total[row["place"]] = row["total"]
     known = np.abs(total).sum(axis=1) > 0
     return [x for x, k in zip(languages, known, strict=True) if k], unit(total[known]).astype(np.float32)
 

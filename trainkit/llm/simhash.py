@@ -1,65 +1,90 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints are made inside Arrow tasks.  Distinct fingerprints within `radius` bits share at least one
-of `radius + 1` bit blocks (pigeonhole), so each is dealt out once per block.  Inside a block key the
+Fingerprints are made inside Arrow tasks.  Distinct fingerprints are dealt out by keys that near ones share:
+for a small radius the radius + 1 bit blocks, one of which must be equal (pigeonhole, nothing is missed);
+for a given similarity of shingle sets, as many random bit masks as the wanted recall needs.  Inside a key the
 fingerprints are sorted by Gray rank and indexed bottom-up: every node keeps the bits on which all its
 members agree (mask and pattern).  A search adds up masked differences from the top and prunes whole nodes
-beyond the radius, and nodes that lie in the searcher's component already, so a dense group of near copies
-costs about one pass and yields a spanning forest, not its pairs.  The forests are joined to components by
-distributed star contraction.
+beyond the radius, and nodes that lie in the searcher's component already; so a dense group of near copies
+yields the nearest links that span it, not its pairs.  The links are joined to components by distributed
+star contraction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import cut, tasks_for
+from trainkit.llm.common import cut, map_rows, tasks_for
 
 BITS = 64
 FANOUT = 16
-SLICE = 4096  # rows of one index; larger block keys are searched slice by slice
+SLICE = 4096  # rows of one index; larger keys are searched slice by slice
 SHINGLES_AT_ONCE = 65_536
 SEED = 42
+RECALL = 0.98  # of pairs at the similarity asked for, that they share a key
+ROWS_PER_KEY = 64  # that the width of the masks aims at
+BROADCAST_NODES = 1_000_000  # long keys that may be broadcast
 
 
-def fingerprint(text: bytes | None, words_per_shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text; zero for a text without words."""
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of a hash (the finaliser of splitmix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: bytes | None, k: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of all k-word shingles of a UTF-8 text, in bounded arrays; of the whole text if it has fewer words."""
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if n == 0:
-        return 0
-    line, k = b" ".join(words), words_per_shingle
-    digest = xxhash.xxh64_intdigest
+        return
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= k:
-        return digest(line, SEED)
+        yield np.array([digest(line, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    starts, stops = begins[: n - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
+    starts, stops = np.concatenate([[0], ends[: n - k] + 1]).tolist(), ends[k - 1 :].tolist()
     for at in range(0, len(starts), SHINGLES_AT_ONCE):
         part = slice(at, at + SHINGLES_AT_ONCE)
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[part], stops[part], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[part], stops[part], strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes | None, words_per_shingle: int = 4, width: int = 1) -> np.ndarray:
+    """SimHash as `width` unsigned words of 64 bits; zero for a text without words. The first word uses XXH64 itself."""
+    ones, total = np.zeros((width, BITS), np.int64), 0
+    for hashes in shingle_hashes(text, words_per_shingle):
+        total += len(hashes)
+        for w in range(width):
+            ones[w] += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if w + 1 < width:
+                hashes = _remixed(hashes)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64) if total else np.zeros(width, np.uint64)
+
+
+def word_columns(width: int) -> list[str]:
+    return [f"f{w}" for w in range(width)]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int = 4, key_col: str | None = None) -> DataFrame:
-    """(row_key, id, fp): one row per document, fp as a signed long with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, width: int, key_col: str | None = None) -> DataFrame:
+    """(row_key, id, f0, f1, ...): one row per document; each word is a signed long with the fingerprint's bits."""
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words_per_shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["row_key", "id", "fp"])
+    def compute(inputs: list[pa.Array]) -> list[pa.Array]:
+        fps = np.array([fingerprint(t.as_py(), words_per_shingle, width) for t in inputs[0]], np.uint64).reshape(-1, width)
+        return [pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(width)]
 
     key = F.col(key_col) if key_col else F.monotonically_increasing_id()
-    rows = docs.select(key.alias("row_key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(compute, "row_key long, id long, fp long")
+    words = word_columns(width)
+    made = map_rows(docs, [key, F.col(id_col).cast("long")], [F.col(text_col).cast("binary")], lambda: compute, ", ".join(f"{w} long" for w in words))
+    return made.toDF("row_key", "id", *words)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -70,12 +95,17 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    counts = np.bitwise_count(x)
+    return counts[..., 0] if x.shape[-1] == 1 else counts.sum(axis=-1, dtype=np.int64)
+
+
 class GrayIndex:
-    """Hierarchical index over distinct fingerprints, in Gray order."""
+    """Hierarchical index over fingerprints (rows of 64-bit words), in Gray order."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        n = len(codes)
+        self.order = np.lexsort([gray_rank(codes[:, w]) for w in reversed(range(codes.shape[1]))])
+        self.codes = codes[self.order]
         ands, ors = self.codes, self.codes
         self.levels = []  # from the leaves' parents up: (mask, pattern) of runs of FANOUT nodes
         while len(ands) > FANOUT:
@@ -83,11 +113,10 @@ class GrayIndex:
             ands, ors = np.bitwise_and.reduceat(ands, at), np.bitwise_or.reduceat(ors, at)
             mask = ~(ands ^ ors)
             self.levels.append((mask, ands & mask))
-        self.labels = np.arange(n)
 
-    def _uniform(self) -> list[np.ndarray]:
+    def _uniform(self, labels: np.ndarray) -> list[np.ndarray]:
         """For each level, the component that holds all of a node's members, or -1."""
-        low = high = self.labels
+        low = high = labels
         out = []
         for _ in self.levels:
             at = np.arange(0, len(low), FANOUT)
@@ -95,31 +124,33 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out
 
-    def search(self, queries: np.ndarray, radius: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query position, code position) within the radius. `own`: components of the queries, whose nodes are skipped."""
+    def search(self, queries: np.ndarray, radius: int, own: np.ndarray | None = None, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query place, code place, distance) within the radius; with `own` and `labels`, only between different components."""
         top = len(self.levels)
         width = len(self.levels[-1][0]) if top else len(self.codes)
         q = np.repeat(np.arange(len(queries)), width)
         node = np.tile(np.arange(width), len(queries))
-        uniform = self._uniform() if own is not None else []
+        uniform = self._uniform(labels) if own is not None else []
         for level in range(top - 1, -1, -1):
-            mask, pattern = self.levels[level]
-            near = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node]) <= radius
             if own is not None:
-                near &= uniform[level][node] != own[q]
+                other = uniform[level][node] != own[q]
+                q, node = q[other], node[other]
+            mask, pattern = self.levels[level]
+            near = _bits((queries[q] ^ pattern[node]) & mask[node]) <= radius
             q, node = q[near], node[near]
             below = len(self.levels[level - 1][0]) if level else len(self.codes)
             q = np.repeat(q, FANOUT)
             node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             q, node = q[node < below], node[node < below]
         if own is not None:
-            other = self.labels[node] != own[q]
+            other = labels[node] != own[q]
             q, node = q[other], node[other]
-        near = np.bitwise_count(queries[q] ^ self.codes[node]) <= radius
-        return q[near], node[near]
+        distance = _bits(queries[q] ^ self.codes[node])
+        near = distance <= radius
+        return q[near], node[near], distance[near]
 
 
-def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Joins the components of a[i] and b[i] under the smaller label, by repeated minimum."""
     labels = labels.copy()
     while True:
@@ -136,143 +167,238 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def forest(codes: np.ndarray, radius: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (code, component's representative code) that connect what lies within the radius in `codes`."""
-    n = len(codes)
-    if n <= 4 * FANOUT:  # no more than a few leaves: compared at once
-        a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius, 1))
-        labels = _merge(np.arange(n), a, b) if len(a) else np.arange(n)
-        child = np.flatnonzero(labels != np.arange(n))
-        return codes[child], codes[labels[child]]
+def nearest_links(labels: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, chosen pairs): every component takes its nearest pair to another one, until the pairs join no more."""
+    chosen = []
+    at = np.arange(len(a))
+    while True:
+        at = at[labels[a[at]] != labels[b[at]]]
+        if not len(at):
+            return labels, np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
+        for side in (a, b):
+            order = np.lexsort((at, distance[at], labels[side[at]]))
+            of = labels[side[at[order]]]
+            chosen.append(at[order[np.concatenate([[True], of[1:] != of[:-1]])]])
+        picked = np.concatenate(chosen[-2:])
+        labels = merge(labels, a[picked], b[picked])
+
+
+def spanning_links(codes: np.ndarray, radii: list[int], asking: np.ndarray | None = None, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in `codes`, then `asking`) within the last radius that connect what all such pairs connect, near ones first.
+
+    With `asking`, only pairs between an asking row and a row of `codes` count.
+    """
+    n, m = len(codes), 0 if asking is None else len(asking)
+    labels = np.arange(n + m)
+    queries, base = (codes, 0) if asking is None else (asking, n)
+    if n * len(queries) <= (4 * FANOUT) ** 2:  # a few leaves: compared at once
+        distance = _bits(queries[:, None] ^ codes[None, :])
+        near = distance <= radii[-1]
+        q, c = np.nonzero(np.tril(near, -1) if asking is None else near)
+        _, chosen = nearest_links(labels, q + base, c, distance[q, c])
+        return q[chosen] + base, c[chosen]
     index = GrayIndex(codes)
-    for at in range(0, n, at_once):
-        part = slice(at, min(at + at_once, n))
-        q, c = index.search(index.codes[part], radius, index.labels[part])
-        index.labels = _merge(index.labels, q + at, c)
-    child = np.flatnonzero(index.labels != np.arange(n))
-    return index.codes[child], index.codes[index.labels[child]]
-
-
-def bridges(index_codes: np.ndarray, queries: np.ndarray, radius: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect `queries` with an index of other codes: a spanning forest of their links."""
-    index = GrayIndex(index_codes)
-    n = len(index_codes)
-    labels = np.arange(n + len(queries))
-    for at in range(0, len(queries), at_once):
-        part = np.arange(at, min(at + at_once, len(queries)))
-        index.labels = labels[:n]
-        q, c = index.search(queries[part], radius, labels[n + part])
-        labels = _merge(labels, n + at + q, c)
-    every = np.concatenate([index.codes, queries])
-    child = np.flatnonzero(labels != np.arange(len(labels)))
-    return every[child], every[labels[child]]
-
-
-def blocks_of(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bit blocks that make up the fingerprint."""
+    place = np.concatenate([index.order, np.arange(n, n + m)])
+    if asking is None:
+        queries = index.codes
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for radius in radii:
+        for at in range(0, len(queries), at_once):
+            part = np.arange(at, min(at + at_once, len(queries)))
+            q, c, distance = index.search(queries[part], radius, labels[base + part], labels[:n])
+            q = q + base + at
+            labels, chosen = nearest_links(labels, q, c, distance)
+            if len(chosen):
+                found.append((place[q[chosen]], place[c[chosen]]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    u, v = zip(*found, strict=True)
+    return np.concatenate(u), np.concatenate(v)
+
+
+def bit_blocks(radius: int) -> list[tuple[int, int]]:
+    """(shift, width) of radius + 1 bit blocks that make up one word."""
     bounds = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
     return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _link_keys(radius: int):
-    """Edges within each (block, value, part, role) run of a partition that is sorted by them."""
+def block_keys(radius: int) -> list[Column]:
+    """Keys of which fingerprints of one word within the radius share at least one."""
+    return [F.shiftrightunsigned("f0", s).bitwiseAND(F.lit((1 << w) - 1)) * 64 + i for i, (s, w) in enumerate(bit_blocks(radius))]
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets of that Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def mask_keys(n: int, width: int, similarity: float, recall: float = RECALL) -> list[Column]:
+    """Keys of random bit masks: wide enough for small groups, as many as the recall at that similarity needs."""
+    kept = max(10, math.ceil(math.log2(max(2, n) / ROWS_PER_KEY)) + 4)
+    shared = (1 - differing_share(similarity)) ** kept
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - shared))
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    keys = []
+    for t in range(tables):
+        masks = [0] * width
+        for bit in rng.choice(width * BITS, kept, replace=False).tolist():
+            masks[bit // BITS] |= 1 << (bit % BITS)
+        signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+        keys.append(F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed)]))
+    return keys
+
+
+def _link_keys(radii: list[int], width: int):
+    """Links within each (key, part) run of a partition that is sorted by them."""
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        key, part = table.column(0).to_numpy(), table.column(1).to_numpy()
-        query, fp = table.column(2).to_numpy(), table.column(3).to_numpy().view(np.uint64)
+        rows = pa.Table.from_batches(held)
+        key, part, query, node = (rows.column(i).to_numpy() for i in range(4))
+        codes = np.stack([rows.column(4 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-            if b - a > 1:
-                own, asks = fp[a:b][~query[a:b]], fp[a:b][query[a:b]]
-                if len(own) > 1:
-                    out.append(forest(own, radius))
-                if len(own) and len(asks):
-                    out.append(bridges(own, asks, radius))
-        if out:
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return edges
-
-
-def links(codes: DataFrame, radius: int, slice_rows: int = SLICE) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of distinct `fp` within `radius` bits.
-
-    A block key of more than `slice_rows` fingerprints is cut into slices by fingerprint hash: each slice is
-    indexed by its own task, and the members of earlier slices are sent to it as queries.
+        stops = np.append(starts[1:], len(key))
+        several = stops - starts > 1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
+            asks = np.flatnonzero(query[a:b])
+            if not len(asks):
+                u, v = spanning_links(codes[a:b], radii)
+                found.append((node[a + u], node[a + v]))
+                continue
+            own = np.flatnonzero(~query[a:b])
+            u, v = spanning_links(codes[a + own], radii)
+            found.append((node[a + own[u]], node[a + own[v]]))
+            both = np.concatenate([own, asks])
+            u, v = spanning_links(codes[a + own], radii, codes[a + asks])
+            found.append((node[a + both[u]], node[a + both[v]]))
+        if found:
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return find
+
+
+def links(codes: DataFrame, keys: list[Column], radii: list[int], width: int, slice_rows: int = SLICE) -> DataFrame:
+    """Links (u > v) between `node`s of distinct fingerprints that share a key and lie within the last radius: nearest ones that span.
+
+    A key of more than `slice_rows` rows is cut into slices by node hash: each slice is indexed by its own
+    task, and the rows of earlier slices are sent to it as queries.
     """
-    spark = codes.sparkSession
-    keyed = codes.select(
-        "fp",
-        F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) * 64 + i for i, (s, w) in enumerate(blocks_of(radius))])).alias("key"),
-    )
-    parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts"))
-    hot = parts.where("parts > 1")
-    tagged = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-    dealt = tagged.select(
-        "key", "fp", "own", F.explode(F.sequence("own", F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part")
-    ).select("key", "part", (F.col("part") != F.col("own")).alias("query"), "fp")
-    near = dealt.repartition(tasks_for(spark), "key", "part").sortWithinPartitions("key", "part")
-    return near.mapInArrow(_link_keys(radius), "u long, v long")
+    spark, words = codes.sparkSession, word_columns(width)
+    keyed = codes.select("node", *words, F.explode(F.array(*keys)).alias("key"))
+    hot = keyed.groupBy("key").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts")).where("parts > 1")
+    tagged = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
+    dealt = tagged.select("key", "node", *words, "own", F.explode(F.sequence("own", F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
+    rows = dealt.select("key", "part", (F.col("part") != F.col("own")).alias("query"), "node", *words)
+    near = rows.repartition(tasks_for(spark) * max(1, len(keys) // 8), "key", "part").sortWithinPartitions("key", "part")
+    return near.mapInArrow(_link_keys(radii, width), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest (unsigned order is not needed) node of its component.
+    """(node, root) of every node with an edge; root is the smallest node of its component.
 
     Alternates two contractions until nothing changes: every node's neighbours hang on its smallest one.
-    Only counts reach the driver.
+    Only a count and a checksum reach the driver.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)  # plain scans on both sides of the joins, so that Spark can split a hot node
+        # Plain scans on both sides of the joins, so that Spark can split a hot node.
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        now, before = cut(small), seen
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now, before = cut(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()), seen
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+
+
+def _best_row() -> Column:
+    return F.min_by(F.struct("id", "row_key"), F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key")))
+
+
+def distinct_codes(fps: DataFrame, width: int) -> DataFrame:
+    """(node, id, f0, ...): one row per distinct fingerprint; node is the row key of its first document."""
+    words = word_columns(width)
+    return fps.groupBy(*words).agg(_best_row().alias("b")).select(F.col("b.row_key").alias("node"), F.col("b.id").alias("id"), *words)
+
+
+def _with_groups(fps: DataFrame, codes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+    """`fps` with component_id and kept."""
+    words = word_columns(width)
+    linked = cut(codes.join(components(edges), "node").withColumn("row_key", F.col("node")))
+    heads = cut(linked.groupBy("root").agg(_best_row().alias("b")).select("root", F.col("b.id").alias("low"), F.col("b.row_key").alias("head")))
+    labels = linked.join(heads, "root").select("node", "low", "head")
+    known = codes.join(labels, "node", "left").select(
+        *words, F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("head", "node").alias("head")
     )
+    return fps.join(cut(known), words).withColumn("kept", F.col("row_key") == F.col("head"))
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4, key_col: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4, key_col: str | None = None, slice_rows: int = SLICE
 ) -> DataFrame:
-    """One row per input row: (row_key, id, fingerprint, component_id, kept).
+    """Groups by 64-bit fingerprints: (row_key, id, fingerprint, component_id, kept), one row per input row.
 
     `fingerprint`: 16 hex digits.  `component_id`: the smallest id reachable over links of `radius` bits or
     fewer; null when all ids of the component are null.  `kept` marks one row per component: the smallest
     id's, of rows that share it the one with the smallest row key.  A null or empty text has fingerprint zero
     and is linked like any other.  An empty table gives an empty result; other columns are left out.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle, key_col))
-    best = F.min_by(F.struct("id", "row_key"), F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key")))
-    codes = cut(fps.groupBy("fp").agg(best.alias("best")).select("fp", "best.id", "best.row_key"))
-    roots = components(links(codes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    linked = cut(codes.join(roots, "fp"))
-    heads = cut(linked.groupBy("root").agg(best.alias("best")).select("root", F.col("best.id").alias("low"), F.col("best.row_key").alias("head")))
-    labels = linked.join(heads, "root").select("fp", "low", "head")
-    known = codes.join(labels, "fp", "left").select(
-        "fp", F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("head", "row_key").alias("head")
-    )
-    return fps.join(cut(known), "fp").select(
-        "row_key", "id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("row_key") == F.col("head")).alias("kept")
-    )
+    fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle, 1, key_col))
+    codes = cut(distinct_codes(fps, 1))
+    grouped = _with_groups(fps, codes, links(codes, block_keys(radius), [radius], 1, slice_rows), 1)
+    return grouped.select("row_key", "id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "kept")
+
+
+def _shingle_sets(k: int):
+    def compute(inputs: list[pa.Array]) -> list[pa.Array]:
+        sets = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), k), np.empty(0, np.uint64)])).view(np.int64) for t in inputs[0]]
+        return [pa.array(sets, pa.list_(pa.int64()))]
+
+    return compute
+
+
+def confirmed(edges: DataFrame, docs: DataFrame, text_col: str, key_col: str, words_per_shingle: int, similarity: float) -> DataFrame:
+    """The edges whose documents' shingle sets have at least that Jaccard similarity (two empty sets: 1)."""
+    nodes = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    asked = F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
+    wanted = docs.select(F.col(key_col).alias("node"), F.col(text_col).cast("binary").alias("text")).join(asked, "node")
+    sets = cut(map_rows(wanted, [F.col("node")], [F.col("text")], lambda: _shingle_sets(words_per_shingle), "shingles array<long>").withColumnRenamed("c0", "node"))
+    pairs = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    every = F.size("a") + F.size("b") - both
+    return pairs.where(both >= similarity * every).select("u", "v")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, key_col: str | None = None, width: int = 2, recall: float = RECALL
+) -> DataFrame:
+    """Groups by similarity of shingle sets: (row_key, id, component_id, kept), one row per input row.
+
+    Fingerprints of `width` words and random bit masks propose the nearest links; a link holds if the Jaccard
+    similarity of the two shingle sets is at least `similarity`.  The radius lies two deviations beyond the
+    expected distance; a pair at that similarity is proposed with about the given recall, nearer pairs almost
+    surely.  Rows of one fingerprint share a group.  Nulls, ties, empty tables and ids: as `near_groups`.
+    """
+    key = key_col or "__row_key"
+    # Two passes need the same keys, so a table without keys of its own is written first.
+    keyed = docs if key_col else cut(docs.select(id_col, text_col, F.monotonically_increasing_id().alias(key)))
+    fps = cut(fingerprints(keyed, id_col, text_col, words_per_shingle, width, key))
+    codes = cut(distinct_codes(fps, width))
+    bits, share = width * BITS, differing_share(similarity)
+    radius = math.ceil(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    radii = [radius // 4, radius // 2, 3 * radius // 4, radius]
+    proposed = cut(links(codes, mask_keys(codes.count(), width, similarity, recall), radii, width))
+    edges = confirmed(proposed, keyed, text_col, key, words_per_shingle, similarity)
+    return _with_groups(fps, codes, edges, width).select("row_key", "id", "component_id", "kept")

@@ -102,7 +102,7 @@ def token_frequencies(urls: DataFrame, url_col: str, tokens: set[str]) -> Counte
     wanted = session.createDataFrame([(t,) for t in sorted(tokens)], "token string")
     seen = urls.select(F.explode(F.array_distinct(F.split(F.concat_ws("/", host_of(F.col(url_col)), path_of(F.col(url_col))), TOKEN_SPLIT))).alias("token"))
     counts = seen.groupBy("token").count().join(F.broadcast(wanted) if len(tokens) <= RULES_AT_ONCE else wanted, "token")
-    return Counter({r["token"]: r["count"] for r in counts.toLocalIterator()})
+    return Counter({r["token"]: r["count"] for r in counts.collect()})
 
 
 TOKEN_SPLIT = r"[./:?#&=\-_~+%,;@!]+"
