@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trainkit.plans import array_queries, frame_queries, quantize_queries, run_queries, scoring_queries, split_queries
+from trainkit.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "array_queries", "frame_queries", "quantize_queries", "run_queries", "scoring_queries", "split_queries"]
