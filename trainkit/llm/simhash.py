@@ -28,7 +28,7 @@ FANOUT = 16
 SLICE = 4096  # rows of one index; larger keys are searched slice by slice
 SHINGLES_AT_ONCE = 65_536
 SEED = 42
-RECALL = 0.98  # of pairs at the similarity asked for, that they share a key
+RECALL = 0.99  # of pairs at the similarity asked for, that they share a key
 ROWS_PER_KEY = 64  # that the width of the masks aims at
 BROADCAST_NODES = 1_000_000  # long keys that may be broadcast
 
@@ -387,7 +387,7 @@ def similar_groups(
     """Groups by similarity of shingle sets: (row_key, id, component_id, kept), one row per input row.
 
     Fingerprints of `width` words and random bit masks propose the nearest links; a link holds if the Jaccard
-    similarity of the two shingle sets is at least `similarity`.  The radius lies two deviations beyond the
+    similarity of the two shingle sets is at least `similarity`.  The radius lies three deviations beyond the
     expected distance; a pair at that similarity is proposed with about the given recall, nearer pairs almost
     surely.  Rows of one fingerprint share a group.  Nulls, ties, empty tables and ids: as `near_groups`.
     """
@@ -397,7 +397,7 @@ def similar_groups(
     fps = cut(fingerprints(keyed, id_col, text_col, words_per_shingle, width, key))
     codes = cut(distinct_codes(fps, width))
     bits, share = width * BITS, differing_share(similarity)
-    radius = math.ceil(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    radius = math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     radii = [radius // 4, radius // 2, 3 * radius // 4, radius]
     proposed = cut(links(codes, mask_keys(codes.count(), width, similarity, recall), radii, width))
     edges = confirmed(proposed, keyed, text_col, key, words_per_shingle, similarity)
