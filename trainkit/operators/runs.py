@@ -37,7 +37,7 @@ def best_so_far(df: DataFrame, keys: list[str], order: list[str], metric: str) -
 def step_times(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """`df` with seconds since the previous row and their mean so far; both null on a run's first row."""
     order = Window.partitionBy(*keys).orderBy(ts)
-    seconds = F.unix_micros(ts) / 1e6
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     out = df.withColumn("_s", seconds).withColumn("step_s", F.col("_s") - F.lag("_s").over(order))
     return out.withColumn("avg_step_s", F.avg("step_s").over(_so_far(keys, [ts]))).drop("_s")
 
@@ -46,7 +46,7 @@ def throughput_sma(df: DataFrame, keys: list[str], ts: str, n: str | None = None
     """`df` with seconds per item and their mean over the last `window` rows."""
     order = Window.partitionBy(*keys).orderBy(ts)
     items = F.col(n) if n else F.lit(1)
-    out = df.withColumn("_s", F.unix_micros(ts) / 1e6)
+    out = df.withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
     gap = F.col("_s") - F.lag("_s").over(order)
     out = out.withColumn("item_s", F.when(items > 0, gap / items))
     return out.withColumn("sma_s", F.avg("item_s").over(order.rowsBetween(1 - window, 0))).drop("_s")
@@ -59,8 +59,8 @@ def progress_eta(df: DataFrame, keys: list[str], ts: str, total: int, window: in
     out = out.withColumn("progress", F.least(F.lit(1.0), F.col("step") / float(total)))
     out = out.withColumn("percent", F.col("progress") * 100.0).withColumn("remaining", F.greatest(F.lit(total) - F.col("step"), F.lit(0)).cast("long"))
     out = out.withColumn("eta_s", F.ceil(F.coalesce("sma_s", F.lit(0.0)) * F.col("remaining")).cast("long"))
-    first = F.first(F.unix_micros(ts)).over(_so_far(keys, [ts]))
-    return out.withColumn("elapsed_s", F.floor((F.unix_micros(ts) - first) / 1e6).cast("long"))
+    first = F.first(F.unix_micros(F.col(ts).cast("timestamp"))).over(_so_far(keys, [ts]))
+    return out.withColumn("elapsed_s", F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - first) / 1e6).cast("long"))
 
 
 def weighted_epoch_means(df: DataFrame, keys: list[str], val: str, n: str) -> DataFrame:
@@ -97,14 +97,13 @@ def trial_loss(df: DataFrame, trial: str, epoch: str, loss: str, mode: str = "re
 
 def hyperparameter_grid(spark: SparkSession, **lists: Sequence) -> DataFrame:
     """(trial_id, one column per list): the product in the order of nested loops, the last list fastest."""
-    sizes = [len(v) for v in lists.values()]
-    grid = None
-    for k, (name, values) in enumerate(lists.items()):
-        step = reduce(lambda a, b: a * b, sizes[k + 1 :], 1)
-        side = spark.createDataFrame([(i * step, v) for i, v in enumerate(values)], [f"_i{k}", name])
-        grid = side if grid is None else grid.crossJoin(side)
-    places = [f"_i{k}" for k in range(len(lists))]
-    return grid.withColumn("trial_id", reduce(lambda a, b: a + b, [F.col(p) for p in places])).drop(*places)
+    total, columns = reduce(lambda a, v: a * len(v), lists.values(), 1), []
+    step = total
+    for name, values in lists.items():
+        step //= len(values)
+        place = F.floor(F.col("trial_id") / step) % len(values) + 1
+        columns.append(F.element_at(F.array(*[F.lit(v) for v in values]), place.cast("int")).alias(name))
+    return spark.range(total).withColumnRenamed("id", "trial_id").select("trial_id", *columns)
 
 
 def best_trial(df: DataFrame, trial: str, loss: str, params: list[str]) -> DataFrame:

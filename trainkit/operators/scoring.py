@@ -52,7 +52,7 @@ def score_dense(df: DataFrame, layers: list[tuple[np.ndarray, np.ndarray, str]],
                 batch = whole.slice(start, ROWS_AT_ONCE)
                 column = batch.column(at)
                 known = column.is_valid().to_numpy(zero_copy_only=False)
-                x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), -1)
+                x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), shared.value[0][0].shape[1])
                 for weight, bias, activation in shared.value:
                     x = ACTIVATIONS[activation](x @ weight.T + bias) if len(x) else np.zeros((0, len(bias)))
                 out = np.full(batch.num_rows, None, object)

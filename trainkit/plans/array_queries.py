@@ -16,13 +16,13 @@ def _bytes(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", F.transform("pixels", lambda x: F.floor((x + 1.0) * 127.5).cast("double")))
 
 
-RAW = "list_transform(pixels, x -> CAST(floor((x + 1.0) * 127.5) AS DOUBLE))"
+RAW = "list_transform(pixels, lambda x: CAST(floor((x + 1.0) * 127.5) AS DOUBLE))"
 #: A channel's elements of a 4 x 4 x 4 image in DuckDB, and norms of lists.
 MEAN3, STD3 = "[0.4914, 0.4822, 0.4465, 0.5]", "[0.2023, 0.1994, 0.2010, 0.5]"
 MEAN, STD = (*A.CIFAR_MEAN, 0.5), (*A.CIFAR_STD, 0.5)
 
 
-@query(f"WITH {IMAGES} " + sql_long(f"(SELECT id, list_transform(range(0, 64), i -> ({RAW})[CAST((i % 16) * 4 + i // 16 + 1 AS BIGINT)] / 255.0) AS arr FROM images)", "id", "arr"))
+@query(f"WITH {IMAGES} " + sql_long(f"(SELECT id, list_transform(range(0, 64), lambda i: ({RAW})[CAST((i % 16) * 4 + i // 16 + 1 AS BIGINT)] / 255.0) AS arr FROM images)", "id", "arr"))
 def to_unit_chw(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _bytes(images(spark, sf_dir))
     return long_rows(df, ["id"], A.to_unit_chw(F.col("raw"), 4, 4, 4))
@@ -30,7 +30,7 @@ def to_unit_chw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {IMAGES} "
-    + sql_long(f"(SELECT id, list_transform(range(0, 64), i -> (pixels[CAST(i + 1 AS BIGINT)] - ({MEAN3})[CAST(i // 16 + 1 AS BIGINT)]) / ({STD3})[CAST(i // 16 + 1 AS BIGINT)]) AS arr FROM images)", "id", "arr")
+    + sql_long(f"(SELECT id, list_transform(range(0, 64), lambda i: (pixels[CAST(i + 1 AS BIGINT)] - ({MEAN3})[CAST(i // 16 + 1 AS BIGINT)]) / ({STD3})[CAST(i // 16 + 1 AS BIGINT)]) AS arr FROM images)", "id", "arr")
 )
 def normalize_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.normalize_channels(F.col("pixels"), MEAN, STD, 16))
@@ -39,7 +39,7 @@ def normalize_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {IMAGES} "
     + sql_long(
-        "(SELECT id, list_transform(range(0, 64), i -> trunc(greatest(0.0, least(1.0, "
+        "(SELECT id, list_transform(range(0, 64), lambda i: trunc(greatest(0.0, least(1.0, "
         f"pixels[CAST((i % 4) * 16 + i // 4 + 1 AS BIGINT)] * CAST(({STD3})[CAST(i % 4 + 1 AS BIGINT)] AS DOUBLE) + CAST(({MEAN3})[CAST(i % 4 + 1 AS BIGINT)] AS DOUBLE))) * 255.0)) AS arr FROM images)",
         "id",
         "arr",
@@ -49,7 +49,7 @@ def denormalize_to_uint8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.denormalize_to_uint8(F.col("pixels"), MEAN, STD, 4, 4))
 
 
-@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(pixels, x -> (x - list_min(pixels)) / (list_max(pixels) - list_min(pixels))) AS arr FROM images)", "id", "arr"))
+@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(pixels, lambda x: (x - list_min(pixels)) / (list_max(pixels) - list_min(pixels))) AS arr FROM images)", "id", "arr"))
 def minmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.minmax_rows(F.col("pixels")))
 
@@ -60,7 +60,7 @@ def reshape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.reshape_rows(nested))
 
 
-@query(f"WITH {IMAGES}, l AS (SELECT id, pixels[1:10] AS v FROM images) " + sql_long("(SELECT id, list_transform(v, x -> exp(x - list_max(v)) / list_sum(list_transform(v, y -> exp(y - list_max(v))))) AS arr FROM l)", "id", "arr"))
+@query(f"WITH {IMAGES}, l AS (SELECT id, pixels[1:10] AS v FROM images) " + sql_long("(SELECT id, list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v))))) AS arr FROM l)", "id", "arr"))
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.softmax(F.slice("pixels", 1, 10)))
 
@@ -77,22 +77,22 @@ def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("id", "label", F.slice("pixels", 1, 32).alias("a"), F.slice("pixels", 33, 32).alias("b"))
 
 
-@query(f"WITH {IMAGES}, {HALVES} " + sql_long("(SELECT id, list_transform(range(1, 33), i -> (id % 5) / 4.0 * a[CAST(i AS BIGINT)] + (1.0 - (id % 5) / 4.0) * b[CAST(i AS BIGINT)]) AS arr FROM halves)", "id", "arr"))
+@query(f"WITH {IMAGES}, {HALVES} " + sql_long("(SELECT id, list_transform(range(1, 33), lambda i: (id % 5) / 4.0 * a[CAST(i AS BIGINT)] + (1.0 - (id % 5) / 4.0) * b[CAST(i AS BIGINT)]) AS arr FROM halves)", "id", "arr"))
 def lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(_halves(spark, sf_dir), ["id"], A.lerp(F.col("a"), F.col("b"), F.col("id") % 5 / 4.0))
 
 
-@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(pixels, x -> greatest(-0.1, least(0.1, x))) AS arr FROM images)", "id", "arr"))
+@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(pixels, lambda x: greatest(-0.1, least(0.1, x))) AS arr FROM images)", "id", "arr"))
 def clip_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.clip_array(F.col("pixels"), -0.1, 0.1))
 
 
-@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(range(0, 10), i -> CAST(i = label AS INTEGER)) AS arr FROM images)", "id", "arr"))
+@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(range(0, 10), lambda i: CAST(i = label AS INTEGER)) AS arr FROM images)", "id", "arr"))
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.one_hot(F.col("label"), 10))
 
 
-@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(range(1, 17), i -> pixels[CAST(i AS BIGINT)] + exp(pixels[CAST(i + 16 AS BIGINT)] * 0.5) * pixels[CAST(i + 32 AS BIGINT)]) AS arr FROM images)", "id", "arr"))
+@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(range(1, 17), lambda i: pixels[CAST(i AS BIGINT)] + exp(pixels[CAST(i + 16 AS BIGINT)] * 0.5) * pixels[CAST(i + 32 AS BIGINT)]) AS arr FROM images)", "id", "arr"))
 def reparameterize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.reparameterize(F.slice("pixels", 1, 16), F.slice("pixels", 17, 16), F.slice("pixels", 33, 16)))
 
@@ -129,7 +129,7 @@ def coordinate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _moment_sql(p: int, q: int) -> str:
     basis = " * ".join(["pixels[CAST(i + 1 AS BIGINT)]"] + ["((i % 8) / 7.0)"] * p + ["((i // 8) / 7.0)"] * q)
-    return f"round(list_sum(list_transform(range(0, 64), i -> {basis})) / 64.0, 6) + 0.0"
+    return f"round(list_sum(list_transform(range(0, 64), lambda i: {basis})) / 64.0, 6) + 0.0"
 
 
 @query(f"WITH {IMAGES} SELECT id, {_moment_sql(0, 0)} AS m00, {_moment_sql(1, 0)} AS m10, {_moment_sql(0, 1)} AS m01, {_moment_sql(1, 1)} AS m11, {_moment_sql(2, 0)} AS m20, {_moment_sql(0, 2)} AS m02 FROM images")
@@ -164,17 +164,17 @@ def tensor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(r6(F.col("min_value")).alias("min_value"), r6(F.col("max_value")).alias("max_value"), F.col("min_size").cast("long").alias("min_size"), F.col("max_size").cast("long").alias("max_size"))
 
 
-@query("SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || lower(w[2:])), (a, b) -> a || ' ' || b) AS pretty FROM part")
+@query("SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda a, b: a || ' ' || b) AS pretty FROM part")
 def pretty_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", A.pretty_class(F.translate("p_name", " ", "_")).alias("pretty"))
 
 
-@query(f"WITH {IMAGES}, {HALVES} SELECT id, round(list_sum(list_transform(range(1, 33), i -> (a[CAST(i AS BIGINT)] - b[CAST(i AS BIGINT)]) * (a[CAST(i AS BIGINT)] - b[CAST(i AS BIGINT)]))) / 32, 6) + 0.0 AS mse FROM halves")
+@query(f"WITH {IMAGES}, {HALVES} SELECT id, round(list_sum(list_transform(range(1, 33), lambda i: (a[CAST(i AS BIGINT)] - b[CAST(i AS BIGINT)]) * (a[CAST(i AS BIGINT)] - b[CAST(i AS BIGINT)]))) / 32, 6) + 0.0 AS mse FROM halves")
 def mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _halves(spark, sf_dir).select("id", r6(L.mse(F.col("a"), F.col("b"))).alias("mse"))
 
 
-@query(f"WITH {IMAGES}, l AS (SELECT id, label, pixels[1:10] AS v FROM images) SELECT id, round(list_max(v) + ln(list_sum(list_transform(v, x -> exp(x - list_max(v))))) - v[label + 1], 6) + 0.0 AS loss FROM l")
+@query(f"WITH {IMAGES}, l AS (SELECT id, label, pixels[1:10] AS v FROM images) SELECT id, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[label + 1], 6) + 0.0 AS loss FROM l")
 def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("id", r6(L.cross_entropy(F.slice("pixels", 1, 10), F.col("label"))).alias("loss"))
 
@@ -188,7 +188,7 @@ def bce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r6(loss).alias("bce"))
 
 
-@query(f"WITH {IMAGES}, {HALVES} SELECT id, round(-0.5 * list_sum(list_transform(range(1, 33), i -> 1.0 + b[CAST(i AS BIGINT)] - a[CAST(i AS BIGINT)] * a[CAST(i AS BIGINT)] - exp(b[CAST(i AS BIGINT)]))), 6) + 0.0 AS kl FROM halves")
+@query(f"WITH {IMAGES}, {HALVES} SELECT id, round(-0.5 * list_sum(list_transform(range(1, 33), lambda i: 1.0 + b[CAST(i AS BIGINT)] - a[CAST(i AS BIGINT)] * a[CAST(i AS BIGINT)] - exp(b[CAST(i AS BIGINT)]))), 6) + 0.0 AS kl FROM halves")
 def gaussian_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _halves(spark, sf_dir).select("id", r6(L.gaussian_kl(F.col("a"), F.col("b"))).alias("kl"))
 
@@ -199,7 +199,7 @@ def weighted_total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", r6(total).alias("total"))
 
 
-FLIP = "list_transform(range(0, 64), i -> pixels[CAST(i - i % 8 + 7 - i % 8 + 1 AS BIGINT)])"
+FLIP = "list_transform(range(0, 64), lambda i: pixels[CAST(i - i % 8 + 7 - i % 8 + 1 AS BIGINT)])"
 
 
 @query(
@@ -211,7 +211,7 @@ def random_hflip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {IMAGES} "
-    + sql_long(f"(SELECT id, CASE WHEN substr({draw_sql('3', '0', 'id')}, 1, 8) < '{int(0.3 * 2**32):08x}' THEN list_transform(pixels, x -> x * 2.0) ELSE pixels END AS arr FROM images)", "id", "arr")
+    + sql_long(f"(SELECT id, CASE WHEN substr({draw_sql('3', '0', 'id')}, 1, 8) < '{int(0.3 * 2**32):08x}' THEN list_transform(pixels, lambda x: x * 2.0) ELSE pixels END AS arr FROM images)", "id", "arr")
 )
 def random_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = augment.random_apply(images(spark, sf_dir), "id", "pixels", 0.3, lambda a: F.transform(a, lambda x: x * 2.0), seed=3)
@@ -236,7 +236,7 @@ def random_crop_pad_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(augment.random_crop_pad(images(spark, sf_dir), "id", "pixels", 1, 8, 8, 6, 2, seed=5, epoch=1, big=True), ["id"], F.col("pixels"))
 
 
-@query(f"WITH {IMAGES}, {HALVES}, g AS (SELECT label, sqrt(list_sum(list_transform(a, x -> x * x))) - 1.0 AS off FROM halves) SELECT CAST(label AS BIGINT) AS label, round(avg(off * off), 6) + 0.0 AS penalty FROM g GROUP BY label")
+@query(f"WITH {IMAGES}, {HALVES}, g AS (SELECT label, sqrt(list_sum(list_transform(a, lambda x: x * x))) - 1.0 AS off FROM halves) SELECT CAST(label AS BIGINT) AS label, round(avg(off * off), 6) + 0.0 AS penalty FROM g GROUP BY label")
 def gradient_norm_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.gradient_norm_penalty(_halves(spark, sf_dir), F.col("a"), ["label"])
     return out.select(F.col("label").cast("long").alias("label"), r6(F.col("penalty")).alias("penalty"))
@@ -246,9 +246,9 @@ SIG = "1.0 / (1.0 + exp(-{}))"
 
 
 @query(
-    f"""WITH {IMAGES}, {HALVES}, e AS (SELECT id % 10 AS batch, list_transform(range(1, 17), i -> {{'y': {SIG.format('a[CAST(i AS BIGINT)]')}, 'p': {SIG.format('b[CAST(i AS BIGINT)]')}}}) AS z,
-  list_transform(range(17, 33), i -> 1.0 + b[CAST(i AS BIGINT)] - a[CAST(i AS BIGINT)] * a[CAST(i AS BIGINT)] - exp(b[CAST(i AS BIGINT)])) AS k FROM halves),
-s AS (SELECT batch, list_sum(list_transform(z, t -> -(t.y * ln(t.p) + (1.0 - t.y) * ln(1.0 - t.p)))) AS r, -0.5 * list_sum(k) AS k FROM e)
+    f"""WITH {IMAGES}, {HALVES}, e AS (SELECT id % 10 AS batch, list_transform(range(1, 17), lambda i: {{'y': {SIG.format('a[CAST(i AS BIGINT)]')}, 'p': {SIG.format('b[CAST(i AS BIGINT)]')}}}) AS z,
+  list_transform(range(17, 33), lambda i: 1.0 + b[CAST(i AS BIGINT)] - a[CAST(i AS BIGINT)] * a[CAST(i AS BIGINT)] - exp(b[CAST(i AS BIGINT)])) AS k FROM halves),
+s AS (SELECT batch, list_sum(list_transform(z, lambda t: -(t.y * ln(t.p) + (1.0 - t.y) * ln(1.0 - t.p)))) AS r, -0.5 * list_sum(k) AS k FROM e)
 SELECT batch, round(sum(r), 4) + 0.0 AS recon_loss, round(sum(k), 4) + 0.0 AS kl_loss, round(sum(r) + sum(k), 4) + 0.0 AS loss FROM s GROUP BY batch"""
 )
 def vae_losses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ SMALL_BOOK = "small AS (SELECT pos AS code, vec FROM spatial WHERE id = 0)"
 
 
 def _dist(a: str, b: str, n: int) -> str:
-    return f"list_sum(list_transform(range(1, {n + 1}), i -> ({a}[CAST(i AS BIGINT)] - {b}[CAST(i AS BIGINT)]) * ({a}[CAST(i AS BIGINT)] - {b}[CAST(i AS BIGINT)])))"
+    return f"list_sum(list_transform(range(1, {n + 1}), lambda i: ({a}[CAST(i AS BIGINT)] - {b}[CAST(i AS BIGINT)]) * ({a}[CAST(i AS BIGINT)] - {b}[CAST(i AS BIGINT)])))"
 
 
 ASSIGNED = f"""pairs AS (SELECT i.id, i.pixels AS vec, b.code, b.vec AS q, {_dist('i.pixels', 'b.vec', 64)} AS distance FROM images i, book b),
@@ -81,7 +81,7 @@ def lookup_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {IMAGES}, {BOOK}, {ASSIGNED}, l AS (SELECT sum(distance) / sum(len(vec)) AS v, avg(list_sum(list_transform(vec, x -> x * x))) AS r FROM assigned) "
+    f"WITH {IMAGES}, {BOOK}, {ASSIGNED}, l AS (SELECT sum(distance) / sum(len(vec)) AS v, avg(list_sum(list_transform(vec, lambda x: x * x))) AS r FROM assigned) "
     "SELECT round(v, 6) + 0.0 AS codebook_loss, round(v, 6) + 0.0 AS commitment_loss, round(r + v + 0.25 * v, 6) + 0.0 AS total_loss FROM l"
 )
 def quantization_losses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,13 @@ CLASSES = 10
 SPLIT = f"""split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {draw_sql('42', 'id')}, id) <= floor(count(*) OVER (PARTITION BY label) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM images)"""
 LOGITS = f"""means AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(pixels) AS v FROM split WHERE split = 'train') GROUP BY label, i),
 mean AS (SELECT label, list(m ORDER BY i) AS mean FROM means GROUP BY label),
-one AS (SELECT s.id, s.label, mean.label AS class, 2.0 * list_sum(list_transform(range(1, 65), i -> s.pixels[CAST(i AS BIGINT)] * mean.mean[CAST(i AS BIGINT)])) - list_sum(list_transform(mean.mean, x -> x * x)) AS logit
+one AS (SELECT s.id, s.label, mean.label AS class, 2.0 * list_sum(list_transform(range(1, 65), lambda i: s.pixels[CAST(i AS BIGINT)] * mean.mean[CAST(i AS BIGINT)])) - list_sum(list_transform(mean.mean, lambda x: x * x)) AS logit
   FROM split s, mean WHERE s.split = 'test'),
 scored AS (SELECT id, label, list(logit ORDER BY class) AS logits FROM one GROUP BY id, label)"""
 WITH_LOGITS = f"WITH {IMAGES}, {SPLIT}, {LOGITS}"
 #: Softmax confidence, rank of the label and predicted class.
-CONFIDENCE = "1.0 / list_sum(list_transform(logits, x -> exp(x - list_max(logits))))"
-RANK = "1 + len(list_filter(range(0, 10), i -> logits[CAST(i + 1 AS BIGINT)] > logits[label + 1] OR (logits[CAST(i + 1 AS BIGINT)] = logits[label + 1] AND i < label)))"
+CONFIDENCE = "1.0 / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))"
+RANK = "1 + len(list_filter(range(0, 10), lambda i: logits[CAST(i + 1 AS BIGINT)] > logits[label + 1] OR (logits[CAST(i + 1 AS BIGINT)] = logits[label + 1] AND i < label)))"
 PREDICTED = "list_position(logits, list_max(logits)) - 1"
 
 
@@ -69,7 +69,7 @@ def topk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{WITH_LOGITS} SELECT round(avg(list_max(logits) + ln(list_sum(list_transform(logits, x -> exp(x - list_max(logits))))) - logits[label + 1]), 6) + 0.0 AS loss, "
+    f"{WITH_LOGITS} SELECT round(avg(list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) - logits[label + 1]), 6) + 0.0 AS loss, "
     f"round(100.0 * sum(CASE WHEN {PREDICTED} = label THEN 1.0 ELSE 0.0 END) / count(*), 6) + 0.0 AS accuracy FROM scored"
 )
 def classification_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,9 @@ def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {IMAGES}, w AS (SELECT id AS unit, pixels[1:32] AS w FROM images WHERE id < 10),
-one AS (SELECT i.id, i.label, w.unit, 1.0 / (1.0 + exp(-(list_sum(list_transform(range(1, 33), k -> w.w[CAST(k AS BIGINT)] * i.pixels[CAST(k AS BIGINT)])) + 0.01 * w.unit))) AS v FROM images i, w),
+one AS (SELECT i.id, i.label, w.unit, 1.0 / (1.0 + exp(-(list_sum(list_transform(range(1, 33), lambda k: w.w[CAST(k AS BIGINT)] * i.pixels[CAST(k AS BIGINT)])) + 0.01 * w.unit))) AS v FROM images i, w),
 scored AS (SELECT id, label, list(v ORDER BY unit) AS logits FROM one GROUP BY id, label)
-SELECT round(avg(list_max(logits) + ln(list_sum(list_transform(logits, x -> exp(x - list_max(logits))))) - logits[label + 1]), 6) + 0.0 AS loss,
+SELECT round(avg(list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) - logits[label + 1]), 6) + 0.0 AS loss,
   round(100.0 * sum(CASE WHEN {PREDICTED} = label THEN 1.0 ELSE 0.0 END) / count(*), 6) + 0.0 AS accuracy FROM scored"""
 )
 def evaluate_saved(spark: SparkSession, sf_dir: str) -> DataFrame:

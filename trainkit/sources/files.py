@@ -52,7 +52,7 @@ def _plausible(blob: memoryview, at: int) -> Iterator[memoryview]:
 
 def frames_in(content: bytes | memoryview | None, max_frames: int) -> list[bytes]:
     """Frames of one container: the first header size that yields any decides; cut-off frames are skipped."""
-    blob = memoryview(content or b"")
+    blob = memoryview(content or b"").cast("B")
     by_header = (list(islice((bytes(f) for f in _plausible(blob, header) if f[:2] == JPEG_START), max_frames)) for header in HEADER_SIZES)
     return next(filter(None, by_header), [])
 
