@@ -139,9 +139,7 @@ def code_usage(codes: DataFrame, k: int) -> DataFrame:
 def init_codebook(spark: SparkSession, k: int, d: int, seed: int = 0) -> DataFrame:
     """(code, vec): k vectors, uniform in (-1/k, 1/k), drawn from md5 of seed, code and dimension."""
     number = lambda i: F.conv(F.substring(draw(seed, F.col("code"), i), 1, 8), 16, 10).cast("double") / float(2**32)
-    return spark.range(k).select(
-        F.col("id").cast("int").alias("code"), F.col("id").alias("_id")
-    ).select("code", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: (number(i) * 2.0 - 1.0) / float(k)).alias("vec"))
+    return spark.range(k).select(F.col("id").cast("int").alias("code")).select("code", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: (number(i) * 2.0 - 1.0) / float(k)).alias("vec"))
 
 
 def codebook_sums(vecs: DataFrame, book: tuple[np.ndarray, np.ndarray], vec_col: str = "vec") -> DataFrame:

@@ -64,7 +64,10 @@ FRAMES = "frames AS (SELECT conv_id AS video_id, CAST(turn AS INTEGER) AS frame_
 
 def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, epoch, ts, step, n, loss): events as the batches of training runs."""
-    events = table(spark, sf_dir, "events")
+    return batch_metrics_of(table(spark, sf_dir, "events"))
+
+
+def batch_metrics_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("run"),
         (F.dayofmonth("ts") % 4).cast("long").alias("epoch"),
@@ -89,3 +92,9 @@ def below_sql(n: int, *parts: str) -> str:
     """The twin of `below`."""
     digits = [f"(instr('0123456789abcdef', substr({draw_sql(*parts)}, {k + 1}, 1)) - 1) * {16 ** (5 - k)}" for k in range(6)]
     return f"(({' + '.join(digits)}) % {n})"
+
+
+def unit_sql(*parts: str) -> str:
+    """A number in [0, 1) from the first eight hex digits of a draw."""
+    digits = [f"(instr('0123456789abcdef', substr({draw_sql(*parts)}, {k + 1}, 1)) - 1) * {16 ** (7 - k)}" for k in range(8)]
+    return f"(({' + '.join(digits)}) / {float(2**32)})"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainkit.operators import quantize as Q
-from trainkit.plans.base import IMAGES, images, long_rows, query, r6, sql_long
+from trainkit.plans.base import IMAGES, images, long_rows, query, r6, sql_long, unit_sql
 from trainkit.sources import logs
 
 K = 16
@@ -120,3 +120,13 @@ def fit_codebook_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_codebook_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     book, _ = Q.fit_codebook(_vecs(spark, sf_dir), _book(spark, sf_dir), 1, "gradient", 10.0)
     return long_rows(book.withColumn("code", F.col("code").cast("long")), ["code"], F.col("vec"))
+
+
+@query(
+    f"""WITH {IMAGES}, book AS (SELECT code, list(({unit_sql('6', 'code', 'i')} * 2.0 - 1.0) / {K}.0 ORDER BY i) AS vec FROM (SELECT unnest(range(0, {K})) AS code), (SELECT unnest(range(0, 64)) AS i) GROUP BY code), {ASSIGNED}
+SELECT id, code, round(distance, 6) + 0.0 AS distance FROM assigned"""
+)
+def init_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignment to a fresh random codebook."""
+    out = Q.assign_codes(_vecs(spark, sf_dir), Q.init_codebook(spark, K, 64, seed=6))
+    return out.select("id", "code", r6(F.col("distance")).alias("distance"))
