@@ -27,6 +27,9 @@ CASES = [
     (f"<article><p>{LONG}</p><p>cut of", f"{LONG}\ncut of"),
     (page(f"<article><p>{LONG}</p><script>var t='</p>';</script><!-- <p>no</p> --><noscript><p>on</p></noscript><p>5 < 6 > 4</p></article>"), f"{LONG}\n5 < 6 > 4"),
     (page(f"<div><div><h2>A</h2><p>{LONG}</p></div><div><h2>B</h2><p>{LONG} And a little more of it.</p></div></div>", NAV), f"A\n{LONG}\nB\n{LONG} And a little more of it."),
+    (page(f"<div class='post'><div class='post-header'><h1>Title</h1></div><p>{LONG}</p><div class='SIDEBAR'><p>See this other long story about things.</p></div><p>End.</p></div>", NAV), f"Title\n{LONG}\nEnd."),
+    (page(f"<div id='story'><p>{LONG}</p><p>{LONG} b</p></div>", "", "<section id='comments'><h2>Comments</h2><p>First! This is a reader's long opinion on the matter, at length and more.</p></section>"), f"{LONG}\n{LONG} b"),
+    (page(f"<article><p>{LONG}</p><table><tr><td>a<td>b</table><pre>x  y</pre></article>"), f"{LONG}\na\nb\nx y"),
     ("", ""),
     (None, ""),
     ("plain words only", "plain words only"),

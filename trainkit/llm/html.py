@@ -40,12 +40,14 @@ NOISE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside complementary related recommended recommendations recirculation widget widgets "
     "comment comments commentlist disqus respond reply replies discussion footer header masthead contentinfo search form login signup subscribe subscription newsletter share sharing social toolbar".split()
 )
+OWN_HEADER = frozenset("entry post article story title headline".split())
 CONTENT = frozenset("article main".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+LOWER_PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
@@ -69,8 +71,10 @@ def is_noise(name: str, attributes: str, in_content: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        words = {w.lower() for w in WORD_PARTS.findall(value)}
-        if key in ("class", "id", "role") and words & NOISE and not (in_content and name.startswith("h") and len(name) == 2):
+        words = {w.lower() for w in WORD_PARTS.findall(value)} | set(LOWER_PARTS.findall(value.lower()))
+        if words & OWN_HEADER:  # the article's own header holds its title
+            words.discard("header")
+        if key in ("class", "id", "role") and words & NOISE and not (name[0] == "h" and name[1:] in "123456"):
             return True
     return False
 
@@ -78,8 +82,7 @@ def is_noise(name: str, attributes: str, in_content: bool) -> bool:
 def parse(page: str) -> Node:
     """The tree below the body, without what names itself boilerplate. Unclosed tags are closed as browsers do."""
     root = here = Node("body", None)
-    skipped = 0  # open elements since the boilerplate element, itself included
-    skip_stack: list[str] = []
+    skip_stack: list[str] = []  # open elements from the boilerplate element on
     at, size = 0, len(page)
     while at < size:
         left = page.find("<", at)
@@ -168,7 +171,6 @@ def parse(page: str) -> Node:
         here.parts.append(child)
         if not attributes.endswith("/"):
             here = child
-    del skipped
     return root
 
 
