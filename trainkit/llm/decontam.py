@@ -23,7 +23,7 @@ from trainkit.llm.common import map_rows
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: all but ASCII signs, capitals and controls
 WINDOW = 13
 BLOCK_WORDS = 1_000_000  # benchmark words in one broadcast; a larger benchmark goes in several
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 FIELDS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int>>, longest int"
 
 
