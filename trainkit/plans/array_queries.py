@@ -98,7 +98,7 @@ def reparameterize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, list_sort([{'d': (p_retailprice - c[1]) * (p_retailprice - c[1]), 'i': c[2], 'c': c[1]} FOR c IN [[900.0, 0], [1000.0, 1], [1200.0, 2], [1100.0, 3]]])[1].c AS nearest FROM part"""
+    """SELECT p_partkey, list_sort([{'d': (p_retailprice - c[1]) * (p_retailprice - c[1]), 'i': c[2], 'c': c[1]} FOR c IN [[900.0, 0], [1000.0, 1], [1200.0, 2], [1100.0, 3]]])[1].c + CAST(0 AS DOUBLE) AS nearest FROM part"""
 )
 def scalar_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", A.scalar_quantize(F.col("p_retailprice"), (900.0, 1000.0, 1200.0, 1100.0)).alias("nearest"))

@@ -125,7 +125,7 @@ GRID = {"epochs": [10, 20, 30, 40, 50], "batch_size": [16, 32, 64, 128, 256], "l
 GRID_SQL = """grid AS (SELECT trial_id, [10, 20, 30, 40, 50][trial_id // 625 + 1] AS epochs, [16, 32, 64, 128, 256][trial_id // 125 % 5 + 1] AS batch_size,
   [0.0001, 0.0005, 0.001, 0.005, 0.01][trial_id // 25 % 5 + 1] + CAST(0 AS DOUBLE) AS lr, [100, 200, 300, 400, 500][trial_id // 5 % 5 + 1] AS hidden_dim, [2, 8, 16, 32, 64][trial_id % 5 + 1] AS latent_dim
   FROM (SELECT unnest(range(0, 3125)) AS trial_id))"""
-GRID_OUT = "CAST(epochs AS BIGINT) AS epochs, CAST(batch_size AS BIGINT) AS batch_size, lr, CAST(hidden_dim AS BIGINT) AS hidden_dim, CAST(latent_dim AS BIGINT) AS latent_dim"
+GRID_OUT = "CAST(epochs AS INTEGER) AS epochs, CAST(batch_size AS INTEGER) AS batch_size, lr, CAST(hidden_dim AS INTEGER) AS hidden_dim, CAST(latent_dim AS INTEGER) AS latent_dim"
 
 
 @query(f"WITH {TRIALS}, {PER_EPOCH}, l AS (SELECT trial, sum(s) / max(b) AS loss FROM e GROUP BY trial), {GRID_SQL} SELECT trial_id, {GRID_OUT}, round(loss, 4) + 0.0 AS loss FROM grid JOIN l ON l.trial = trial_id")
