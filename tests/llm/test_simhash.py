@@ -109,7 +109,7 @@ def test_spanning_links_connect_what_pairs_connect(radii):
 def test_links_with_sliced_keys(spark):
     codes = near_codes(np.random.default_rng(2), 600, 4, 4)
     frame = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes.view(np.int64))], "node long, f0 long")
-    edges = simhash.links(frame, simhash.block_keys(4), [4], 1, slice_rows=50)
+    edges = simhash.links(frame, simhash.block_masks(4), [4], slice_rows=50)
     want = brute_components(codes.tolist(), 4)
     assert brute_partition(codes.tolist(), [(int(codes[r.u]), int(codes[r.v])) for r in edges.collect()]) == want
 

@@ -222,9 +222,14 @@ def bit_blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def block_keys(radius: int) -> list[Column]:
-    """Keys of which fingerprints of one word within the radius share at least one."""
-    return [F.shiftrightunsigned("f0", s).bitwiseAND(F.lit((1 << w) - 1)) * 64 + i for i, (s, w) in enumerate(bit_blocks(radius))]
+def block_masks(radius: int) -> np.ndarray:
+    """Masks of which fingerprints of one word within the radius agree on at least one."""
+    return np.array([[((1 << w) - 1) << s] for s, w in bit_blocks(radius)], np.uint64)
+
+
+def keys_of(masks: np.ndarray) -> list[Column]:
+    """One key per mask, of the fingerprint's bits under it."""
+    return [F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(int(m))) for w, m in enumerate(row)]) for t, row in enumerate(masks.view(np.int64))]
 
 
 def differing_share(similarity: float) -> float:
@@ -232,69 +237,78 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def mask_keys(n: int, width: int, similarity: float, recall: float = RECALL) -> list[Column]:
-    """Keys of random bit masks: wide enough for small groups, as many as the recall at that similarity needs."""
+def random_masks(n: int, width: int, similarity: float, recall: float = RECALL) -> np.ndarray:
+    """Random bit masks: wide enough for small groups, as many as the recall at that similarity needs."""
     kept = max(10, math.ceil(math.log2(max(2, n) / ROWS_PER_KEY)) + 4)
     shared = (1 - differing_share(similarity)) ** kept
     tables = math.ceil(math.log(1 - recall) / math.log(1 - shared))
     rng = np.random.Generator(np.random.PCG64(SEED))
-    keys = []
+    masks = np.zeros((tables, width), np.uint64)
     for t in range(tables):
-        masks = [0] * width
-        for bit in rng.choice(width * BITS, kept, replace=False).tolist():
-            masks[bit // BITS] |= 1 << (bit % BITS)
-        signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-        keys.append(F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed)]))
-    return keys
+        for bit in rng.choice(width * BITS, kept, replace=False):
+            masks[t, bit // BITS] |= np.uint64(1) << np.uint64(bit % BITS)
+    return masks
+
 
+def first_shared(masks: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """The first mask under which each pair agrees, from the pairs' differing bits."""
+    first = np.full(len(differing), len(masks))
+    for t in range(len(masks) - 1, -1, -1):
+        first[~(differing & masks[t]).any(axis=1)] = t
+    return first
 
-def _link_keys(radii: list[int], width: int):
-    """Links within each (key, part) run of a partition that is sorted by them."""
+
+def _link_keys(radii: list[int], masks: np.ndarray):
+    """Links within each (key, part) run of a partition that is sorted by them.
+
+    A pair is listed under the first mask that it shares only.  There, nearer links connect it if it was not
+    listed itself, so later masks would just repeat it.
+    """
+    width = masks.shape[1]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        key, part, query, node = (rows.column(i).to_numpy() for i in range(4))
-        codes = np.stack([rows.column(4 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
+        key, part, query, node, table = (rows.column(i).to_numpy() for i in range(5))
+        codes = np.stack([rows.column(5 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
         stops = np.append(starts[1:], len(key))
         several = stops - starts > 1
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
             asks = np.flatnonzero(query[a:b])
-            if not len(asks):
-                u, v = spanning_links(codes[a:b], radii)
-                found.append((node[a + u], node[a + v]))
-                continue
             own = np.flatnonzero(~query[a:b])
-            u, v = spanning_links(codes[a + own], radii)
-            found.append((node[a + own[u]], node[a + own[v]]))
-            both = np.concatenate([own, asks])
-            u, v = spanning_links(codes[a + own], radii, codes[a + asks])
-            found.append((node[a + both[u]], node[a + both[v]]))
+            u, v = spanning_links(codes[a + own], radii) if len(own) else (own, own)
+            found.append((a + own[u], a + own[v]))
+            if len(own) and len(asks):
+                both = np.concatenate([own, asks])
+                u, v = spanning_links(codes[a + own], radii, codes[a + asks])
+                found.append((a + both[u], a + both[v]))
         if found:
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            here = first_shared(masks, codes[u] ^ codes[v]) == table[u]
+            u, v = node[u[here]], node[v[here]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     return find
 
 
-def links(codes: DataFrame, keys: list[Column], radii: list[int], width: int, slice_rows: int = SLICE) -> DataFrame:
+def links(codes: DataFrame, masks: np.ndarray, radii: list[int], slice_rows: int = SLICE) -> DataFrame:
     """Links (u > v) between `node`s of distinct fingerprints that share a key and lie within the last radius: nearest ones that span.
 
     A key of more than `slice_rows` rows is cut into slices by node hash: each slice is indexed by its own
     task, and the rows of earlier slices are sent to it as queries.
     """
-    spark, words = codes.sparkSession, word_columns(width)
-    keyed = codes.select("node", *words, F.explode(F.array(*keys)).alias("key"))
+    spark, words = codes.sparkSession, word_columns(masks.shape[1])
+    keyed = codes.select("node", *words, F.posexplode(F.array(*keys_of(masks))).alias("table", "key"))
     hot = keyed.groupBy("key").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts")).where("parts > 1")
     tagged = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
-    dealt = tagged.select("key", "node", *words, "own", F.explode(F.sequence("own", F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
-    rows = dealt.select("key", "part", (F.col("part") != F.col("own")).alias("query"), "node", *words)
-    near = rows.repartition(tasks_for(spark) * max(1, len(keys) // 8), "key", "part").sortWithinPartitions("key", "part")
-    return near.mapInArrow(_link_keys(radii, width), "u long, v long").distinct()
+    dealt = tagged.select("key", "table", "node", *words, "own", F.explode(F.sequence("own", F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
+    rows = dealt.select("key", "part", (F.col("part") != F.col("own")).alias("query"), "node", "table", *words)
+    near = rows.repartition(tasks_for(spark) * max(1, len(masks) // 8), "key", "part").sortWithinPartitions("key", "part")
+    return near.mapInArrow(_link_keys(radii, masks), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -357,7 +371,7 @@ def near_groups(
     """
     fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle, 1, key_col))
     codes = cut(distinct_codes(fps, 1))
-    grouped = _with_groups(fps, codes, links(codes, block_keys(radius), [radius], 1, slice_rows), 1)
+    grouped = _with_groups(fps, codes, links(codes, block_masks(radius), [radius], slice_rows), 1)
     return grouped.select("row_key", "id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "kept")
 
 
@@ -399,6 +413,6 @@ def similar_groups(
     bits, share = width * BITS, differing_share(similarity)
     radius = math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     radii = [radius // 4, radius // 2, 3 * radius // 4, radius]
-    proposed = cut(links(codes, mask_keys(codes.count(), width, similarity, recall), radii, width))
+    proposed = cut(links(codes, random_masks(codes.count(), width, similarity, recall), radii))
     edges = confirmed(proposed, keyed, text_col, key, words_per_shingle, similarity)
     return _with_groups(fps, codes, edges, width).select("row_key", "id", "component_id", "kept")
