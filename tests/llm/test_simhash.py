@@ -208,3 +208,32 @@ def test_recall_against_brute_force(spark):
     found = sum(got[i] == got[j] for i, j in pairs)
     assert len(pairs) > 200 and found >= 0.98 * len(pairs)
     assert all(want[i] == want[c] for i, c in got.items())
+
+
+def brute_groups(texts):
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    return brute_partition(list(sets), [(i, j) for i in sets for j in sets if j < i and sets[i] & sets[j] and similar(sets[i], sets[j])])
+
+
+def groups_of(spark, texts, **options):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {r.id: r.component_id for r in simhash.similar_groups(docs, **options).collect()}
+
+
+@pytest.mark.parametrize("slice_rows", [simhash.SLICE, 7])
+def test_families_around_the_similarity(spark, slice_rows):
+    """Families whose members lie at 0.7 to 0.9 of each other: the groups are the brute-force ones, without tolerance."""
+    import random
+
+    rng = random.Random(11)
+    texts = {}
+    for family in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(20):
+            text = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                text[rng.randrange(150)] = f"x{family}_{rng.randrange(12)}"
+            texts[len(texts)] = " ".join(text)
+    want = brute_groups(texts)
+    assert 25 < len(set(want.values())) < 480
+    assert groups_of(spark, texts, slice_rows=slice_rows) == want

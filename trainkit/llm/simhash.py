@@ -1,13 +1,16 @@
-"""SimHash near-duplicates with a Gray-order hierarchical index.
-
-Fingerprints are made inside Arrow tasks.  Distinct fingerprints are dealt out by keys that near ones share:
-for a small radius the radius + 1 bit blocks, one of which must be equal (pigeonhole, nothing is missed);
-for a given similarity of shingle sets, as many random bit masks as the wanted recall needs.  Inside a key the
-fingerprints are sorted by Gray rank and indexed bottom-up: every node keeps the bits on which all its
-members agree (mask and pattern).  A search adds up masked differences from the top and prunes whole nodes
-beyond the radius, and nodes that lie in the searcher's component already; so a dense group of near copies
-yields the nearest links that span it, not its pairs.  The links are joined to components by distributed
-star contraction.
+"""Near-duplicates: SimHash with a Gray-order hierarchical index, and an exact join of similar shingle sets.
+
+`near_groups` makes 64-bit fingerprints inside Arrow tasks.  Distinct fingerprints are dealt out by radius + 1 bit
+blocks, one of which near ones share (pigeonhole, nothing is missed).  Inside a key the fingerprints are sorted
+by Gray rank and indexed bottom-up: every node keeps the bits on which all its members agree (mask and pattern).
+A search adds up masked differences from the top and prunes whole nodes beyond the radius, and nodes that lie in
+the searcher's component already; so a dense group of near copies yields the nearest links that span it, not its
+pairs.
+
+`similar_groups` takes no fingerprints.  Sets that are similar share a shingle among the first few of each, in any
+order that all sets keep to; rare ones come first.  In the lists of sets by shingle, links to the first one are confirmed
+first and joined; then every pair of a list that lies in two components is tested, unless a bound on its overlap rules
+it out.  The links are joined to components by distributed star contraction.
 """
 
 from __future__ import annotations
@@ -21,15 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import cut, map_rows, tasks_for
+from trainkit.llm.common import cut, hash_share, map_rows, tasks_for
 
 BITS = 64
 FANOUT = 16
 SLICE = 4096  # rows of one index; larger keys are searched slice by slice
 SHINGLES_AT_ONCE = 65_536
 SEED = 42
-RECALL = 0.99  # of pairs at the similarity asked for, that they share a key
-ROWS_PER_KEY = 64  # that the width of the masks aims at
+SKETCH = 512  # bits of a set's parity sketch
+ORDER_DOCS = 20_000  # about as many documents tell which shingles are frequent; that orders them only
+ORDER_SHINGLES = 200_000
+ROUNDING = 1e-6  # by which bounds on counts give way
 BROADCAST_NODES = 1_000_000  # long keys that may be broadcast
 
 
@@ -232,24 +237,6 @@ def keys_of(masks: np.ndarray) -> list[Column]:
     return [F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(int(m))) for w, m in enumerate(row)]) for t, row in enumerate(masks.view(np.int64))]
 
 
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two sets of that Jaccard similarity."""
-    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-
-
-def random_masks(n: int, width: int, similarity: float, recall: float = RECALL) -> np.ndarray:
-    """Random bit masks: wide enough for small groups, as many as the recall at that similarity needs."""
-    kept = max(10, math.ceil(math.log2(max(2, n) / ROWS_PER_KEY)) + 4)
-    shared = (1 - differing_share(similarity)) ** kept
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - shared))
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    masks = np.zeros((tables, width), np.uint64)
-    for t in range(tables):
-        for bit in rng.choice(width * BITS, kept, replace=False):
-            masks[t, bit // BITS] |= np.uint64(1) << np.uint64(bit % BITS)
-    return masks
-
-
 def first_shared(masks: np.ndarray, differing: np.ndarray) -> np.ndarray:
     """The first mask under which each pair agrees, from the pairs' differing bits."""
     first = np.full(len(differing), len(masks))
@@ -317,6 +304,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two contractions until nothing changes: every node's neighbours hang on its smallest one.
     Only a count and a checksum reach the driver.
     """
+    # Arrow drops what the optimiser infers of the edges, or it would double in every round.
+    edges = edges.select("u", "v").mapInArrow(lambda batches: batches, "u long, v long")
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
@@ -341,22 +330,20 @@ def _best_row() -> Column:
     return F.min_by(F.struct("id", "row_key"), F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key")))
 
 
-def distinct_codes(fps: DataFrame, width: int) -> DataFrame:
-    """(node, id, f0, ...): one row per distinct fingerprint; node is the row key of its first document."""
-    words = word_columns(width)
-    return fps.groupBy(*words).agg(_best_row().alias("b")).select(F.col("b.row_key").alias("node"), F.col("b.id").alias("id"), *words)
+def distinct_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(node, id, *columns): one row per distinct value; node is the row key of its first document."""
+    return rows.groupBy(*columns).agg(_best_row().alias("b")).select(F.col("b.row_key").alias("node"), F.col("b.id").alias("id"), *columns)
 
 
-def _with_groups(fps: DataFrame, codes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    """`fps` with component_id and kept."""
-    words = word_columns(width)
-    linked = cut(codes.join(components(edges), "node").withColumn("row_key", F.col("node")))
+def _with_groups(rows: DataFrame, firsts: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` with component_id and kept."""
+    linked = cut(firsts.join(components(edges), "node").withColumn("row_key", F.col("node")))
     heads = cut(linked.groupBy("root").agg(_best_row().alias("b")).select("root", F.col("b.id").alias("low"), F.col("b.row_key").alias("head")))
     labels = linked.join(heads, "root").select("node", "low", "head")
-    known = codes.join(labels, "node", "left").select(
-        *words, F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("head", "node").alias("head")
+    known = firsts.join(labels, "node", "left").select(
+        *columns, F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("head", "node").alias("head")
     )
-    return fps.join(cut(known), words).withColumn("kept", F.col("row_key") == F.col("head"))
+    return rows.join(cut(known), columns).withColumn("kept", F.col("row_key") == F.col("head"))
 
 
 def near_groups(
@@ -370,15 +357,19 @@ def near_groups(
     and is linked like any other.  An empty table gives an empty result; other columns are left out.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle, 1, key_col))
-    codes = cut(distinct_codes(fps, 1))
-    grouped = _with_groups(fps, codes, links(codes, block_masks(radius), [radius], slice_rows), 1)
+    codes = cut(distinct_rows(fps, word_columns(1)))
+    grouped = _with_groups(fps, codes, links(codes, block_masks(radius), [radius], slice_rows), word_columns(1))
     return grouped.select("row_key", "id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "kept")
 
 
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(text, k), np.empty(0, np.uint64)]))
+
+
 def _shingle_sets(k: int):
     def compute(inputs: list[pa.Array]) -> list[pa.Array]:
-        sets = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), k), np.empty(0, np.uint64)])).view(np.int64) for t in inputs[0]]
-        return [pa.array(sets, pa.list_(pa.int64()))]
+        return [pa.array([shingle_set(t.as_py(), k).view(np.int64) for t in inputs[0]], pa.list_(pa.int64()))]
 
     return compute
 
@@ -395,24 +386,144 @@ def confirmed(edges: DataFrame, docs: DataFrame, text_col: str, key_col: str, wo
     return pairs.where(both >= similarity * every).select("u", "v")
 
 
+def frequent_shingles(keyed: DataFrame, text_col: str, key_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of frequent shingles, sorted by hash. They come late in the order of shingles; any order finds all pairs."""
+    share = ORDER_DOCS / max(1, keyed.count())
+    some = keyed.where(hash_share(key_col, SEED) < share) if share < 1 else keyed
+    sets = map_rows(some, [], [F.col(text_col).cast("binary")], lambda: _shingle_sets(words_per_shingle), "shingles array<long>")
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    hashes, counts = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def leading(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, of which every set as similar holds one among its own first."""
+    known, counts = frequent
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    needed = math.ceil(similarity * len(hashes) - ROUNDING)
+    return hashes[np.argsort(rank, kind="stable")][: len(hashes) - needed + 1]
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes' counts per residue: two sets differ in at least as many members as sketches in bits."""
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _describe_sets(k: int, similarity: float, frequent):
+    def compute(inputs: list[pa.Array]) -> list[pa.Array]:
+        sets = [shingle_set(t.as_py(), k) for t in inputs[0]]
+        digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+        first = [leading(s, frequent.value, similarity).view(np.int64) for s in sets]
+        return [pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+
+    return compute
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle, those that share theirs, with node and size of the first such row; holds one batch."""
+    names = ["shingle", "node", "size", "place", "head", "head_size"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    last = head = None
+    passed = False  # whether the last row has been passed on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shingle, node, size, place = (batch.column(i).to_numpy() for i in range(4))
+        follows = np.concatenate([[last is not None and last[0] == shingle[0]], shingle[1:] == shingle[:-1]])
+        if follows[0] and not passed:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, *head), types, strict=True)], names=names)
+        shared = follows | np.append(follows[1:], False)
+        at = np.maximum.accumulate(np.where(follows, -1, np.arange(len(shingle))))  # -1: begun in an earlier batch
+        of = [np.where(at < 0, head[i] if head else 0, x[at]) for i, x in enumerate((node, size))]
+        last, head, passed = (shingle[-1].item(), node[-1].item(), size[-1].item(), place[-1].item()), (of[0][-1].item(), of[1][-1].item()), bool(shared[-1])
+        if shared.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[shared], t) for c, t in zip((shingle, node, size, place, *of), types, strict=True)], names=names)
+
+
+def _possible_pairs(similarity: float, at_once: int = 256):
+    """Pairs of two components within each (shingle, part) run, but for those whose sizes, places or sketches rule the similarity out."""
+
+    def pairs_of(a: np.ndarray, b: np.ndarray, root, size, place, sketches) -> tuple[np.ndarray, np.ndarray]:
+        needed = np.ceil(similarity / (1 + similarity) * (size[a][:, None] + size[b][None, :]) - ROUNDING).astype(np.int64)
+        left = np.minimum((size[a] - place[a])[:, None], (size[b] - place[b])[None, :])
+        x, y = np.nonzero((root[a][:, None] != root[b][None, :]) & (left >= needed))
+        spare = size[a[x]] + size[b[y]] - 2 * needed[x, y]
+        near = np.bitwise_count(sketches[a[x]] ^ sketches[b[y]]).sum(axis=1, dtype=np.int64) <= spare
+        return a[x[near]], b[y[near]]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        key, part, query, node, root, size, place = (rows.column(i).to_numpy() for i in range(7))
+        sketches = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(key), -1)
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        for start, stop in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
+            own = start + np.flatnonzero(~query[start:stop])
+            asks = start + np.flatnonzero(query[start:stop])
+            for some in (own, asks):
+                for at in range(0, len(some), at_once):
+                    u, v = pairs_of(some[at : at + at_once], own[: at + at_once] if some is own else own, root, size, place, sketches)
+                    both = np.unique(np.stack([np.maximum(node[u], node[v]), np.minimum(node[u], node[v])], axis=1), axis=0)
+                    if len(both):
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+    return find
+
+
+def similar_pairs(shared: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float, slice_rows: int = SLICE) -> DataFrame:
+    """(u, v), u > v: all pairs that share a leading shingle, lie in two components of `joined`, and may be that similar.
+
+    A list of more than `slice_rows` rows is cut into slices, as in `links`.
+    """
+    spark = shared.sparkSession
+    of = nodes.join(joined, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+    placed = cut(shared.select("shingle", "node", "size", "place").join(of, "node"))
+    lists = placed.groupBy("shingle").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_lists = cut(lists.where("low < high").select("shingle", "parts"))
+    tagged = placed.join(open_lists, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = tagged.withColumn("part", F.explode(F.sequence("own", F.col("parts") - 1)))
+    rows = dealt.select("shingle", "part", (F.col("part") != F.col("own")).alias("query"), "node", "root", "size", "place", "sketch")
+    near = rows.repartition(tasks_for(spark) * 4, "shingle", "part").sortWithinPartitions("shingle", "part")
+    return near.mapInArrow(_possible_pairs(similarity), "u long, v long").distinct()
+
+
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, key_col: str | None = None, width: int = 2, recall: float = RECALL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, key_col: str | None = None, slice_rows: int = SLICE
 ) -> DataFrame:
     """Groups by similarity of shingle sets: (row_key, id, component_id, kept), one row per input row.
 
-    Fingerprints of `width` words and random bit masks propose the nearest links; a link holds if the Jaccard
-    similarity of the two shingle sets is at least `similarity`.  The radius lies three deviations beyond the
-    expected distance; a pair at that similarity is proposed with about the given recall, nearer pairs almost
-    surely.  Rows of one fingerprint share a group.  Nulls, ties, empty tables and ids: as `near_groups`.
+    Rows are linked if the Jaccard similarity of their sets of shingles (64-bit hashes) is at least `similarity`, and
+    no such link is missed; repeats of a shingle don't count.  Two texts without words are similar.  Nulls, ties,
+    empty tables and ids: as `near_groups`.
     """
     key = key_col or "__row_key"
-    # Two passes need the same keys, so a table without keys of its own is written first.
+    # Several passes need the same keys, so a table without keys of its own is written first.
     keyed = docs if key_col else cut(docs.select(id_col, text_col, F.monotonically_increasing_id().alias(key)))
-    fps = cut(fingerprints(keyed, id_col, text_col, words_per_shingle, width, key))
-    codes = cut(distinct_codes(fps, width))
-    bits, share = width * BITS, differing_share(similarity)
-    radius = math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
-    radii = [radius // 4, radius // 2, 3 * radius // 4, radius]
-    proposed = cut(links(codes, random_masks(codes.count(), width, similarity, recall), radii))
-    edges = confirmed(proposed, keyed, text_col, key, words_per_shingle, similarity)
-    return _with_groups(fps, codes, edges, width).select("row_key", "id", "component_id", "kept")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, text_col, key, words_per_shingle))
+    fields = "digest binary, size int, sketch binary, leading array<long>"
+    rows = cut(
+        map_rows(keyed, [F.col(key), F.col(id_col).cast("long")], [F.col(text_col).cast("binary")], lambda: _describe_sets(words_per_shingle, similarity, frequent), fields)
+        .withColumnRenamed("c0", "row_key")
+        .withColumnRenamed("c1", "id")
+    )
+    sets = cut(distinct_rows(rows, ["digest"]))
+    nodes = rows.join(sets.select(F.col("node").alias("row_key")), "row_key").withColumnRenamed("row_key", "node")
+    placed = nodes.select("node", "size", F.posexplode("leading").alias("place", "shingle")).select("shingle", "node", "size", "place")
+    listed = placed.repartition(tasks_for(docs.sparkSession) * 2, "shingle").sortWithinPartitions("shingle", "node")
+    shared = cut(listed.mapInArrow(_shared, "shingle long, node long, size int, place int, head long, head_size int"))
+    sizes = F.col("size"), F.col("head_size")
+    starred = shared.where((F.col("head") != F.col("node")) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - ROUNDING))
+    first = cut(starred.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct())
+    known = cut(confirmed(first, keyed, text_col, key, words_per_shingle, similarity))
+    pairs = similar_pairs(shared, nodes.select("node", "sketch"), components(known), similarity, slice_rows)
+    more = confirmed(cut(pairs.join(first, ["u", "v"], "left_anti")), keyed, text_col, key, words_per_shingle, similarity)
+    return _with_groups(rows, sets, known.unionByName(more), ["digest"]).select("row_key", "id", "component_id", "kept")
