@@ -35,8 +35,8 @@ HARMLESS = frozenset("phone tel fax mobile card visa isbn ip version date order
 EXAMPLE_PATHS = frozenset("test tests example examples sample samples demo doc docs fixture fixtures mock".split())
 
 CANDIDATE = re.compile(
-    r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"']?)(?P<value>[^\s\"',;]{6,})"
-    r"|(?<![A-Za-z0-9+/_.=-])(?P<plain>(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{8,}={0,2})"
+    r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[_-][a-z0-9]{1,20}){0,3}\s*[:=]\s*[\"']?)(?P<value>[^\s\"',;]{6,})"
+    r"|(?<![A-Za-z0-9+/_.-])(?P<plain>(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{8,}={0,2})"
 )
 WORD = re.compile(r"[^\W\d_]+")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
