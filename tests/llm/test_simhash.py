@@ -237,3 +237,11 @@ def test_families_around_the_similarity(spark, slice_rows):
     want = brute_groups(texts)
     assert 25 < len(set(want.values())) < 480
     assert groups_of(spark, texts, slice_rows=slice_rows) == want
+
+
+def test_one_repeated_line_does_not_make_texts_similar(spark):
+    """Same 128-bit fingerprint, Jaccard below 0.1."""
+    line = " ".join(f"l{i}" for i in range(11))
+    texts = {k: " ".join([*(f"{k}u{i}" for i in range(60)), *[line] * 100]) for k in range(3)}
+    assert len({tuple(simhash.fingerprint(t.encode(), 5, 2).tolist()) for t in texts.values()}) == 1
+    assert groups_of(spark, texts) == {0: 0, 1: 1, 2: 2}
