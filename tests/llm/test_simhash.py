@@ -245,3 +245,12 @@ def test_one_repeated_line_does_not_make_texts_similar(spark):
     texts = {k: " ".join([*(f"{k}u{i}" for i in range(60)), *[line] * 100]) for k in range(3)}
     assert len({tuple(simhash.fingerprint(t.encode(), 5, 2).tolist()) for t in texts.values()}) == 1
     assert groups_of(spark, texts) == {0: 0, 1: 1, 2: 2}
+
+
+def test_numbers_of_repeats_do_not_count(spark):
+    """Equal shingle sets whose weighted fingerprints differ widely, and near sets with other numbers of repeats."""
+    line = " ".join(f"l{i}" for i in range(11))
+    body = [f"b{i}" for i in range(200)]
+    other = [*body[:100], "changed", *body[101:]]
+    texts = {k: " ".join([*words, *[line] * n]) for k, (words, n) in enumerate([(body, 40), (body, 2), (body, 10), (other, 20), (other, 3)])}
+    assert groups_of(spark, texts) == brute_groups(texts) == dict.fromkeys(range(5), 0)
