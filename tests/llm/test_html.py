@@ -42,6 +42,15 @@ def test_pages(source, text):
     assert html.main_text(source) == text
 
 
+@pytest.mark.parametrize("opening,closing", [("<div class='content has-sidebar'>", "</div>"), ("<div class='article-with-comments'>", "</div>"), ("<section id='discussion'>", "</section>"), ("<form>", "</form>")])
+def test_names_do_not_drop_most_of_the_text(opening, closing):
+    assert html.main_text(page(f"{opening}<h1>Title</h1><p>{LONG}</p><p>{LONG} b</p>{closing}", NAV)) == f"Title\n{LONG}\n{LONG} b"
+
+
+def test_an_article_ends_unclosed_boilerplate():
+    assert html.main_text(page(f"<div class='menu'><p>Home<article><p>{LONG}</p></article>")) == LONG
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 30_000 + "x") == "x"
     text = html.main_text(page("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"))

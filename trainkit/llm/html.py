@@ -79,17 +79,24 @@ def is_noise(name: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree below the body, without what names itself boilerplate. Unclosed tags are closed as browsers do."""
+def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) -> tuple[Node, dict[int, int]]:
+    """(tree below the body without what names itself boilerplate, characters left out by the place of its tag).
+
+    Tags at the places in `spared` are kept.  Unclosed tags are closed as browsers do.
+    """
     root = here = Node("body", None)
     skip_stack: list[str] = []  # open elements from the boilerplate element on
+    skipped, skipping = {}, -1
     at, size = 0, len(page)
     while at < size:
         left = page.find("<", at)
         if left < 0:
             left = size
-        if left > at and not skip_stack:
-            here.parts.append(page[at:left])
+        if left > at:
+            if not skip_stack:
+                here.parts.append(page[at:left])
+            elif skipping >= 0:
+                skipped[skipping] = skipped.get(skipping, 0) + len("".join(page[at:left].split()))
         if left == size:
             break
         found = TAG.match(page, left)
@@ -129,9 +136,12 @@ def parse(page: str) -> Node:
         if name in ("html", "body", "head"):
             if name == "head" and not skip_stack:
                 skip_stack.append(name)
+                skipping = -1
             elif name == "body":
                 skip_stack.clear()
             continue
+        if skip_stack and name in CONTENT and skipping >= 0:
+            skip_stack.clear()  # an article begins, and with it ends an unclosed boilerplate element
         if skip_stack:
             if name not in VOID and not attributes.endswith("/"):
                 if name == "p" and "p" in skip_stack[1:]:
@@ -163,15 +173,40 @@ def parse(page: str) -> Node:
         inside = here
         while inside is not None and inside.name not in CONTENT:
             inside = inside.parent
-        if is_noise(name, attributes, inside is not None):
+        if left not in spared and is_noise(name, attributes, inside is not None):
             if not attributes.endswith("/"):
                 skip_stack.append(name)
+                skipping = left
             continue
         child = Node(name, here)
         here.parts.append(child)
         if not attributes.endswith("/"):
             here = child
-    return root
+    return root, skipped
+
+
+def has_content(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.name in CONTENT and node.chars:
+            return True
+        todo.extend(p for p in node.parts if type(p) is Node)
+    return False
+
+
+def tree(page: str) -> Node:
+    """The parsed page; a boilerplate element that holds most of its text is kept after all, if no article is left."""
+    spared: set[int] | range = set()
+    while True:
+        root, skipped = parse(page, spared)
+        measure(root)
+        most = max(skipped, key=skipped.__getitem__, default=-1)
+        if most < 0 or skipped[most] * 2 <= root.chars + sum(skipped.values()) or has_content(root):
+            return root
+        spared.add(most)
+        if len(spared) > 8:  # nested ever deeper
+            spared = range(len(page))
 
 
 def measure(root: Node) -> None:
@@ -256,9 +291,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    measure(root)
-    return "\n".join(blocks(select(root)))
+    return "\n".join(blocks(select(tree(page))))
 
 
 def _extract() -> Callable:
