@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,21 +12,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the one that `spark.checkpoint.dir` names; a local one only where all tasks run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-tables-"))
+    return f"{named.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder of `spark.checkpoint.dir`.
+    """Cuts the lineage: `df` written to the shared folder, and read from there.
 
-    A folder of our own is set only where the session names none (local tests).
+    A table is computed once, while an eager checkpoint computes its last stage twice.  Names are put aside while it is
+    written, so any names do.  Rows may be dealt out anew: a place in a partition is to be taken before.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    table = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:
@@ -32,9 +55,10 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def hash_share(id_col: str, seed: int) -> Column:
-    """A repeatable number in [0, 1) drawn from the id; null ids share one draw."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def hash_share(id_col: str, seed: int, salt: str | None = None) -> Column:
+    """A repeatable number in [0, 1) drawn from the id and, if given, the column `salt`, so that rows without ids don't share one draw."""
+    drawn = [F.lit(seed), F.col(id_col)] + ([F.col(salt)] if salt else [])
+    return F.pmod(F.xxhash64(*drawn), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def tasks_for(spark: SparkSession) -> int:

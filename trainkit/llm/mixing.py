@@ -40,17 +40,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     """
     totals = cut(sizes.groupBy(F.col("src").isNotNull().alias("has_src"), F.coalesce("src", F.lit("")).alias("src")).agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")))
     # Sampled splitters put the sources in order; a partition's first position is the number of sources before it.
-    ranged = cut(totals.repartitionByRange(F.col("has_src").desc(), F.col("src")).sortWithinPartitions(F.col("has_src").desc(), "src").withColumn("part", F.spark_partition_id()))
+    in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ordered = totals.repartitionByRange(F.col("has_src").desc(), F.col("src")).sortWithinPartitions(F.col("has_src").desc(), "src")
+    ranged = cut(ordered.withColumn("part", F.spark_partition_id()).withColumn("in_part", in_part))
     before = ranged.groupBy("part").agg(F.count("*").alias("n")).collect()
     offset = {}
     total = 0
     for part, n in sorted(before):
         offset[part] = total
         total += n
-    in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     first = F.element_at(F.create_map(*[F.lit(x) for kv in offset.items() for x in kv]), F.col("part")) if offset else F.lit(0)
     share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("first") + F.col("in_part")) % len(weights) + 1).cast("int"))
-    weighed = cut(ranged.withColumn("in_part", in_part).withColumn("first", first).withColumn("weight", share).drop("in_part", "first", "part"))
+    weighed = cut(ranged.withColumn("first", first).withColumn("weight", share).drop("in_part", "first", "part"))
     limit = F.col("source_size") * float(max_repeat)
     rate, held = 0.0, -1
     while True:
@@ -139,7 +140,7 @@ def mix(
     """One row per input row: (row_key, id, source, size, source_size, target, copies, taken).
 
     `taken` = copies * size; copies is a whole number of at most `max_repeat`, rounded up.  Empty and null texts have
-    size 0 and take 0 words; a source of size 0 has target 0.  Reruns agree: buckets, order and draws come from ids
+    size 0 and take 0 words; a source of size 0 has target 0.  Very long texts are counted whole.  Reruns agree: buckets, order and draws come from ids
     and sizes (of rows that share an id, from row keys).  An empty table gives an empty result; other columns are left out.
     """
     key = F.col(key_col) if key_col else F.monotonically_increasing_id()
@@ -147,6 +148,12 @@ def mix(
         docs.select(key.alias("row_key"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("src"), size_in_words(F.col(text_col)).alias("size"))
     )
     targets = cut(source_targets(rows, weights, max_repeat))
+    # An id that would fill buckets of its own is dealt out by row keys.
+    hot = rows.where("id IS NOT NULL").groupBy("id").count().where(F.col("count") > BUCKET_ROWS).select(F.col("id").alias("hot_id"))
+    if hot.isEmpty():
+        rows = rows.withColumn("dealt_by", F.coalesce("id", "row_key"))
+    else:
+        rows = rows.join(hot, F.col("id") == F.col("hot_id"), "left").withColumn("dealt_by", F.when(F.col("hot_id").isNull(), F.coalesce("id", "row_key")).otherwise(F.col("row_key"))).drop("hot_id")
     n_sources, longest = targets.agg(F.count("*"), F.max(F.length("src"))).first()
     small = n_sources <= BROADCAST_SOURCES and (longest or 0) <= 1024
     asked = (
@@ -156,7 +163,7 @@ def mix(
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("ratio") + EPS).cast("long"))
         .withColumn("frac", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("id", "row_key")), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long"))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "dealt_by"), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long"))
         .withColumn("copies", F.when((F.col("size") == 0) | (F.col("frac") <= EPS), F.lit(0)).cast("long"))
         .select("row_key", "id", "src", "has_src", "size", "source_size", "target", "bucket", "whole", "frac", "copies")
     )

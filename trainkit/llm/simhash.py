@@ -1,22 +1,25 @@
 """Near-duplicates: SimHash with a Gray-order hierarchical index, and an exact join of similar shingle sets.
 
-`near_groups` makes 64-bit fingerprints inside Arrow tasks.  Distinct fingerprints are dealt out by radius + 1 bit
-blocks, one of which near ones share (pigeonhole, nothing is missed).  Inside a key the fingerprints are sorted
-by Gray rank and indexed bottom-up: every node keeps the bits on which all its members agree (mask and pattern).
-A search adds up masked differences from the top and prunes whole nodes beyond the radius, and nodes that lie in
-the searcher's component already; so a dense group of near copies yields the nearest links that span it, not its
-pairs.
-
-`similar_groups` takes no fingerprints.  Sets that are similar share a shingle among the first few of each, in any
-order that all sets keep to; rare ones come first.  In the lists of sets by shingle, links to the first one are confirmed
-first and joined; then every pair of a list that lies in two components is tested, unless a bound on its overlap rules
-it out.  The links are joined to components by distributed star contraction.
+`near_groups` makes 64-bit fingerprints inside Arrow tasks.  Distinct fingerprints are dealt out by keys of bit
+blocks: near ones share one of them (pigeonhole, nothing is missed); the more rows, the longer the keys.  Inside a
+key the fingerprints are sorted by Gray rank and indexed bottom-up: every node keeps the bits on which all its
+members agree (mask and pattern).  A search adds up masked differences from the top and prunes whole nodes beyond
+the radius, and nodes that lie in the searcher's component already; so a dense group of near copies yields the
+nearest links that span it, not its pairs.
+
+`similar_groups` confirms what that index proposes by the Jaccard similarity of the shingle sets, and completes it,
+because fingerprints of similar sets may differ in any number of bits: sets that are similar share a shingle among
+the first few of each, in any order that all sets keep to; rare ones come first.  Links are confirmed before they join
+anything: first the index's and those to the first set in the list of a shingle; then every pair of a list that still
+lies in two components, unless a bound on its overlap rules it out.  Distributed star contraction joins the links to
+components.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import cut, hash_share, map_rows, tasks_for
+from trainkit.llm.common import cut, forget, hash_share, map_rows, tasks_for
 
 BITS = 64
 FANOUT = 16
 SLICE = 4096  # rows of one index; larger keys are searched slice by slice
+WINDOW_ROWS = 65_536  # rows of sorted lists that a task looks at together
+RADIUS = 4
 SHINGLES_AT_ONCE = 65_536
 SEED = 42
 SKETCH = 512  # bits of a set's parity sketch
@@ -63,16 +68,26 @@ def shingle_hashes(text: bytes | None, k: int) -> Iterator[np.ndarray]:
         yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[part], stops[part], strict=True)], np.uint64)
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, total: int) -> np.ndarray:
+    """Words of the bits that are set in more than half of `total` hashes."""
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
 def fingerprint(text: bytes | None, words_per_shingle: int = 4, width: int = 1) -> np.ndarray:
     """SimHash as `width` unsigned words of 64 bits; zero for a text without words. The first word uses XXH64 itself."""
     ones, total = np.zeros((width, BITS), np.int64), 0
     for hashes in shingle_hashes(text, words_per_shingle):
         total += len(hashes)
         for w in range(width):
-            ones[w] += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones[w] += bits_set(hashes)
             if w + 1 < width:
                 hashes = _remixed(hashes)
-    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64) if total else np.zeros(width, np.uint64)
+    return majority(ones, total) if total else np.zeros(width, np.uint64)
 
 
 def word_columns(width: int) -> list[str]:
@@ -221,15 +236,24 @@ def spanning_links(codes: np.ndarray, radii: list[int], asking: np.ndarray | Non
     return np.concatenate(u), np.concatenate(v)
 
 
-def bit_blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bit blocks that make up one word."""
-    bounds = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+def bit_blocks(count: int) -> list[int]:
+    """Masks of `count` bit blocks that make up one word."""
+    bounds = [round(i * BITS / count) for i in range(count + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def block_masks(radius: int, blocks: int | None = None) -> np.ndarray:
+    """Masks of which fingerprints of one word within the radius agree on at least one: all choices of blocks - radius blocks."""
+    blocks = blocks or radius + 1
+    return np.array([[sum(chosen)] for chosen in combinations(bit_blocks(blocks), blocks - radius)], np.uint64)
 
 
-def block_masks(radius: int) -> np.ndarray:
-    """Masks of which fingerprints of one word within the radius agree on at least one."""
-    return np.array([[((1 << w) - 1) << s] for s, w in bit_blocks(radius)], np.uint64)
+def blocks_for(rows: int, radius: int, slice_rows: int = SLICE) -> int:
+    """The fewest blocks whose keys are long enough that a key of evenly spread fingerprints fits one index."""
+    blocks = radius + 1
+    while blocks < 2 * radius and rows > slice_rows << ((blocks - radius) * (BITS // blocks)):
+        blocks += 1
+    return blocks
 
 
 def keys_of(masks: np.ndarray) -> list[Column]:
@@ -245,8 +269,51 @@ def first_shared(masks: np.ndarray, differing: np.ndarray) -> np.ndarray:
     return first
 
 
+def windows(batches: Iterator[pa.RecordBatch], at_once: int = WINDOW_ROWS) -> Iterator[tuple[pa.Table, int]]:
+    """(rows, how many of them were seen before) of a partition sorted by key, part, query: whole runs of a key and part.
+
+    A run of more than `at_once` rows comes in pieces, each after the run's own rows, of which there are few.
+    """
+    held: list[pa.RecordBatch] = []
+    n = again = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n - again < at_once:
+            continue
+        rows = pa.Table.from_batches(held)
+        key, part, query = (rows.column(i).to_numpy() for i in range(3))
+        change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        if len(change):
+            cut_at = int(change[-1]) + 1
+            yield rows.slice(0, cut_at), again
+            rest, again = rows.slice(cut_at), 0
+        elif query[-1]:
+            yield rows, again
+            again = int((~query).sum())
+            rest = rows.slice(0, again)
+        else:
+            continue
+        held, n = rest.to_batches(), rest.num_rows
+    if n > again:
+        yield pa.Table.from_batches(held), again
+
+
+def runs_of(rows: pa.Table, again: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(places of own rows, places of asking rows, whether the own rows are new) of each run with a pair."""
+    key, part, query = (rows.column(i).to_numpy() for i in range(3))
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+    stops = np.append(starts[1:], len(key))
+    several = stops - starts > 1
+    for a, b in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
+        middle = a + int((~query[a:b]).sum())
+        yield np.arange(a, middle), np.arange(middle, b), not (again and a == 0)
+
+
 def _link_keys(radii: list[int], masks: np.ndarray):
-    """Links within each (key, part) run of a partition that is sorted by them.
+    """Links within each (key, part) run of a partition that is sorted by key, part, query.
 
     A pair is listed under the first mask that it shares only.  There, nearer links connect it if it was not
     listed itself, so later masks would just repeat it.
@@ -254,30 +321,23 @@ def _link_keys(radii: list[int], masks: np.ndarray):
     width = masks.shape[1]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        key, part, query, node, table = (rows.column(i).to_numpy() for i in range(5))
-        codes = np.stack([rows.column(5 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-        stops = np.append(starts[1:], len(key))
-        several = stops - starts > 1
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
-            asks = np.flatnonzero(query[a:b])
-            own = np.flatnonzero(~query[a:b])
-            u, v = spanning_links(codes[a + own], radii) if len(own) else (own, own)
-            found.append((a + own[u], a + own[v]))
-            if len(own) and len(asks):
-                both = np.concatenate([own, asks])
-                u, v = spanning_links(codes[a + own], radii, codes[a + asks])
-                found.append((a + both[u], a + both[v]))
-        if found:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            here = first_shared(masks, codes[u] ^ codes[v]) == table[u]
-            u, v = node[u[here]], node[v[here]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+        for rows, again in windows(batches):
+            node, table = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+            codes = np.stack([rows.column(5 + w).to_numpy().view(np.uint64) for w in range(width)], axis=1)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for own, asks, new in runs_of(rows, again):
+                if new and len(own) > 1:
+                    u, v = spanning_links(codes[own], radii)
+                    found.append((own[u], own[v]))
+                if len(own) and len(asks):
+                    both = np.concatenate([own, asks])
+                    u, v = spanning_links(codes[own], radii, codes[asks])
+                    found.append((both[u], both[v]))
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+                here = first_shared(masks, codes[u] ^ codes[v]) == table[u]
+                u, v = node[u[here]], node[v[here]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     return find
 
@@ -294,38 +354,32 @@ def links(codes: DataFrame, masks: np.ndarray, radii: list[int], slice_rows: int
     tagged = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = tagged.select("key", "table", "node", *words, "own", F.explode(F.sequence("own", F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
     rows = dealt.select("key", "part", (F.col("part") != F.col("own")).alias("query"), "node", "table", *words)
-    near = rows.repartition(tasks_for(spark) * max(1, len(masks) // 8), "key", "part").sortWithinPartitions("key", "part")
+    near = rows.repartition(tasks_for(spark), "key", "part").sortWithinPartitions("key", "part", "query")
     return near.mapInArrow(_link_keys(radii, masks), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
     Alternates two contractions until nothing changes: every node's neighbours hang on its smallest one.
     Only a count and a checksum reach the driver.
     """
-    # Arrow drops what the optimiser infers of the edges, or it would double in every round.
-    edges = edges.select("u", "v").mapInArrow(lambda batches: batches, "u long, v long")
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    for _ in range(max_rounds):
+    seen = before = None
+    while seen is None or seen != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
         # Plain scans on both sides of the joins, so that Spark can split a hot node.
         large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now, before = cut(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()), seen
+        new = cut(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        forget(now, low, large, least)
+        now, before = new, seen
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-
-
 def _best_row() -> Column:
     return F.min_by(F.struct("id", "row_key"), F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key")))
 
@@ -347,7 +401,7 @@ def _with_groups(rows: DataFrame, firsts: DataFrame, edges: DataFrame, columns:
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4, key_col: str | None = None, slice_rows: int = SLICE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = RADIUS, key_col: str | None = None, slice_rows: int = SLICE
 ) -> DataFrame:
     """Groups by 64-bit fingerprints: (row_key, id, fingerprint, component_id, kept), one row per input row.
 
@@ -358,7 +412,8 @@ def near_groups(
     """
     fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle, 1, key_col))
     codes = cut(distinct_rows(fps, word_columns(1)))
-    grouped = _with_groups(fps, codes, links(codes, block_masks(radius), [radius], slice_rows), word_columns(1))
+    masks = block_masks(radius, blocks_for(codes.count(), radius, slice_rows))
+    grouped = _with_groups(fps, codes, links(codes, masks, [radius], slice_rows), word_columns(1))
     return grouped.select("row_key", "id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id", "kept")
 
 
@@ -420,7 +475,10 @@ def _describe_sets(k: int, similarity: float, frequent):
         sets = [shingle_set(t.as_py(), k) for t in inputs[0]]
         digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
         first = [leading(s, frequent.value, similarity).view(np.int64) for s in sets]
-        return [pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+        codes = np.array([majority(bits_set(s)[None], len(s))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        return [
+            pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(codes)
+        ]
 
     return compute
 
@@ -458,23 +516,17 @@ def _possible_pairs(similarity: float, at_once: int = 256):
         return a[x[near]], b[y[near]]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        key, part, query, node, root, size, place = (rows.column(i).to_numpy() for i in range(7))
-        sketches = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(key), -1)
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-        for start, stop in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
-            own = start + np.flatnonzero(~query[start:stop])
-            asks = start + np.flatnonzero(query[start:stop])
-            for some in (own, asks):
-                for at in range(0, len(some), at_once):
-                    u, v = pairs_of(some[at : at + at_once], own[: at + at_once] if some is own else own, root, size, place, sketches)
-                    both = np.unique(np.stack([np.maximum(node[u], node[v]), np.minimum(node[u], node[v])], axis=1), axis=0)
-                    if len(both):
-                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+        for rows, again in windows(batches):
+            node, root, size, place = (rows.column(i).to_numpy() for i in range(3, 7))
+            sketches = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(node), -1)
+            size, place = size.astype(np.int64), place.astype(np.int64)
+            for own, asks, new in runs_of(rows, again):
+                for some in (own, asks) if new else (asks,):
+                    for at in range(0, len(some), at_once):
+                        u, v = pairs_of(some[at : at + at_once], own[: at + at_once] if some is own else own, root, size, place, sketches)
+                        both = np.unique(np.stack([np.maximum(node[u], node[v]), np.minimum(node[u], node[v])], axis=1), axis=0)
+                        if len(both):
+                            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
     return find
 
@@ -492,10 +544,18 @@ def similar_pairs(shared: DataFrame, nodes: DataFrame, joined: DataFrame, simila
     tagged = placed.join(open_lists, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = tagged.withColumn("part", F.explode(F.sequence("own", F.col("parts") - 1)))
     rows = dealt.select("shingle", "part", (F.col("part") != F.col("own")).alias("query"), "node", "root", "size", "place", "sketch")
-    near = rows.repartition(tasks_for(spark) * 4, "shingle", "part").sortWithinPartitions("shingle", "part")
+    near = rows.repartition(tasks_for(spark) * 2, "shingle", "part").sortWithinPartitions("shingle", "part", "query")
     return near.mapInArrow(_possible_pairs(similarity), "u long, v long").distinct()
 
 
+def proposed(sets: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
+    """(u, v), u > v: sets (node, f0) of one fingerprint hang on the first of them; the index links those first ones."""
+    firsts = cut(sets.groupBy("f0").agg(F.min("node").alias("node")))
+    near = links(firsts, block_masks(radius, blocks_for(firsts.count(), radius, slice_rows)), [radius], slice_rows)
+    same = sets.join(firsts.withColumnRenamed("node", "v"), "f0").where("node <> v").select(F.col("node").alias("u"), "v")
+    return near.unionByName(same)
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, key_col: str | None = None, slice_rows: int = SLICE
 ) -> DataFrame:
@@ -503,27 +563,34 @@ def similar_groups(
 
     Rows are linked if the Jaccard similarity of their sets of shingles (64-bit hashes) is at least `similarity`, and
     no such link is missed; repeats of a shingle don't count.  Two texts without words are similar.  Nulls, ties,
-    empty tables and ids: as `near_groups`.
+    repeated rows, very long texts, empty tables and ids: as `near_groups`.  `docs` must be a written table if
+    `key_col` is made from the scan order.
     """
-    key = key_col or "__row_key"
+    key = key_col or "row_key"
     # Several passes need the same keys, so a table without keys of its own is written first.
-    keyed = docs if key_col else cut(docs.select(id_col, text_col, F.monotonically_increasing_id().alias(key)))
+    keyed = docs if key_col else cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias(key)))
+    if not key_col:
+        id_col, text_col = "id", "text"
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, text_col, key, words_per_shingle))
-    fields = "digest binary, size int, sketch binary, leading array<long>"
+    fields = "digest binary, size int, sketch binary, leading array<long>, f0 long"
     rows = cut(
         map_rows(keyed, [F.col(key), F.col(id_col).cast("long")], [F.col(text_col).cast("binary")], lambda: _describe_sets(words_per_shingle, similarity, frequent), fields)
         .withColumnRenamed("c0", "row_key")
         .withColumnRenamed("c1", "id")
     )
-    sets = cut(distinct_rows(rows, ["digest"]))
+    frequent.unpersist()
+    sets = cut(distinct_rows(rows, ["digest", "f0"]))
     nodes = rows.join(sets.select(F.col("node").alias("row_key")), "row_key").withColumnRenamed("row_key", "node")
     placed = nodes.select("node", "size", F.posexplode("leading").alias("place", "shingle")).select("shingle", "node", "size", "place")
     listed = placed.repartition(tasks_for(docs.sparkSession) * 2, "shingle").sortWithinPartitions("shingle", "node")
     shared = cut(listed.mapInArrow(_shared, "shingle long, node long, size int, place int, head long, head_size int"))
     sizes = F.col("size"), F.col("head_size")
     starred = shared.where((F.col("head") != F.col("node")) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - ROUNDING))
-    first = cut(starred.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct())
+    asked = starred.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v"))
+    first = cut(asked.unionByName(proposed(sets.select("node", "f0"), RADIUS, slice_rows)).distinct())
     known = cut(confirmed(first, keyed, text_col, key, words_per_shingle, similarity))
-    pairs = similar_pairs(shared, nodes.select("node", "sketch"), components(known), similarity, slice_rows)
-    more = confirmed(cut(pairs.join(first, ["u", "v"], "left_anti")), keyed, text_col, key, words_per_shingle, similarity)
+    joined = components(known)
+    pairs = cut(similar_pairs(shared, nodes.select("node", "sketch"), joined, similarity, slice_rows).join(first, ["u", "v"], "left_anti"))
+    more = cut(confirmed(pairs, keyed, text_col, key, words_per_shingle, similarity))
+    forget(shared, first, pairs)
     return _with_groups(rows, sets, known.unionByName(more), ["digest"]).select("row_key", "id", "component_id", "kept")
