@@ -19,17 +19,31 @@ def brute(text, items, window=13):
     doc, hit, found = words(text), set(), set()
     for item, item_text in items:
         w = words(item_text)
-        if item is None or not w:
+        if not w:
             continue
         n = min(len(w), window)
         keys = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
         for i in range(len(doc) - n + 1):
             if tuple(doc[i : i + n]) in keys:
                 hit.update(range(i, i + n))
-                found.add(str(item))
+                if item is not None:
+                    found.add(str(item))
     return len(doc), len(hit), sorted(found)
 
 
+def longest(text, item_text, window=13):
+    """Words of the longest verbatim match that holds a window."""
+    doc, w = words(text), words(item_text)
+    best = 0
+    for i in range(len(doc)):
+        for j in range(len(w)):
+            n = 0
+            while i + n < len(doc) and j + n < len(w) and doc[i + n] == w[j + n]:
+                n += 1
+            best = max(best, n)
+    return best if best >= min(window, max(1, len(w))) else 0
+
+
 ITEMS = [
     (1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"),
     (2, "a short item"),
@@ -37,6 +51,7 @@ ITEMS = [
     (4, None),
     (5, ""),
     (None, "a short item"),
+    (None, "only here"),
     (6, "à la carte \U0001f600"),
     (2, "a short item"),
     (10, "the cat sat on"),
@@ -46,6 +61,7 @@ TEXTS = [
     "two three four five six seven eight nine ten eleven twelve thirteen fourteen",
     "A short item, a SHORT item; a short a short item",
     "one two three",
+    "only here it is",
     "",
     None,
     "menu à la carte \U0001f600 !",
@@ -63,7 +79,40 @@ def test_against_brute_force(spark, block_words):
         r = got[i]
         assert (r.n_words, r.n_hit, r.item_ids) == brute(text, ITEMS)
         assert sum(s.stop - s.start for s in r.spans) == r.n_hit
-        assert r.longest == max((s.stop - s.start for s in r.spans), default=0)
+        check_matches(text, r.matches, ITEMS)
+        assert r.longest == max((longest(text, x) for _, x in ITEMS), default=0)
+
+
+def check_matches(text, matches, items):
+    """Every item's longest match, and the same words at both places."""
+    doc = words(text)
+    best = {}
+    for m in matches:
+        texts = [words(x) for item, x in items if (str(item) if item is not None else None) == m.item_id]
+        assert any(doc[m.start : m.start + m.length] == w[m.item_start : m.item_start + m.length] for w in texts)
+        best[m.item_id] = max(m.length, best.get(m.item_id, 0))
+    want = {}
+    for item, x in items:
+        n = longest(text, x)
+        if n:
+            key = str(item) if item is not None else None
+            want[key] = max(n, want.get(key, 0))
+    assert best == want
+
+
+def test_two_adjacent_windows_are_no_longer_match(spark):
+    left, right = (" ".join(f"{c}{i}" for i in range(13)) for c in "ab")
+    bench = spark.createDataFrame([(1, left), (2, right)], "item_id long, text string")
+    row = decontam.match(spark.createDataFrame([(1, f"{left} {right}")], "doc_id long, text string"), bench, [F.col("doc_id")]).first()
+    assert (row.n_hit, row.longest, len(row.spans), [m.length for m in row.matches]) == (26, 13, 1, [13, 13])
+
+
+def test_places_in_an_item(spark):
+    item = " ".join(f"i{k}" for k in range(200))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(90, 140)))], "doc_id long, text string")
+    row = decontam.match(docs, bench, [F.col("doc_id")]).first()
+    assert (row.n_hit, row.longest, row.matches[0].item_start) == (50, 50, 90)
 
 
 def test_many_windows_and_small_shards(spark, monkeypatch):
@@ -83,12 +132,16 @@ def test_many_windows_and_small_shards(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = decontam.match(docs, spark.createDataFrame(items, "item_id long, text string"), [F.col("doc_id")]).collect()
     assert all((r.n_words, r.n_hit, r.item_ids) == brute(texts[r.c0], items) for r in got)
+    for r in got[:40]:
+        check_matches(texts[r.c0], r.matches, items)
 
 
 def test_awkward_rows(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontam.match(awkward(spark), bench, [F.col("doc_id"), F.col("score")]).collect()
     assert len(got) == 11
+    shorter = decontam.match(awkward(spark), bench, [F.col("doc_id"), F.col("score")], block_words=3).collect()
+    assert sorted((str(r.c0), r.n_hit, r.item_ids) for r in got) == sorted((str(r.c0), r.n_hit, r.item_ids) for r in shorter)
     assert {r.c0: r.item_ids for r in got}[1] == ["10"]
     assert decontam.match(nothing(spark), bench, [F.col("doc_id")]).count() == 0
     none = decontam.match(awkward(spark), spark.createDataFrame([], "item_id long, text string"), [F.col("doc_id")])

@@ -2,6 +2,7 @@ from hashlib import sha256
 
 import corpus_pipeline
 from tests.conftest import ORACLE
+from tests.llm.fixtures import AWKWARD
 from tests.llm.test_decontam import brute
 from tests.llm.test_mixing import check as check_mix
 from tests.llm.test_simhash import shingle_set, similar
@@ -40,6 +41,19 @@ def test_stages_one_by_one(spark, tmp_path):
         docs, before = after, kept
 
 
+def test_awkward_rows_and_clashing_names(spark, tmp_path):
+    """Every stage takes nulls, repeats, empty and long texts and any column names, and an empty table."""
+    names = ["doc_id", "text", "row_key", "kept", "c0", "source", "a`b", "score", "my col"]
+    rows = [(r[0], r[1], r[7], r[8], r[6], r[3], r[2], r[5], r[4]) for r in AWKWARD]
+    odd = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in zip(names, "long string string string long string string double long".split(), strict=True)))
+    for docs, counts in ((odd.repartition(2), [11, 7, 6, 11, 11]), (odd.limit(0), [0] * 5)):
+        for (name, stage), count in zip(corpus_pipeline.STAGES, counts, strict=True):
+            out = stage(spark, docs, "/root/testdata/sf0.001").collect()
+            assert len(out) == count, name
+            if name != "mixing":
+                assert all(tuple(r) in rows for r in out) and (not out or list(out[0].asDict()) == names)
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0

@@ -29,9 +29,39 @@ def test_segments_against_brute_force(scores):
     assert sorted(s for _, _, s in got) == sorted(s for _, _, s in brute_segments(scores))
 
 
+def test_segments_in_linear_time():
+    """Alternating words once made every word look back at all earlier segments."""
+    import time
+
+    began = time.perf_counter()
+    assert len(toxicity.segments(np.tile([1.0, -0.999], 100_000))) == 1
+    assert len(toxicity.segments(np.tile([1.0, -1.001], 100_000))) == 100_000
+    assert time.perf_counter() - began < 5
+
+
+def test_query_against_brute_force(spark):
+    """Scores of short documents, segment by segment in plain Python, from the counts that were learnt."""
+    docs = spark.read.parquet(f"{ORACLE}/documents.parquet")
+    labels = spark.read.parquet(f"{ORACLE}/labels.parquet").where(queries.id_remainder("doc_id", 4) != 2)
+    model = toxicity.learn(docs, labels)
+    odds = model.odds()
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, ORACLE).collect()}
+    seen = 0
+    for r in docs.select("doc_id", "text").collect():
+        words = toxicity.words_of(r.text)
+        if len(words) > 60:
+            continue
+        found = [model.rate * s - np.log(model.size * len(words)) for _, _, s in brute_segments([odds[w] - toxicity.PENALTY for w in words])]
+        strong = sum(x for x in found if x > 0)
+        want = 0.02 + 0.98 * (1 - np.exp(-model.scale * strong)) if strong > 0 else 0.02 * np.exp(max(found)) if found else 0.0
+        assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].predicted == int(want >= 0.3)
+        seen += 1
+    assert seen > 50
+
+
 def test_a_rare_inflection_inherits_from_its_stem():
-    counts = {"4:grob": (50, 0), "5:grobi": (50, 0), "grobian": (50, 0), "4:haus": (5, 500)}
-    odds = toxicity.LogOdds(counts, 1000, 9000)
+    counts = sorted((toxicity.hash_of(k), v) for k, v in {"4:grob": (50, 0), "5:grobi": (50, 0), "grobian": (50, 0), "4:haus": (5, 500)}.items())
+    odds = toxicity.LogOdds(np.array([k for k, _ in counts]), np.array([v for _, v in counts]), 1000, 9000)
     assert odds["grobians"] > 2 > 0 > odds["hausboot"]
     assert odds["grobian"] > odds["grobians"]
 

@@ -1,10 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-The documents of an Arrow batch make one shard.  Words outside the benchmark's vocabulary cannot be part of
-a match, so the shard's suffix array holds only suffixes that stay inside it for a window's length, sorted by
-their leading words.  Every benchmark suffix (its leading window) is found by binary search; the range of
-equal suffixes gives all verbatim occurrences and their places.  Overlapping occurrences join to the longest
-verbatim stretches.  A document lies in one shard, so nothing is shuffled.
+The documents of an Arrow batch make one shard.  Two neighbouring words that no benchmark item has can't lie in a
+match, so only suffixes that stay clear of such pairs for a window's length are kept.  The shard's suffix array is
+their sorted order, found by prefix doubling.  Every benchmark suffix is looked up by binary search: the range of
+suffixes that agree on its leading window gives all verbatim occurrences, and comparing on from there their lengths,
+so that every item's longest verbatim match in a document is known with its place in both.  A document lies in one
+shard, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,126 +19,170 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import map_rows
+from trainkit.llm.common import cut, map_rows
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: all but ASCII signs, capitals and controls
 WINDOW = 13
 BLOCK_WORDS = 1_000_000  # benchmark words in one broadcast; a larger benchmark goes in several
+PIECE_WORDS = 50_000  # a longer item goes in pieces that overlap by a window
 SHARD_WORDS = 1_000_000
-FIELDS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int>>, longest int"
+MATCH = "item_id:string,start:int,item_start:int,length:int"
+HITS = f"spans array<struct<start:int,stop:int>>, matches array<struct<{MATCH}>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return WORDS.findall((text or b"").lower())
 
 
-class Windows:
-    """The distinct leading windows of all suffixes of some benchmark items."""
+def doubled(ids: np.ndarray, deepest: int) -> list[np.ndarray]:
+    """Ranks of the next 1, 2, 4, ... up to `deepest` words of every place, in their order. A zero ends a text and sorts first."""
+    levels = [np.append(ids, np.zeros(deepest, np.int64))]
+    while 1 << (len(levels) - 1) < deepest:
+        last, step = levels[-1], 1 << (len(levels) - 1)
+        right = np.append(last[step:], np.zeros(step, np.int64))
+        levels.append(np.unique(last * (int(last.max()) + 1) + right, return_inverse=True)[1])
+    return levels
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+
+def common(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Words in common at the places a[i] and b[i], up to most[i] (no more than the text at b[i] has), from the longest level down."""
+    length = np.zeros(len(a), np.int64)
+    last = len(levels[0]) - 1
+    for k in range(len(levels) - 1, -1, -1):
+        same = levels[k][np.minimum(a + length, last)] == levels[k][np.minimum(b + length, last)]
+        length += same.astype(np.int64) << k
+    return np.minimum(length, most)
+
+
+class Suffixes:
+    """Items of the benchmark as word numbers, each followed by a zero, and their windows."""
+
+    def __init__(self, items: list[tuple[str | None, int, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        index: dict[tuple[int, ...], int] = {}
-        owners: list[set[str]] = []
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for at in range(max(1, len(ids) - window + 1)):
-                key = tuple(ids[at : at + window])
-                place = index.setdefault(key, len(index))
-                if place == len(owners):
-                    owners.append(set())
-                owners[place].add(item)
-        self.lengths = np.array([len(k) for k in index], np.int64)
-        low, high = np.zeros((len(index), window), ">u4"), np.full((len(index), window), 0xFFFFFFFF, ">u4")
-        for i, key in enumerate(index):
-            low[i, : len(key)] = high[i, : len(key)] = key
-        self.low, self.high = self._keys(low), self._keys(high)
-        names = sorted({x for s in owners for x in s})
-        number = {x: k for k, x in enumerate(names)}
-        self.names = np.array(names, object)
-        self.owner_at = np.cumsum([0, *map(len, owners)])
-        self.owner = np.array([number[x] for s in owners for x in sorted(s)], np.int64)
-
-    @staticmethod
-    def _keys(rows: np.ndarray) -> np.ndarray:
-        """Rows of big-endian numbers as byte strings that sort like them."""
-        return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}").ravel()
-
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, window) of every occurrence in a shard of vocabulary ids, zero for foreign words and bounds."""
+        self.names = [name for name, _, _ in items]
+        self.firsts = np.array([first for _, first, _ in items], np.int64)  # of pieces of long items
+        sizes = np.array([len(words) for _, _, words in items], np.int64)
+        number = self.vocabulary.setdefault
+        ids = [[number(w, len(self.vocabulary) + 1) for w in words] + [0] for _, _, words in items]
+        self.ids = np.array([x for part in ids for x in part], np.int64)
+        self.starts = np.cumsum(np.append(0, sizes + 1))[:-1]
+        counts = np.maximum(1, sizes - window + 1)  # windows of each item; a shorter item is one
+        self.item = np.repeat(np.arange(len(items)), counts)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.suffix = self.starts[self.item] + step
+        self.rest = sizes[self.item] - step  # words up to the item's end
+        self.length = np.minimum(window, sizes)[self.item]
+        self.longest = int(sizes.max(initial=1))
+        self.shortest = int(self.length.min(initial=window))
+        base = len(self.vocabulary) + 1
+        self.pairs = np.unique(self.ids[:-1] * base + self.ids[1:])
+
+    def reach(self, ids: np.ndarray) -> np.ndarray:
+        """Words from each place on that the benchmark knows, neighbour by neighbour."""
+        if not len(ids):
+            return ids
+        base = len(self.vocabulary) + 1
+        pair = ids[:-1] * base + ids[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        follows = np.append((self.pairs[at] == pair) & (ids[1:] > 0), False)
+        ends = np.flatnonzero(~follows)
+        place = np.arange(len(ids))
+        return np.where(ids > 0, ends[np.searchsorted(ends, place)] - place + 1, 0)
+
+    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the shard, window, words in common) of every occurrence of a window in a shard of word numbers."""
         none = np.empty(0, np.int64)
-        if not len(self.lengths) or not len(ids):
-            return none, none
-        ends = np.flatnonzero(ids == 0)
-        at = np.arange(len(ids))
-        reach = np.append(ends, len(ids))[np.searchsorted(ends, at)] - at  # words up to the next foreign one
-        suffix = np.flatnonzero(reach >= self.lengths.min())
-        if not len(suffix):
-            return none, none
-        padded = np.concatenate([ids, np.zeros(self.window, ids.dtype)])
-        leading = padded[suffix[:, None] + np.arange(self.window)]
-        leading[np.arange(self.window)[None, :] >= reach[suffix][:, None]] = 0
-        keys = self._keys(leading.astype(">u4"))
-        order = np.argsort(keys, kind="stable")
-        keys, suffix = keys[order], suffix[order]
-        low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+        if not len(self.names):
+            return none, none, none
+        reach = self.reach(ids)
+        starts = np.flatnonzero((reach > 0) & (np.append(0, reach[:-1]) < 2) & (reach >= self.shortest))
+        if not len(starts):
+            return none, none, none
+        # The stretches that may hold a match, each followed by a zero, and the benchmark behind them.
+        sizes = reach[starts] + 1
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.repeat(starts, sizes) + within
+        inside = within < np.repeat(sizes - 1, sizes)
+        text = np.where(inside, ids[np.minimum(place, len(ids) - 1)], 0)
+        levels = doubled(np.concatenate([text, self.ids]), max(self.longest, self.window))
+        suffix = np.flatnonzero(inside)
+        suffix = suffix[np.argsort(levels[-1][suffix], kind="stable")]
+        asked = len(text) + self.suffix
+        low, high = (self._bound(levels, suffix, asked, after) for after in (False, True))
         found = np.flatnonzero(high > low)
-        sizes = (high - low)[found]
-        window = np.repeat(found, sizes)
-        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return suffix[np.repeat(low[found], sizes) + step], window
-
-
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Windows]:
-    """Blocks of at most about `block_words` words; the driver holds one at a time. Items without id or words are left out."""
-    items, total = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    for row in rows.toLocalIterator():
-        words = words_of(bytes(row["text"]))
-        if words:
-            items.append((row["id"], words))
-            total += len(words)
-        if total >= block_words:
-            yield Windows(items, window)
-            items, total = [], 0
-    if items:
-        yield Windows(items, window)
-
-
-def _judge(blocks: list, window: int) -> Callable:
-    def shard(texts: list[bytes | None]) -> list[tuple]:
+        many = (high - low)[found]
+        window = np.repeat(found, many)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = suffix[np.repeat(low[found], many) + step]
+        return place[at], window, common(levels, at, asked[window], self.rest[window])
+
+    def _bound(self, levels: list[np.ndarray], suffix: np.ndarray, asked: np.ndarray, after: bool) -> np.ndarray:
+        """For each window the first place in the suffix array that is not before it (or, `after`, that is behind it)."""
+        low, high = np.zeros(len(asked), np.int64), np.full(len(asked), len(suffix), np.int64)
+        words = levels[0]
+        while (low < high).any():
+            open_ = np.flatnonzero(low < high)
+            mid = (low[open_] + high[open_]) // 2
+            a, b, most = suffix[mid], asked[open_], self.length[open_]
+            same = common(levels, a, b, most)
+            less = (words[a + same] < words[b + same]) & (same < most)
+            right = less | ((same >= most) & after)
+            low[open_] = np.where(right, mid + 1, low[open_])
+            high[open_] = np.where(right, high[open_], mid)
+        return low
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, first, words): items as word lists, long ones in pieces that overlap by a window less one."""
+    for batch in batches:
+        rows = []
+        for item, text, window in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = words_of(text)
+            for at in range(0, max(1, len(words) - window + 1) if words else 0, PIECE_WORDS):
+                rows.append((item, at, words[at : at + PIECE_WORDS + window - 1]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], names=["item", "first", "words"])
+
+
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Suffixes]:
+    """Blocks of about `block_words` words, dealt out by tasks; the driver holds one at a time. Items without words are left out."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(window).alias("window")).where("text IS NOT NULL")
+    pieces = cut(rows.mapInArrow(_pieces, "item string, first int, words array<binary>"))
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    for k in range(blocks):
+        block = pieces.where(F.pmod(F.xxhash64("item", "first"), F.lit(blocks)) == k).collect()
+        items = sorted(((r["item"], r["first"], [bytes(w) for w in r["words"]]) for r in block), key=lambda x: (x[0] is None, x))
+        if items:
+            yield Suffixes(items, window)
+
+
+def _judge(shared) -> Callable:
+    def shard(texts: list[bytes | None], known: Suffixes) -> list[tuple]:
         docs = [words_of(t) for t in texts]
         bounds = np.cumsum([0, *[len(d) + 1 for d in docs]])
-        rows = np.repeat(np.arange(len(docs)), [len(d) + 1 for d in docs])
-        change = np.zeros(int(bounds[-1]) + 1, np.int64)
-        items: list[set[str]] = [set() for _ in docs]
-        for block in blocks:
-            known: Windows = block.value
-            ids = np.zeros(int(bounds[-1]), np.int64)
-            for k, words in enumerate(docs):
-                ids[bounds[k] : bounds[k] + len(words)] = np.fromiter(map(known.vocabulary.get, words, repeat(0)), np.int64, len(words))
-            place, which = known.search(ids)
-            np.add.at(change, place, 1)
-            np.add.at(change, place + known.lengths[which], -1)
-            pairs = np.unique(rows[place] * len(known.lengths) + which)
-            doc, which = pairs // len(known.lengths), pairs % len(known.lengths)
-            sizes = np.diff(known.owner_at)[which]
-            step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            owned = np.unique(np.repeat(doc, sizes) * len(known.names) + known.owner[np.repeat(known.owner_at[which], sizes) + step])
-            for d, name in zip((owned // len(known.names)).tolist(), known.names[owned % len(known.names)], strict=True):
-                items[d].add(name)
-            if len(blocks) > 1:
-                del block._value  # loaded anew for the next shard, so a worker holds one block
+        ids = np.zeros(int(bounds[-1]), np.int64)
+        for k, words in enumerate(docs):
+            ids[bounds[k] : bounds[k] + len(words)] = np.fromiter(map(known.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        place, window, same = known.search(ids)
+        change = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(change, place, 1)
+        np.add.at(change, place + known.length[window], -1)
         hit = np.cumsum(change[:-1]) > 0
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        of = np.searchsorted(bounds, starts, "right") - 1
         spans: list[list] = [[] for _ in docs]
-        for d, a, b in zip(of.tolist(), starts.tolist(), stops.tolist(), strict=True):
+        for d, a, b in zip((np.searchsorted(bounds, starts, "right") - 1).tolist(), starts.tolist(), stops.tolist(), strict=True):
             spans[d].append({"start": a - int(bounds[d]), "stop": b - int(bounds[d])})
-        return [
-            (len(w), sum(s["stop"] - s["start"] for s in spans[k]), sorted(items[k]), spans[k], max((s["stop"] - s["start"] for s in spans[k]), default=0)) for k, w in enumerate(docs)
-        ]
+        matches: list[list] = [[] for _ in docs]
+        doc, item = np.searchsorted(bounds, place, "right") - 1, known.item[window]
+        order = np.lexsort((known.suffix[window], place, -same, item, doc))  # the longest of each item first
+        doc, item = doc[order], item[order]
+        first = order[np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])] if len(order) else order
+        for d, i, p, j, n in zip(*((np.searchsorted(bounds, place[first], "right") - 1).tolist(), known.item[window[first]].tolist(), place[first].tolist(), known.suffix[window[first]].tolist(), same[first].tolist()), strict=True):
+            matches[d].append({"item_id": known.names[i], "start": p - int(bounds[d]), "item_start": j - int(known.starts[i]) + int(known.firsts[i]), "length": n})
+        return [(len(w), spans[k], matches[k]) for k, w in enumerate(docs)]
 
     def judge(inputs: list[pa.Array]) -> list[pa.Array]:
         out, held, size = [], [], 0
@@ -145,17 +190,29 @@ def _judge(blocks: list, window: int) -> Callable:
             held.append(text)
             size += len(text or b"") // 4
             if size >= SHARD_WORDS:
-                out += shard(held)
+                out += shard(held, shared.value)
                 held, size = [], 0
-        out += shard(held) if held else []
+        out += shard(held, shared.value) if held else []
         columns = list(zip(*out, strict=True))
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        types = [pa.int64(), pa.int64(), pa.list_(pa.string()), span, pa.int32()]
-        return [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        match = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), span, match), strict=True)]
 
     return judge
 
 
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch as one."""
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when((F.size(done) > 0) & (s["start"] <= last["stop"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
+
+
 def match(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -166,16 +223,54 @@ def match(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """`carry` as c0, c1, ... with n_words, n_hit, item_ids, spans, longest: one row per input row.
+    """`carry` as c0, c1, ... with n_words, n_hit, item_ids, spans, matches, longest: one row per input row.
 
     A document word is hit inside any occurrence of a window of `window` consecutive item words (of a shorter
-    item: all its words).  `item_ids` are the items with occurring windows, sorted as strings; `spans` the longest
-    verbatim stretches in word positions.  Null and empty texts have no words; items without words or with a
-    null id match nothing; repeated items count once per id.  Empty tables give no hits or no rows.
+    item: all its words); `spans` are the hit stretches in word positions.  `item_ids` are the items with occurring
+    windows, sorted as strings; `matches` the longest verbatim match of each of them with its places in the document
+    and the item, `longest` the longest of all.  Null and empty texts have no words; items without words match
+    nothing; an item with a null id counts for hits only; repeated items count once per id, repeated documents each.
+    Very long documents are read whole; an item of more than PIECE_WORDS words is matched in pieces.  Carried columns
+    may have any names.  Empty tables give no hits or no rows.  A benchmark of more than `block_words` words is
+    matched block by block, and the hits of each block are written before the next one.
     """
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(block) for block in benchmark_blocks(benchmark, item_id_col, item_text_col, window, block_words)]
-    return map_rows(docs, carry, [F.col(text_col).cast("binary")], lambda: _judge(blocks, window), FIELDS)
+    fields = f"n_words long, {HITS}"
+    blocks = benchmark_blocks(benchmark, item_id_col, item_text_col, window, block_words)
+    first = next(blocks, Suffixes([], window))
+    second = next(blocks, None)
+    if second is None:
+        shared = context.broadcast(first)
+        found = map_rows(docs, carry, [F.col(text_col).cast("binary")], lambda: _judge(shared), fields)
+    else:
+        n = len(carry)
+        keyed = cut(docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(text_col).cast("binary").alias("text"), *[c.alias(f"c{i}") for i, c in enumerate(carry)]))
+        words, parts = None, []
+        todo = [first, second]
+        while todo:
+            shared = context.broadcast(todo.pop(0))
+            judged = cut(map_rows(keyed, [F.col("row_key")], [F.col("text")], lambda s=shared: _judge(s), fields).withColumnRenamed("c0", "row_key"))
+            shared.destroy()
+            words = words if words is not None else judged.select("row_key", "n_words")
+            parts.append(judged.where(F.size("spans") > 0).select("row_key", "spans", "matches"))
+            if not todo:
+                todo = [b for b in [next(blocks, None)] if b is not None]
+        hits = parts[0]
+        for part in parts[1:]:
+            hits = hits.unionByName(part)
+        hits = hits.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("matches")).alias("matches"))  # at most one row a block
+        found = keyed.drop("text").join(words, "row_key").join(hits, "row_key", "left").select(
+            *[f"c{i}" for i in range(n)], "n_words", F.coalesce(_joined(F.col("spans")), F.array()).alias("spans"), F.coalesce("matches", F.array()).alias("matches")
+        )
+    return found.select(
+        *[f"c{i}" for i in range(len(carry))],
+        "n_words",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull()))).alias("item_ids"),
+        "spans",
+        "matches",
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).alias("longest"),
+    )
 
 
 def contaminated() -> Column:
@@ -185,4 +280,3 @@ def contaminated() -> Column:
 
 def items_digest() -> Column:
     return F.sha2(F.concat_ws(",", "item_ids"), 256)
-

@@ -11,17 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import hash_share
+from trainkit.llm.common import cut, hash_share
 
 DIMENSIONS = 1024
 ORDER = 3
 TRAIN_ROWS_PER_LANGUAGE = 10_000  # bound of the training sample
-MAX_LANGUAGES = 4096  # languages with prototypes, the most frequent ones
+LANGUAGES_AT_ONCE = 4096  # prototypes in one broadcast; more are compared in several passes
+UNITS = 1 << 24  # unit vectors are added up in whole numbers, so that sums don't depend on the order of arrival
 TRAIN_TASKS = 24
 CHARS_AT_ONCE = 300_000
 DOCS_AT_ONCE = 256
@@ -49,13 +49,31 @@ class Bundler:
                 self.vectors[c] = 2 * bits - 1
         return np.stack([self.vectors[c] for c in code_points])
 
+    def _tail(self, piece: str) -> str:
+        """What n-grams across the end of `piece` need of it: its last symbols, runs of other characters as one blank."""
+        out: list[str] = []
+        for c in reversed(piece):
+            symbol = c if c.isalpha() else " "
+            if symbol != " " or out[-1:] != [" "]:
+                out.append(symbol)
+                if len(out) == self.order - 1:
+                    break
+        return "".join(reversed(out))
+
     def _slices(self, texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
-        """Work lists of at most CHARS_AT_ONCE characters; a longer text is bundled slice by slice."""
+        """Work lists of about CHARS_AT_ONCE characters; a longer text is bundled slice by slice, each after the last symbols of the one before."""
         todo: list[tuple[int, str]] = []
         chars = 0
         for k, text in enumerate(texts):
-            for at in range(0, len(text or ""), CHARS_AT_ONCE):
-                piece = text[at : at + CHARS_AT_ONCE]
+            if not text:
+                continue
+            whole, before = text.lower(), " "
+            for at in range(0, len(whole), CHARS_AT_ONCE):
+                piece = before + whole[at : at + CHARS_AT_ONCE]
+                if at + CHARS_AT_ONCE < len(whole):
+                    before = self._tail(piece)
+                else:
+                    piece += " "
                 if todo and (chars + len(piece) > CHARS_AT_ONCE or len(todo) >= DOCS_AT_ONCE):
                     yield todo
                     todo, chars = [], 0
@@ -69,7 +87,7 @@ class Bundler:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         lettered = np.zeros(len(texts), bool)
         for todo in self._slices(texts):
-            points = [np.frombuffer(f" {piece.lower()} ".encode("utf-32-le", "replace"), np.uint32) for _, piece in todo]
+            points = [np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32) for _, piece in todo]
             doc = np.repeat(np.arange(len(todo)), [len(p) for p in points])
             chars = np.concatenate(points)
             letter = self.is_letter[chars]
@@ -124,56 +142,74 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
 
 
-def _add_up(parts: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"place": [parts["place"].iloc[0]], "total": [np.sum(np.stack(parts["total"].to_list()), axis=0)]})
-
+def learn_prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, seed: int = 42) -> DataFrame:
+    """(lang, vector): unit prototypes, learnt from at most about `rows_per_language` rows of each language, drawn by id and text hash.
 
-def learn_prototypes(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, seed: int = 42) -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes), learnt from at most about `rows_per_language` rows of each language, drawn by id hash."""
+    Rows without text or language are left out; so are languages whose rows have no letter.  No rows give no prototypes.
+    """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
-    languages = sorted(r["lang"] for r in sizes)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
-    sample = rows.where(hash_share("id", seed) < F.element_at(share, F.col("lang"))).repartition(TRAIN_TASKS, "id", F.length("text"))
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    few = sizes.limit(LANGUAGES_AT_ONCE + 1).count() <= LANGUAGES_AT_ONCE
+    shared = rows.join(F.broadcast(sizes) if few else sizes, "lang")
+    sample = shared.where(hash_share("id", seed, "text") < F.lit(float(rows_per_language)) / F.col("rows")).select("text", "lang").repartition(TRAIN_TASKS, F.xxhash64("text"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundler, total = Bundler(), np.zeros((len(languages), DIMENSIONS))
-        place = {lang: k for k, lang in enumerate(languages)}
+        bundler, totals = Bundler(), {}
         for batch in batches:
-            vectors, _ = bundler.bundle(batch.column(1).to_pylist())
-            np.add.at(total, [place[x] for x in batch.column(2).to_pylist()], unit(vectors))
-        used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["place", "total"])
-
-    total = np.zeros((len(languages), DIMENSIONS))
-    partial = sample.mapInArrow(sums, "place long, total array<double>")
-    for row in partial.groupBy("place").applyInPandas(_add_up, "place long, total array<double>").collect():  # a row per language
-        total[row["place"]] = row["total"]
-    known = np.abs(total).sum(axis=1) > 0
-    return [x for x, k in zip(languages, known, strict=True) if k], unit(total[known]).astype(np.float32)
-
-
-def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            vectors, _ = bundler.bundle(batch.column(0).to_pylist())
+            whole = np.rint(unit(vectors.astype(float)) * UNITS).astype(np.int64)
+            for lang, vector in zip(batch.column(1).to_pylist(), whole, strict=True):
+                if lang in totals:
+                    totals[lang] += vector
+                else:
+                    totals[lang] = vector.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.list_(pa.int64()))], names=["lang", "total"])
+
+    parts = sample.mapInArrow(sums, "lang string, total array<long>")
+    sums_at = parts.select("lang", F.posexplode("total").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    added = sums_at.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("total"))  # one row per dimension
+    norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return cut(added.withColumn("norm", norm).where("norm > 0").select("lang", F.transform("total", lambda x: x / F.col("norm")).alias("vector")))
+
+
+def identify(docs: DataFrame, prototypes: DataFrame, id_col: str = "doc_id", text_col: str = "text", languages_at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """One row per input row: (id, lang, score); no shuffle.
 
     `score` is the best cosine, 0 to 1.  Null texts, texts without a letter, and all texts if there are no
     prototypes, are `und` with score 0; ties go to the language that sorts first.  Long texts are read whole.
-    An empty table gives an empty result; other columns are left out.
+    Repeated rows are judged each.  An empty table gives an empty result; other columns are left out, whatever their names.
     """
-
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"))
+    done = None
+    while True:  # one pass unless there are more languages than one broadcast holds
+        todo = prototypes if done is None else prototypes.where(F.col("lang") > done)
+        block = todo.orderBy("lang").limit(languages_at_once).collect()
+        if not block and done is not None:
+            break
+        languages = [r["lang"] for r in block]
+        shared = spark.sparkContext.broadcast((languages, np.array([r["vector"] for r in block], float).reshape(-1, DIMENSIONS)))
+        rows = rows.mapInArrow(_compare(shared), "id long, text string, lang string, score double")
+        if len(block) < languages_at_once:
+            break
+        done = languages[-1]
+    return rows.select("id", F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), "score")
+
+
+def _compare(shared):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, vectors = shared.value
         bundler = Bundler()
         for batch in batches:
-            vectors, lettered = bundler.bundle(batch.column(1).to_pylist())
+            lang, score = batch.column(2), batch.column(3)
             if languages:
-                cosines = unit(vectors) @ prototypes.T
-                best, score = cosines.argmax(axis=1), np.clip(cosines.max(axis=1), 0, 1)
-            else:
-                best, score, lettered = np.zeros(len(vectors), int), np.zeros(len(vectors)), np.zeros(len(vectors), bool)
-            lang = [languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(lettered, score, 0.0).astype(float))], names=["id", "lang", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(compute, "id long, lang string, score double")
+                made, lettered = bundler.bundle(batch.column(1).to_pylist())
+                cosines = unit(made.astype(float)) @ vectors.T
+                best, high = cosines.argmax(axis=1), np.round(np.clip(cosines.max(axis=1), 0, 1), 6)
+                before = score.to_numpy()
+                wins = lettered & (~lang.is_valid().to_numpy(zero_copy_only=False) | (high > before))
+                lang = pa.array([languages[b] if w else old for b, w, old in zip(best, wins, lang.to_pylist(), strict=True)], pa.string())
+                score = pa.array(np.where(wins, high, before))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lang, score], names=["id", "text", "lang", "score"])
+
+    return compute

@@ -15,8 +15,8 @@ from trainkit.llm.common import id_remainder, table
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
-    languages, prototypes = langid.learn_prototypes(docs.where(~held_out), "doc_id", "text", "lang")
-    judged = langid.identify(docs, languages, prototypes).withColumnRenamed("id", "doc_id")
+    prototypes = langid.learn_prototypes(docs.where(~held_out), "doc_id", "text", "lang")
+    judged = langid.identify(docs, prototypes).withColumnRenamed("id", "doc_id")
     return judged.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 

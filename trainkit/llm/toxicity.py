@@ -2,9 +2,10 @@
 
 Learning counts words and word beginnings in toxic and clean texts.  A word's log-odds come from a Dirichlet
 prior around those of its beginnings, so a rare inflection inherits what its stem shows.  Scoring scans a
-text once for all maximal segments of positive total (each word's log-odds less a penalty), finds the
-significant ones by extreme-value statistics (expected number of such segments by chance in a clean text of
-that length) and maps their summed normalised scores to 0..1.
+text once, in linear time, for all maximal segments of positive total (each word's log-odds less a penalty), finds
+the significant ones by extreme-value statistics (expected number of such segments by chance in a clean text of
+that length) and maps their summed normalised scores to 0..1; texts without a significant one are ranked below them
+by their best segment.
 """
 
 from __future__ import annotations
@@ -12,23 +13,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainkit.llm.common import hash_share, map_rows
 
-TRAIN_ROWS = 30_000  # bound of the labelled sample that is learnt from
+TRAIN_ROWS = 30_000  # bounds of the labelled sample that is learnt from: rows,
+TRAIN_CHARS = 64_000_000  # and characters; with MIN_COUNT they bound the model at 16 million features of 16 bytes
 CALIBRATION_SHARE = 0.3  # of the sample: fits the extreme values instead of the counts
-MAX_FEATURES = 200_000  # words and beginnings kept, the most frequent ones
 MIN_COUNT = 2
 STEMS = (4, 5, 6)  # lengths of word beginnings
 PRIOR = 5.0  # weight of the prior in words
 PENALTY = 1.0  # taken from each word's log-odds, so that chance segments stay short
 THRESHOLD = 0.3
+FAINT = 0.02  # the most that a text without a significant segment scores
 REMEMBERED = 500_000  # words whose log-odds a worker keeps
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,70 +45,90 @@ def features_of(word: str) -> list[str]:
     return [f"{n}:{word[:n]}" for n in STEMS if len(word) > n] + [word]
 
 
+def hash_of(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature) >> 1
+
+
 class LogOdds(dict):
     """Word -> log-odds of toxic against clean, computed when first asked for."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
+    def __init__(self, features: np.ndarray, counts: np.ndarray, toxic: int, clean: int):
         super().__init__()
-        self.counts = counts
+        self.features, self.counts = features, counts
         self.base = min(max((toxic + 0.5) / (toxic + clean + 1.0), 1e-6), 1 - 1e-6)
 
     def __missing__(self, word: str) -> float:
         if len(self) > REMEMBERED:
             self.clear()
         rate = self.base
-        for feature in features_of(word):
-            toxic, clean = self.counts.get(feature, (0, 0))
-            rate = (toxic + PRIOR * rate) / (toxic + clean + PRIOR)
+        for feature in map(hash_of, features_of(word)):
+            at = int(self.features.searchsorted(feature))
+            if at < len(self.features) and self.features[at] == feature:
+                toxic, clean = self.counts[at].tolist()
+                rate = (toxic + PRIOR * rate) / (toxic + clean + PRIOR)
+            # an unseen feature leaves the rate as it is
         score = np.log(rate / (1 - rate)) - np.log(self.base / (1 - self.base))
         self[word] = float(score)
         return self[word]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, stop, score), in one pass. Only words of positive score can start or end one."""
-    total = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[float, float, int, int]] = []  # (total before, total after, start, stop)
+    """All maximal-scoring segments (start, stop, score), in linear time. Only words of positive score can start or end one.
+
+    Every open segment knows the last earlier one that begins at a smaller total, so those in between are
+    looked at once.
+    """
+    total = np.concatenate([[0.0], np.cumsum(scores)]).tolist()
+    lows, highs, starts, stops, smaller = [], [], [], [], []
     for k in np.flatnonzero(scores > 0).tolist():
-        low, high, start, stop = total[k], total[k + 1], k, k + 1
+        low, high, start = total[k], total[k + 1], k
+        j = len(lows) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= low:
-                j -= 1
-            if j < 0 or found[j][1] >= high:
+            while j >= 0 and lows[j] >= low:
+                j = smaller[j]
+            if j < 0 or highs[j] >= high:
                 break
-            low, start = found[j][0], found[j][2]
-            del found[j:]
-        found.append((low, high, start, stop))
-    return [(start, stop, high - low) for low, high, start, stop in found]
+            low, start = lows[j], starts[j]  # joined with all from j on
+            for x in (lows, highs, starts, stops):
+                del x[j:]
+            j = smaller[j]
+            del smaller[len(lows) :]
+        lows.append(low), highs.append(high), starts.append(start), stops.append(k + 1), smaller.append(j)
+    return [(a, b, h - w) for w, h, a, b in zip(lows, highs, starts, stops, strict=True)]
 
 
 @dataclass
 class Model:
-    """What was learnt: counts per feature, totals, and the extreme-value parameters."""
+    """What was learnt: sorted feature hashes with counts (toxic, clean), totals, and the extreme-value parameters."""
 
-    counts: dict[str, tuple[int, int]]
-    toxic: int
-    clean: int
+    features: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.int32))
+    toxic: int = 0
+    clean: int = 0
     rate: float = 1.0  # lambda of the extreme-value distribution
     size: float = 1.0  # K of it
     scale: float = 1.0  # maps the summed normalised score to 0..1
 
+    def odds(self) -> LogOdds:
+        return LogOdds(self.features, self.counts, self.toxic, self.clean)
+
     def evidence(self, text: str | None, odds: LogOdds) -> tuple[float, list[tuple[int, int, float]]]:
-        """Summed normalised scores of the significant segments, and those segments."""
+        """Summed normalised scores of the significant segments, and those segments; without any, the best score, below 0."""
         words = words_of(text)
         if not words or not self.toxic:
-            return 0.0, []
+            return -np.inf, []
         scores = np.fromiter(map(odds.__getitem__, words), float, len(words)) - PENALTY
         if not (scores > 0).any():
-            return 0.0, []
+            return -np.inf, []
         chance = np.log(max(self.size * len(words), 1e-9))
-        kept = [(a, b, self.rate * s - chance) for a, b, s in segments(scores)]
-        kept = [x for x in kept if x[2] > 0]
-        return sum(x[2] for x in kept), kept
+        found = [(a, b, self.rate * s - chance) for a, b, s in segments(scores)]
+        kept = [x for x in found if x[2] > 0]
+        return (sum(x[2] for x in kept) if kept else max(x[2] for x in found)), kept
 
     def score(self, evidence: float) -> float:
-        return float(-np.expm1(-self.scale * evidence))
+        if evidence <= 0:
+            return float(FAINT * np.exp(evidence))
+        return float(FAINT - (1 - FAINT) * np.expm1(-self.scale * evidence))
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +144,8 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         names = sorted(set(toxic) | set(clean))
         if names:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], names=["feature", "toxic", "clean"]
+                [pa.array(list(map(hash_of, names)), pa.int64()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())],
+                names=["feature", "toxic", "clean"],
             )
 
 
@@ -147,63 +171,78 @@ def best_cut(values: np.ndarray, labels: np.ndarray) -> float:
     return float((v[k] + max(below, 0.0)) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, seed: int = 42) -> Model:
-    """Learns from at most about `train_rows` labelled rows, drawn by id hash; several labels of a document count as toxic if one is."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, seed: int = 42) -> Model:
+    """Learns from at most about `train_rows` labelled rows of `train_chars` characters, drawn by id hash.
+
+    Several labels of a document count as toxic if one is.  Labels without an id or a value are left out.
+    """
     wanted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     n = wanted.count()
     if not n:
-        return Model({}, 0, 0)
+        return Model()
     drawn = wanted.where(hash_share("id", seed) < min(1.0, train_rows / n)).groupBy("id").agg(F.max(F.col("label") > 0).alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # of about train_rows rows
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = texts.where(hash_share("id", seed + 2) < min(1.0, train_chars / max(1, chars)))
     fit = hash_share("id", seed + 1) >= CALIBRATION_SHARE
-    counted = texts.where(fit).select("text", "label").mapInArrow(_count_features, "feature string, toxic long, clean long")
-    summed = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = summed.where(F.col("toxic") + F.col("clean") >= MIN_COUNT).orderBy(F.desc(F.col("toxic") + F.col("clean")), "feature").limit(MAX_FEATURES)
-    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in kept.toLocalIterator()}
-    toxic, clean = counts.pop("", (0, 0))
-    model = Model(counts, toxic, clean)
+    counted = texts.where(fit).select("text", "label").mapInArrow(_count_features, "feature long, toxic long, clean long")
+    summed = counted.groupBy("feature").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("clean").cast("int").alias("clean"))
+    kept = summed.where(F.col("toxic") + F.col("clean") >= MIN_COUNT).orderBy("feature").toArrow()  # bounded by train_chars
+    features, counts = kept["feature"].to_numpy(), np.stack([kept["toxic"].to_numpy(), kept["clean"].to_numpy()], axis=1)
+    every = features == hash_of("")
+    toxic, clean = counts[every].sum(axis=0).tolist()
     if not toxic or not clean:
-        return Model({}, 0, 0)
+        return Model()
+    model = Model(features[~every], counts[~every], toxic, clean)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per calibration text: the words, their scores as a histogram, the segment scores."""
-        m = shared.value
-        odds = LogOdds(m.counts, m.toxic, m.clean)
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per clean calibration text its words and best segment score, and per task how often each score occurs in them (n = 0)."""
+        odds, seen = shared.value.odds(), Counter()
+        names = ["n", "value"]
         for batch in batches:
             rows = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                scores = np.fromiter(map(odds.__getitem__, words), float, len(words)) - PENALTY
-                places, sizes = np.unique(np.round(scores, 1), return_counts=True)
-                rows.append((bool(label), len(words), [s for _, _, s in segments(scores)], places, sizes))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0]), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.list_(t)) for c, t in zip(cols[2:], (pa.float64(), pa.float64(), pa.int64()), strict=True)]],
-                names=["label", "n", "found", "places", "sizes"],
-            )
-
-    seen = texts.where(~fit).select("text", "label").mapInArrow(extremes, "label boolean, n long, found array<double>, places array<double>, sizes array<long>").collect()
-    clean_rows = [r for r in seen if not r["label"] and r["n"]]
-    if not clean_rows or not any(r["label"] for r in seen):
+                if words:
+                    scores = np.fromiter(map(odds.__getitem__, words), float, len(words)) - PENALTY
+                    places, sizes = np.unique(np.round(scores, 1), return_counts=True)
+                    seen.update(dict(zip(places.tolist(), sizes.tolist(), strict=True)))
+                    rows.append((len(words), max((s for _, _, s in segments(scores)), default=0.0)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=names)
+        for place, size in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([-size]), pa.array([place])], names=names)
+
+    seen = texts.where(~fit & ~F.col("label")).select("text").mapInArrow(chances, "n long, value double").toArrow()
+    n_words, value = seen["n"].to_numpy(), seen["value"].to_numpy()
+    if not (n_words > 0).any():
         return model
-    histogram = Counter()
-    for r in clean_rows:
-        histogram.update(dict(zip(r["places"], r["sizes"], strict=True)))
-    places = np.array(sorted(histogram))
-    weight = np.array([histogram[p] for p in places], float)
+    places, at = np.unique(value[n_words < 0], return_inverse=True)
+    weight = np.bincount(at, -n_words[n_words < 0])
     model.rate = _karlin_rate(np.repeat(places, np.maximum(1, np.round(weight / weight.sum() * 100_000)).astype(int)))
-    longest = np.array([max(r["found"], default=0.0) for r in clean_rows])
-    length = np.array([r["n"] for r in clean_rows], float)
-    model.size = float(len(clean_rows) / np.sum(length * np.exp(-model.rate * longest)))
-    values = [sum(x for x in (model.rate * s - np.log(max(model.size * r["n"], 1e-9)) for s in r["found"]) if x > 0) if r["n"] else 0.0 for r in seen]
-    cut = best_cut(np.array(values), np.array([r["label"] for r in seen], float))
-    model.scale = float(-np.log1p(-THRESHOLD) / max(cut, 1e-6))
+    length, longest = n_words[n_words > 0].astype(float), value[n_words > 0]
+    order = np.lexsort((longest, length))  # sums must not depend on the order of arrival
+    model.size = float(len(length) / np.sum(length[order] * np.exp(-model.rate * longest[order])))
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = fitted.value.odds()
+        for batch in batches:
+            values = [max(0.0, fitted.value.evidence(text, odds)[0]) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.float64())], names=["label", "value"])
+
+    judged = texts.where(~fit).select("text", "label").mapInArrow(weigh, "label boolean, value double").toArrow()  # a row per calibration text
+    values, hits = judged["value"].to_numpy(), judged["label"].to_numpy().astype(float)
+    if hits.any():
+        cut_at = best_cut(values, hits)
+        model.scale = float(-np.log((1 - THRESHOLD) / (1 - FAINT)) / max(cut_at, 1e-6))
+    shared.unpersist()
+    fitted.unpersist()
     return model
 
 
 def _judge(model: Model) -> Callable:
-    odds = LogOdds(model.counts, model.toxic, model.clean)
+    odds = model.odds()
 
     def judge(inputs: list[pa.Array]) -> list[pa.Array]:
         scores, passages = [], []
@@ -221,9 +260,10 @@ def score_texts(docs: DataFrame, model: Model, carry: list[Column], text_col: st
     """`carry` as c0, c1, ... with score, predicted, passages: one row per input row; no shuffle.
 
     `score` is in [0, 1); `predicted` is 1 from 0.3 on; `passages` are the significant segments in word
-    positions.  Null and empty texts, and all texts if nothing toxic was learnt, have score 0.  Long texts are
-    scanned whole.  An empty table gives an empty result.
+    positions.  Null and empty texts, texts without a word of positive score, and all texts if nothing toxic was
+    learnt, have score 0.  Long texts are scanned whole; repeated rows and equal texts have equal scores; carried
+    columns may have any names.  An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS
     fields = "score double, predicted int, passages array<struct<start:int,stop:int,score:double>>"
     return map_rows(docs, carry, [F.col(text_col)], lambda: _judge(shared.value), fields)
