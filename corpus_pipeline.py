@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to a weighted mix.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the last
-return the columns of `docs`; the last returns what the mix takes of each document.
+return the columns of `docs`, whatever their names; the last returns what the mix takes of each document.  All
+take null ids and texts, empty and very long texts, ties, repeated rows and empty tables.
 """
 
 from __future__ import annotations
@@ -14,29 +15,37 @@ from pyspark.sql import functions as F
 from trainkit.llm import decontam, exact, mixing, simhash, toxicity
 from trainkit.llm.common import cut, id_remainder, table
 
-ROW_KEY = "__row_key"
-
 
 def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
 
 
 def _named(judged: DataFrame, docs: DataFrame) -> DataFrame:
     """The carried columns c0, c1, ... under their own names."""
-    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return judged.select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key per row: the place in the scan, the same in every pass over the written table."""
-    return docs.withColumn(ROW_KEY, F.monotonically_increasing_id())
+    """(row_key, doc_id, text, c0, c1, ...): the columns of `docs` by place beside a key per row.
+
+    Written, so that every pass sees the same keys, whatever happens to executors meanwhile.
+    """
+    carried = [c.alias(f"c{i}") for i, c in enumerate(_columns(docs))]
+    return cut(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text", *[c for c, name in zip(carried, docs.columns, strict=True) if name not in ("doc_id", "text")]))
 
 
-def _with_keys(keyed: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
-    keys = kept.select(F.col("row_key").alias("__kept"))
-    return keyed.join(keys, F.col(ROW_KEY) == F.col("__kept"), "left_semi").select(*_columns(docs))
+def _kept(keyed: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of the rows that stay in their groups, under their own names."""
+    keys = groups.where("kept").select(F.col("row_key").alias("kept_key"))
+    rows = keyed.join(keys, F.col("row_key") == F.col("kept_key"), "left_semi")
+    return rows.select(*[name if name in ("doc_id", "text") else f"c{i}" for i, name in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity model does not reject; it is learnt from the labels of `sf_dir` less the held-out ones.
+
+    Null and empty texts stay.  Without labels of both kinds, or with an empty table, all rows stay.
+    """
     labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 4) != 2)
     model = toxicity.learn(docs, labels)
     judged = toxicity.score_texts(docs, model, _columns(docs))
@@ -44,23 +53,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text after white space is normalised: the smallest id's, of rows that share it the first one's.
+
+    Null and empty texts are one text; a null id counts as the largest.
+    """
     keyed = _keyed(docs)
-    groups = exact.exact_groups(keyed, key_col=ROW_KEY)
-    return _with_keys(keyed, groups.where("kept"), docs)
+    return _kept(keyed, exact.exact_groups(keyed, key_col="row_key"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that links of similarity 0.8 or more over 5-word shingles connect: the smallest id's.
+
+    Texts without words, null ones too, are similar to each other; a null id counts as the largest.
+    """
     keyed = _keyed(docs)
-    groups = simhash.similar_groups(keyed, words_per_shingle=5, similarity=0.8, key_col=ROW_KEY)
-    return _with_keys(keyed, groups.where("kept"), docs)
+    return _kept(keyed, simhash.similar_groups(keyed, words_per_shingle=5, similarity=0.8, key_col="row_key"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than one word in twenty lies in a 13-word passage of the benchmark of `sf_dir`.
+
+    Null and empty texts stay; with an empty benchmark, all rows stay.
+    """
     found = decontam.match(docs, table(spark, sf_dir, "benchmark"), _columns(docs))
     return _named(found.where(~decontam.contaminated()), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row, those that the mix takes nothing of too.
+
+    Null sources are one source; null and empty texts have size 0 and are not taken.
+    """
     mixed = mixing.mix(docs, weights=(1.0, 2.0, 3.0), max_repeat=3.0)
     return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken")
 
@@ -80,5 +103,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))  # row keys need a written input
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
