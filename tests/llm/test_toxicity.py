@@ -51,7 +51,7 @@ def test_query_against_brute_force(spark):
         words = toxicity.words_of(r.text)
         if len(words) > 60:
             continue
-        found = [model.rate * s - np.log(model.size * len(words)) for _, _, s in brute_segments([odds[w] - toxicity.PENALTY for w in words])]
+        found = [model.rate * s - np.log(model.size * len(words)) for _, _, s in brute_segments((odds.of(words) - toxicity.PENALTY).tolist())]
         strong = sum(x for x in found if x > 0)
         want = 0.02 + 0.98 * (1 - np.exp(-model.scale * strong)) if strong > 0 else 0.02 * np.exp(max(found)) if found else 0.0
         assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].predicted == int(want >= 0.3)
@@ -62,6 +62,7 @@ def test_query_against_brute_force(spark):
 def test_a_rare_inflection_inherits_from_its_stem():
     counts = sorted((toxicity.hash_of(k), v) for k, v in {"4:grob": (50, 0), "5:grobi": (50, 0), "grobian": (50, 0), "4:haus": (5, 500)}.items())
     odds = toxicity.LogOdds(np.array([k for k, _ in counts]), np.array([v for _, v in counts]), 1000, 9000)
+    odds.of(["grobians", "hausboot", "grobian"])
     assert odds["grobians"] > 2 > 0 > odds["hausboot"]
     assert odds["grobian"] > odds["grobians"]
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 
 
@@ -32,13 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: `df` written to the shared folder, and read from there.
 
-    A table is computed once, while an eager checkpoint computes its last stage twice.  Names are put aside while it is
+    A table is computed once, while an eager checkpoint computes its last stage twice, and its shuffle files go as soon as
+    it is written.  Names are put aside while it is
     written, so any names do.  Rows may be dealt out anew: a place in a partition is to be taken before.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    plain.write.parquet(path)
-    table = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        plain.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    table = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
     table.written_at = path
     return table
 

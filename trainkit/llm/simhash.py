@@ -430,7 +430,7 @@ def _shingle_sets(k: int):
 
 
 def confirmed(edges: DataFrame, docs: DataFrame, text_col: str, key_col: str, words_per_shingle: int, similarity: float) -> DataFrame:
-    """The edges whose documents' shingle sets have at least that Jaccard similarity (two empty sets: 1)."""
+    """The edges, written, whose documents' shingle sets have at least that Jaccard similarity (two empty sets: 1)."""
     nodes = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     asked = F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
     wanted = docs.select(F.col(key_col).alias("node"), F.col(text_col).cast("binary").alias("text")).join(asked, "node")
@@ -438,7 +438,9 @@ def confirmed(edges: DataFrame, docs: DataFrame, text_col: str, key_col: str, wo
     pairs = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     both = F.size(F.array_intersect("a", "b"))
     every = F.size("a") + F.size("b") - both
-    return pairs.where(both >= similarity * every).select("u", "v")
+    found = cut(pairs.where(both >= similarity * every).select("u", "v"))
+    forget(nodes, sets)
+    return found
 
 
 def frequent_shingles(keyed: DataFrame, text_col: str, key_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -588,9 +590,10 @@ def similar_groups(
     starred = shared.where((F.col("head") != F.col("node")) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - ROUNDING))
     asked = starred.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v"))
     first = cut(asked.unionByName(proposed(sets.select("node", "f0"), RADIUS, slice_rows)).distinct())
-    known = cut(confirmed(first, keyed, text_col, key, words_per_shingle, similarity))
+    known = confirmed(first, keyed, text_col, key, words_per_shingle, similarity)
     joined = components(known)
     pairs = cut(similar_pairs(shared, nodes.select("node", "sketch"), joined, similarity, slice_rows).join(first, ["u", "v"], "left_anti"))
-    more = cut(confirmed(pairs, keyed, text_col, key, words_per_shingle, similarity))
-    forget(shared, first, pairs)
+    forget(shared)
+    more = confirmed(pairs, keyed, text_col, key, words_per_shingle, similarity)
+    forget(first, pairs)
     return _with_groups(rows, sets, known.unionByName(more), ["digest"]).select("row_key", "id", "component_id", "kept")

@@ -10,6 +10,7 @@ by their best segment.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import hash_share, map_rows
+from trainkit.llm.common import cut, forget, hash_share, map_rows
 
 TRAIN_ROWS = 30_000  # bounds of the labelled sample that is learnt from: rows,
 TRAIN_CHARS = 64_000_000  # and characters; with MIN_COUNT they bound the model at 16 million features of 16 bytes
@@ -50,26 +51,31 @@ def hash_of(feature: str) -> int:
 
 
 class LogOdds(dict):
-    """Word -> log-odds of toxic against clean, computed when first asked for."""
+    """Word -> log-odds of toxic against clean; words are looked up before they are asked for."""
 
     def __init__(self, features: np.ndarray, counts: np.ndarray, toxic: int, clean: int):
         super().__init__()
         self.features, self.counts = features, counts
         self.base = min(max((toxic + 0.5) / (toxic + clean + 1.0), 1e-6), 1 - 1e-6)
 
-    def __missing__(self, word: str) -> float:
+    def of(self, words: list[str]) -> np.ndarray:
         if len(self) > REMEMBERED:
             self.clear()
-        rate = self.base
-        for feature in map(hash_of, features_of(word)):
-            at = int(self.features.searchsorted(feature))
-            if at < len(self.features) and self.features[at] == feature:
-                toxic, clean = self.counts[at].tolist()
-                rate = (toxic + PRIOR * rate) / (toxic + clean + PRIOR)
-            # an unseen feature leaves the rate as it is
-        score = np.log(rate / (1 - rate)) - np.log(self.base / (1 - self.base))
-        self[word] = float(score)
-        return self[word]
+        new = [w for w in set(words) if w not in self]
+        if new:
+            parts = [features_of(w) for w in new]
+            hashes = np.array([hash_of(f) for part in parts for f in part], np.int64)
+            at = np.minimum(self.features.searchsorted(hashes), max(0, len(self.features) - 1))
+            known = self.features[at] == hashes if len(self.features) else np.zeros(len(hashes), bool)
+            counts = np.where(known[:, None], self.counts[at] if len(self.features) else 0, 0).tolist()
+            k, base = 0, math.log(self.base / (1 - self.base))
+            for word, part in zip(new, parts, strict=True):
+                rate = self.base
+                for toxic, clean in counts[k : k + len(part)]:  # an unseen feature leaves the rate as it is
+                    rate = (toxic + PRIOR * rate) / (toxic + clean + PRIOR)
+                k += len(part)
+                self[word] = math.log(rate / (1 - rate)) - base
+        return np.fromiter(map(self.__getitem__, words), float, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -110,14 +116,20 @@ class Model:
     scale: float = 1.0  # maps the summed normalised score to 0..1
 
     def odds(self) -> LogOdds:
-        return LogOdds(self.features, self.counts, self.toxic, self.clean)
+        """One for all tasks of a worker, which share the model."""
+        if "known" not in self.__dict__:
+            self.known = LogOdds(self.features, self.counts, self.toxic, self.clean)
+        return self.known
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     def evidence(self, text: str | None, odds: LogOdds) -> tuple[float, list[tuple[int, int, float]]]:
         """Summed normalised scores of the significant segments, and those segments; without any, the best score, below 0."""
         words = words_of(text)
         if not words or not self.toxic:
             return -np.inf, []
-        scores = np.fromiter(map(odds.__getitem__, words), float, len(words)) - PENALTY
+        scores = odds.of(words) - PENALTY
         if not (scores > 0).any():
             return -np.inf, []
         chance = np.log(max(self.size * len(words), 1e-9))
@@ -182,6 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     drawn = wanted.where(hash_share("id", seed) < min(1.0, train_rows / n)).groupBy("id").agg(F.max(F.col("label") > 0).alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # of about train_rows rows
+    texts = sample = cut(texts)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     texts = texts.where(hash_share("id", seed + 2) < min(1.0, train_chars / max(1, chars)))
     fit = hash_share("id", seed + 1) >= CALIBRATION_SHARE
@@ -205,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 if words:
-                    scores = np.fromiter(map(odds.__getitem__, words), float, len(words)) - PENALTY
+                    scores = odds.of(words) - PENALTY
                     places, sizes = np.unique(np.round(scores, 1), return_counts=True)
                     seen.update(dict(zip(places.tolist(), sizes.tolist(), strict=True)))
                     rows.append((len(words), max((s for _, _, s in segments(scores)), default=0.0)))
@@ -238,6 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model.scale = float(-np.log((1 - THRESHOLD) / (1 - FAINT)) / max(cut_at, 1e-6))
     shared.unpersist()
     fitted.unpersist()
+    forget(sample)
     return model
 
 
