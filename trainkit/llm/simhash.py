@@ -466,10 +466,19 @@ def leading(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar
     return hashes[np.argsort(rank, kind="stable")][: len(hashes) - needed + 1]
 
 
-def sketch(hashes: np.ndarray) -> bytes:
+def sketch(hashes: np.ndarray) -> np.ndarray:
     """Parities of the hashes' counts per residue: two sets differ in at least as many members as sketches in bits."""
     odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose sizes and sketches (of `nodes`) do not rule the similarity out."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    sizes = F.col("size_u") + F.col("size_v")
+    needed = F.ceil(similarity / (1 + similarity) * sizes - ROUNDING)
+    differing = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return edges.join(a, "u").join(b, "v").where((F.least("size_u", "size_v") >= needed) & (differing <= sizes - 2 * needed)).select("u", "v")
 
 
 def _describe_sets(k: int, similarity: float, frequent):
@@ -479,7 +488,7 @@ def _describe_sets(k: int, similarity: float, frequent):
         first = [leading(s, frequent.value, similarity).view(np.int64) for s in sets]
         codes = np.array([majority(bits_set(s)[None], len(s))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
         return [
-            pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(codes)
+            pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(codes)
         ]
 
     return compute
@@ -520,7 +529,7 @@ def _possible_pairs(similarity: float, at_once: int = 256):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, again in windows(batches):
             node, root, size, place = (rows.column(i).to_numpy() for i in range(3, 7))
-            sketches = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(node), -1)
+            sketches = rows.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
             size, place = size.astype(np.int64), place.astype(np.int64)
             for own, asks, new in runs_of(rows, again):
                 for some in (own, asks) if new else (asks,):
@@ -574,7 +583,7 @@ def similar_groups(
     if not key_col:
         id_col, text_col = "id", "text"
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, text_col, key, words_per_shingle))
-    fields = "digest binary, size int, sketch binary, leading array<long>, f0 long"
+    fields = "digest binary, size int, sketch array<long>, leading array<long>, f0 long"
     rows = cut(
         map_rows(keyed, [F.col(key), F.col(id_col).cast("long")], [F.col(text_col).cast("binary")], lambda: _describe_sets(words_per_shingle, similarity, frequent), fields)
         .withColumnRenamed("c0", "row_key")
@@ -589,7 +598,8 @@ def similar_groups(
     sizes = F.col("size"), F.col("head_size")
     starred = shared.where((F.col("head") != F.col("node")) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - ROUNDING))
     asked = starred.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v"))
-    first = cut(asked.unionByName(proposed(sets.select("node", "f0"), RADIUS, slice_rows)).distinct())
+    asked = asked.unionByName(proposed(sets.select("node", "f0"), RADIUS, slice_rows)).distinct()
+    first = cut(may_be_similar(asked, nodes.select("node", "size", "sketch"), similarity))
     known = confirmed(first, keyed, text_col, key, words_per_shingle, similarity)
     joined = components(known)
     pairs = cut(similar_pairs(shared, nodes.select("node", "sketch"), joined, similarity, slice_rows).join(first, ["u", "v"], "left_anti"))
