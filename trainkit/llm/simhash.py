@@ -37,8 +37,8 @@ RADIUS = 4
 SHINGLES_AT_ONCE = 65_536
 SEED = 42
 SKETCH = 512  # bits of a set's parity sketch
-ORDER_DOCS = 20_000  # about as many documents tell which shingles are frequent; that orders them only
-ORDER_SHINGLES = 200_000
+ORDER_DOCS = 100_000  # about as many documents tell which shingles are frequent; that orders them only
+ORDER_SHINGLES = 1_000_000  # of 16 bytes, broadcast
 ROUNDING = 1e-6  # by which bounds on counts give way
 BROADCAST_NODES = 1_000_000  # long keys that may be broadcast
 
@@ -556,7 +556,9 @@ def similar_pairs(shared: DataFrame, nodes: DataFrame, joined: DataFrame, simila
     dealt = tagged.withColumn("part", F.explode(F.sequence("own", F.col("parts") - 1)))
     rows = dealt.select("shingle", "part", (F.col("part") != F.col("own")).alias("query"), "node", "root", "size", "place", "sketch")
     near = rows.repartition(tasks_for(spark) * 2, "shingle", "part").sortWithinPartitions("shingle", "part", "query")
-    return near.mapInArrow(_possible_pairs(similarity), "u long, v long").distinct()
+    pairs = cut(near.mapInArrow(_possible_pairs(similarity), "u long, v long").distinct())
+    forget(placed, open_lists)
+    return pairs
 
 
 def proposed(sets: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
@@ -603,7 +605,8 @@ def similar_groups(
     known = confirmed(first, keyed, text_col, key, words_per_shingle, similarity)
     joined = components(known)
     pairs = cut(similar_pairs(shared, nodes.select("node", "sketch"), joined, similarity, slice_rows).join(first, ["u", "v"], "left_anti"))
-    forget(shared)
+    light = cut(rows.select("row_key", "id", "digest"))
+    forget(shared, rows)
     more = confirmed(pairs, keyed, text_col, key, words_per_shingle, similarity)
     forget(first, pairs)
-    return _with_groups(rows, sets, known.unionByName(more), ["digest"]).select("row_key", "id", "component_id", "kept")
+    return _with_groups(light, sets, known.unionByName(more), ["digest"]).select("row_key", "id", "component_id", "kept")
