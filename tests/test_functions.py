@@ -65,3 +65,26 @@ def test_warm_up_and_floor(spark):
     rate = schedules.lr_warmup_cosine(F.col("id"), 10, 100, 1.0)
     got = {r[0]: r[1] for r in spark.range(0, 101).select("id", rate).collect()}
     assert got[0] == 0 and got[5] == 0.5 and got[10] == 1.0 and got[100] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_long_arrays_take_time_in_proportion(spark):
+    """Softmax over 10,000 classes and the statistics of a 3 x 224 x 224 image, each in seconds."""
+    import time
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from trainkit.functions import arrays, losses
+    from trainkit.operators import metrics
+
+    rng = np.random.default_rng(0)
+    logits, image = rng.normal(size=10_000), rng.normal(size=3 * 224 * 224)
+    rows = spark.createDataFrame([(logits.tolist(), 5)] * 4, "v array<double>, label int")
+    began = time.perf_counter()
+    row = rows.select(arrays.softmax(F.col("v")).alias("s"), arrays.max_softmax(F.col("v")).alias("m"), arrays.minmax_rows(F.col("v")).alias("r"), losses.cross_entropy(F.col("v"), F.col("label")).alias("c"), arrays.rank_of(F.col("v"), F.col("label")).alias("k")).collect()[0]
+    want = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+    assert np.allclose(row.s, want) and np.isclose(row.m, want.max()) and np.isclose(row.c, -np.log(want[5])) and row.k == 1 + (logits > logits[5]).sum()
+    assert np.allclose(row.r, (logits - logits.min()) / (logits.max() - logits.min()))
+    stats = metrics.channel_mean_std(spark.createDataFrame([(image.tolist(),)], "a array<double>"), "a", 3, 224 * 224).orderBy("channel").collect()
+    assert np.allclose([(r["mean"], r["std"]) for r in stats], [(c.mean(), c.std(ddof=1)) for c in image.reshape(3, -1)])
+    assert time.perf_counter() - began < 60

@@ -78,6 +78,21 @@ def test_codes_by_matrix_and_by_join(spark, monkeypatch):
     assert all(0 <= code < 15 for _, code, _ in want)
 
 
+@pytest.mark.parametrize("most", [20, 7, 1])
+def test_every_code_beyond_the_bound_is_seen(spark, monkeypatch, most):
+    """Codes of any spacing, in slices of any size: each vector finds its own code."""
+    vecs = vectors(60, 4)
+    book = spark.createDataFrame([(i * i + 7 * (i % 3), v) for i, v in enumerate(vecs)], "code long, vec array<double>")
+    df = spark.createDataFrame([(i * i + 7 * (i % 3), v, 0) for i, v in enumerate(vecs)], "own long, vec array<double>, code_0 int")
+    monkeypatch.setattr(quantize, "CODEBOOK_BYTES", most * 4 * 8)
+    got = quantize.assign_codes(df, book)
+    assert got.columns == ["own", "vec", "code_0", "code", "distance"]
+    assert all(r.code == r.own and r.code_0 == 0 for r in got.collect())
+    monkeypatch.setattr(quantize, "CODEBOOK_BYTES", 31)
+    with pytest.raises(ValueError):
+        quantize.assign_codes(df, book)
+
+
 def test_flatten_and_back(spark):
     df = spark.createDataFrame(list(enumerate(vectors(20, 24))), "id long, arr array<double>")
     for c, h, w in ((2, 3, 4), (1, 4, 6), (24, 1, 1)):

@@ -24,6 +24,11 @@ def total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once per row: inside a lambda, an expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _indices(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
@@ -63,8 +68,8 @@ def denormalize_to_uint8(arr: Column, mean: Sequence[float], std: Sequence[float
 
 def minmax_rows(arr: Column) -> Column:
     """(x - min) / (max - min) per array; null elements when the array is constant."""
-    low, high = F.array_min(arr), F.array_max(arr)
-    return F.transform(arr, lambda x: F.when(high > low, (x - low) / (high - low)))
+    ends = F.struct(arr.alias("arr"), F.array_min(arr).alias("low"), F.array_max(arr).alias("high"))
+    return bound(ends, lambda s: F.transform(s["arr"], lambda x: F.when(s["high"] > s["low"], (x - s["low"]) / (s["high"] - s["low"]))))
 
 
 def spatial_vectors(arr: Column, c: int, h: int, w: int, layout: str = "channels_last") -> Column:
@@ -87,23 +92,28 @@ def argmax(arr: Column) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
+def raised(logits: Column) -> Column:
+    """e^(x - max) of every element."""
+    return bound(F.struct(logits.alias("arr"), F.array_max(logits).alias("high")), lambda s: F.transform(s["arr"], lambda x: F.exp(x - s["high"])))
+
+
 def softmax(logits: Column) -> Column:
-    high = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - high))
-    return F.transform(raised, lambda x: x / total(raised))
+    """In time proportional to the number of elements; null for a null array."""
+    summed = lambda r: bound(F.struct(r.alias("arr"), total(r).alias("sum")), lambda s: F.transform(s["arr"], lambda x: x / s["sum"]))
+    return bound(raised(logits), summed)
 
 
 def max_softmax(logits: Column) -> Column:
-    """The largest softmax value, without making the array."""
-    high = F.array_max(logits)
-    return F.lit(1.0) / F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - high))
+    """The largest softmax value."""
+    return F.lit(1.0) / total(raised(logits))
 
 
 def rank_of(logits: Column, label: Column) -> Column:
     """1 + the number of classes ahead of `label`: larger logits, or equal ones of lower index."""
     own = F.get(logits, label.cast("int"))
-    ahead = F.filter(logits, lambda x, i: (x > own) | ((x == own) & (i < label)))
-    return F.when(own.isNotNull(), F.size(ahead) + 1)
+    both = F.struct(logits.alias("arr"), own.alias("own"), label.alias("label"))
+    ahead = bound(both, lambda s: F.size(F.filter(s["arr"], lambda x, i: (x > s["own"]) | ((x == s["own"]) & (i < s["label"])))))
+    return F.when(own.isNotNull(), ahead + 1)
 
 
 def topk_classes(logits: Column, k: int) -> Column:
@@ -188,7 +198,8 @@ def channel_stat(arr: Column, channel: int, pixels: int) -> tuple[Column, Column
     """(mean, sample deviation) of one channel of one image, without exploding it."""
     part = F.slice(arr, channel * pixels + 1, pixels)
     mean = total(part) / float(pixels)
-    spread = F.aggregate(part, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    both = F.struct(part.alias("part"), mean.alias("mean"))
+    spread = bound(both, lambda b: F.aggregate(b["part"], F.lit(0.0), lambda s, x: s + (x - b["mean"]) * (x - b["mean"])))
     return mean, F.sqrt(spread / float(max(1, pixels - 1)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trainkit.functions.arrays import total
+from trainkit.functions.arrays import raised, total
 
 LOG_FLOOR = -100.0  # logarithms of a probability don't fall below this
 
@@ -27,9 +27,7 @@ def bce_sum(p: Column, y: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """log-sum-exp of the logits less the label's logit."""
-    high = F.array_max(logits)
-    raised = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - high))
-    return high + F.ln(raised) - F.get(logits, label.cast("int"))
+    return F.array_max(logits) + F.ln(total(raised(logits))) - F.get(logits, label.cast("int"))
 
 
 def gaussian_kl(mu: Column, logvar: Column) -> Column:

@@ -62,7 +62,8 @@ def assign_codes(vecs: DataFrame, codebook: DataFrame, vec_col: str = "vec", met
 
     matmul: the codebook is broadcast (within CODEBOOK_BYTES) and each Arrow batch is one matrix product; the
     vectors are not shuffled.  join: every pair is compared in SQL, for small tables and as a check; it needs
-    `key_cols` that identify a row.  A codebook beyond the bound is assigned slice by slice.
+    `key_cols` that identify a row.  A codebook beyond the bound, of distinct codes, is assigned in slices that fit it;
+    every code is seen.  An empty codebook gives null codes, no vectors no rows.
     """
     if method == "join":
         keys = key_cols or [c for c in vecs.columns if c != vec_col]
@@ -79,19 +80,25 @@ def assign_codes(vecs: DataFrame, codebook: DataFrame, vec_col: str = "vec", met
     n, width = codebook.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n:
         return vecs.withColumn("code", F.lit(None).cast("long")).withColumn("distance", F.lit(None).cast("double"))
-    slices = -(-n * width * 8 // CODEBOOK_BYTES) + 1
-    out = None
-    for k in range(slices):  # the best of each slice of the codebook, carried along
-        part = codebook_matrix(codebook.where(F.pmod(F.hash("code"), F.lit(slices)) == k))
-        if part is None:
-            continue
-        step = _assign_within(vecs if out is None else out.withColumnsRenamed({"code": "_code", "distance": "_distance"}), vec_col, part)
+    most = CODEBOOK_BYTES // (8 * max(1, width or 0))  # codes of one slice
+    if not most:
+        raise ValueError("one code exceeds CODEBOOK_BYTES")
+    taken = set(vecs.columns) | {"code", "distance"}
+    old_code, old_distance = (next(f"{c}_{i}" for i in range(len(taken) + 1) if f"{c}_{i}" not in taken) for c in ("code", "distance"))
+    out, last = None, None
+    while True:  # the best of each slice of the codebook, carried along
+        rest = codebook if last is None else codebook.where(F.col("code") > last)
+        rows = rest.select("code", F.col("vec").cast("array<double>").alias("vec")).orderBy("code").limit(most).collect()
+        if not rows:
+            return out
+        last = rows[-1]["code"]
+        part = np.array([r["code"] for r in rows], np.int64), np.array([r["vec"] for r in rows], float)
+        step = _assign_within(vecs if out is None else out.withColumnsRenamed({"code": old_code, "distance": old_distance}), vec_col, part)
         if out is not None:
-            closer = F.struct("distance", "code") < F.struct("_distance", "_code")
-            step = step.withColumns({"code": F.when(closer, F.col("code")).otherwise(F.col("_code")), "distance": F.when(closer, F.col("distance")).otherwise(F.col("_distance"))})
-            step = step.drop("_code", "_distance")
+            closer = F.struct("distance", "code") < F.struct(old_distance, old_code)
+            step = step.withColumns({"code": F.when(closer, F.col("code")).otherwise(F.col(old_code)), "distance": F.when(closer, F.col("distance")).otherwise(F.col(old_distance))})
+            step = step.drop(old_code, old_distance)
         out = step
-    return out
 
 
 def _assign_within(vecs: DataFrame, vec_col: str, book: tuple[np.ndarray, np.ndarray]) -> DataFrame:

@@ -60,9 +60,9 @@ def reshape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.reshape_rows(nested))
 
 
-@query(f"WITH {IMAGES}, l AS (SELECT id, pixels[1:10] AS v FROM images) " + sql_long("(SELECT id, list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v))))) AS arr FROM l)", "id", "arr"))
+@query(f"WITH {IMAGES}, l AS (SELECT id, pixels AS v FROM images) " + sql_long("(SELECT id, list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v))))) AS arr FROM l)", "id", "arr"))
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_rows(images(spark, sf_dir), ["id"], A.softmax(F.slice("pixels", 1, 10)))
+    return long_rows(images(spark, sf_dir), ["id"], A.softmax(F.col("pixels")))
 
 
 @query(f"WITH {IMAGES} SELECT id, CAST(list_position(pixels, list_max(pixels)) - 1 AS BIGINT) AS place FROM images")
@@ -174,9 +174,9 @@ def mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _halves(spark, sf_dir).select("id", r6(L.mse(F.col("a"), F.col("b"))).alias("mse"))
 
 
-@query(f"WITH {IMAGES}, l AS (SELECT id, label, pixels[1:10] AS v FROM images) SELECT id, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[label + 1], 6) + 0.0 AS loss FROM l")
+@query(f"WITH {IMAGES}, l AS (SELECT id, label, pixels AS v FROM images) SELECT id, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[label + 1], 6) + 0.0 AS loss FROM l")
 def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images(spark, sf_dir).select("id", r6(L.cross_entropy(F.slice("pixels", 1, 10), F.col("label"))).alias("loss"))
+    return images(spark, sf_dir).select("id", r6(L.cross_entropy(F.col("pixels"), F.col("label"))).alias("loss"))
 
 
 BCE_SQL = "-(y * (CASE WHEN p <= 0 THEN -100 ELSE greatest(ln(CASE WHEN p > 0 THEN p ELSE 1 END), -100) END) + (1.0 - y) * (CASE WHEN 1.0 - p <= 0 THEN -100 ELSE greatest(ln(CASE WHEN 1.0 - p > 0 THEN 1.0 - p ELSE 1 END), -100) END))"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainkit.operators import quantize as Q
-from trainkit.plans.base import IMAGES, images, long_rows, query, r6, sql_long, unit_sql
+from trainkit.plans.base import IMAGES, images, long_rows, new_folder, query, r6, sql_long, unit_sql
 from trainkit.sources import logs
 
 K = 16
@@ -67,12 +67,6 @@ def assign_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "code", r6(F.col("distance")).alias("distance"))
 
 
-@query(ASSIGN_SQL)
-def assign_codes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Q.assign_codes(_vecs(spark, sf_dir), _book(spark, sf_dir), method="join")
-    return out.select("id", "code", r6(F.col("distance")).alias("distance"))
-
-
 @query(f"WITH {IMAGES}, {SPATIAL}, {SMALL_BOOK}, {SMALL_ASSIGNED} SELECT id, pos AS at, CAST(c - 1 AS BIGINT) AS pos, round(q[c], 6) + 0.0 AS value FROM (SELECT *, unnest(range(1, 5)) AS c FROM sassigned)")
 def lookup_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _small_book(spark, sf_dir)
@@ -103,6 +97,15 @@ def codes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
 
 
+@query(f"WITH {IMAGES}, {SPATIAL}, {SMALL_BOOK}, {SMALL_ASSIGNED} SELECT id, CAST(pos AS BIGINT) AS pos, CAST(code AS BIGINT) AS code FROM sassigned")
+def write_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes written per sample, and read back."""
+    path = new_folder(spark)
+    logs.write_codes(Q.assign_codes(_spatial(spark, sf_dir), _small_book(spark, sf_dir)), path)
+    back = spark.read.parquet(path)
+    return back.select("id", F.posexplode("codes").alias("pos", "code")).select("id", F.col("pos").cast("long").alias("pos"), F.col("code").cast("long").alias("code"))
+
+
 MEMBERS = f"""e AS (SELECT code, i, avg(v) AS m, sum(v) AS s, count(*) AS n FROM (SELECT code, unnest(range(0, 64)) AS i, unnest(vec) AS v FROM assigned) GROUP BY code, i),
 old AS (SELECT code, unnest(range(0, 64)) AS i, unnest(vec) AS v FROM book)"""
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainkit.operators import runs as R
-from trainkit.plans.base import BATCH_METRICS, batch_metrics, query, r6, table
+from trainkit.operators import split
+from trainkit.plans.base import BATCH_METRICS, batch_metrics, new_folder, query, r6, table
+from trainkit.sources import logs
 
 EPOCH = "PARTITION BY run, epoch ORDER BY ts"
 SO_FAR = f"({EPOCH} ROWS UNBOUNDED PRECEDING)"
@@ -151,6 +153,20 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.best_epoch(means, ["run"], "acc", "epoch").select("run", "best", F.col("best_epoch").cast("long").alias("best_epoch"))
 
 
+@query(
+    f"""WITH {BATCH_METRICS}, m AS (SELECT run, avg(loss) AS loss, avg(n) AS n, count(*) AS k FROM batch_metrics GROUP BY run), e AS (SELECT row_number() OVER (ORDER BY run) AS epoch, * FROM m)
+SELECT epoch, round(1.0 / epoch, 6) + 0.0 AS lr, round(loss, 6) + 0.0 AS train_loss, round(n, 6) + 0.0 AS valid_loss, k + CAST(0 AS DOUBLE) AS train_acc FROM e"""
+)
+def run_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means per run as the epochs of a log: written as text, and read back."""
+    means = batch_metrics(spark, sf_dir).groupBy("run").agg(F.avg("loss").alias("train_loss"), F.avg("n").alias("valid_loss"), F.count("*").alias("train_acc"))
+    numbered = split.numbered(means, [], [F.col("run")], F.floor(F.col("run") / 64), "epoch")
+    path = new_folder(spark)
+    logs.write_run_log(numbered.withColumn("lr", 1.0 / F.col("epoch")).withColumn("valid_acc", F.col("train_acc")), path)
+    back = logs.read_run_log(spark, path)
+    return back.select(F.col("epoch").cast("long").alias("epoch"), *[r6(F.col(c)).alias(c) for c in ("lr", "train_loss", "valid_loss", "train_acc")])
+
+
 def _two_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     means = R.epoch_means(batch_metrics(spark, sf_dir), ["tag", "epoch"], ["loss", "n"])
     means = means.withColumns({c: r6(F.col(c)) for c in ("loss", "n")})

@@ -9,7 +9,8 @@ from trainkit.functions import arrays as A
 from trainkit.operators import metrics as M
 from trainkit.operators import scoring as S
 from trainkit.operators import split as P
-from trainkit.plans.base import IMAGES, draw_sql, images, long_rows, query, r6, table
+from trainkit.plans.base import IMAGES, draw_sql, images, long_rows, new_folder, query, r6, table
+from trainkit.sources import logs
 
 CLASSES = 10
 SPLIT = f"""split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {draw_sql('42', 'id')}, id) <= floor(count(*) OVER (PARTITION BY label) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM images)"""
@@ -41,6 +42,24 @@ def w1_split_score_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("label").cast("long").alias("label"), "correct", "total", r6(F.col("accuracy")).alias("accuracy"))
 
 
+@query(f"{WITH_LOGITS} SELECT CAST(label AS BIGINT) AS label, CAST(sum(CASE WHEN {PREDICTED} = label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total FROM scored GROUP BY label")
+def per_class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.per_class_accuracy(S.predict_columns(scored(spark, sf_dir)))
+    return out.select(F.col("label").cast("long").alias("label"), "correct", "total")
+
+
+@query(
+    f"""{WITH_LOGITS}, p AS (SELECT *, row_number() OVER (ORDER BY {draw_sql('0', '0', 'id')}, id) - 1 AS place FROM scored)
+SELECT CAST(0 AS BIGINT) AS epoch, place // 16 AS batch_idx, place % 16 AS image_idx, CAST(label AS BIGINT) AS true_label, CAST({PREDICTED} AS BIGINT) AS predicted_label FROM p"""
+)
+def write_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All predictions written by epoch, and read back."""
+    path = new_folder(spark)
+    rows = S.predict_columns(P.batch_rows(scored(spark, sf_dir), "id", 16)).withColumnRenamed("label", "true_label").withColumn("epoch", F.lit(0))
+    logs.write_predictions(rows, path)
+    return spark.read.parquet(path).select(*[F.col(c).cast("long").alias(c) for c in ("epoch", "batch_idx", "image_idx", "true_label", "predicted_label")])
+
+
 @query(f"{WITH_LOGITS} SELECT id, CAST(i - 1 AS BIGINT) AS pos, round(logits[i], 6) + 0.0 AS value FROM (SELECT *, unnest(range(1, 11)) AS i FROM scored)")
 def score_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(scored(spark, sf_dir), ["id"], F.col("logits"))
@@ -88,15 +107,15 @@ def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {IMAGES}, w AS (SELECT id AS unit, pixels[1:32] AS w FROM images WHERE id < 10),
-one AS (SELECT i.id, i.label, w.unit, 1.0 / (1.0 + exp(-(list_sum(list_transform(range(1, 33), lambda k: w.w[CAST(k AS BIGINT)] * i.pixels[CAST(k AS BIGINT)])) + 0.01 * w.unit))) AS v FROM images i, w),
+    f"""WITH {IMAGES}, w AS (SELECT id AS unit, pixels AS w FROM images WHERE id < 10),
+one AS (SELECT i.id, i.label, w.unit, 1.0 / (1.0 + exp(-(list_sum(list_transform(range(1, 65), lambda k: w.w[CAST(k AS BIGINT)] * i.pixels[CAST(k AS BIGINT)])) + 0.01 * w.unit))) AS v FROM images i, w),
 scored AS (SELECT id, label, list(v ORDER BY unit) AS logits FROM one GROUP BY id, label)
 SELECT round(avg(list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) - logits[label + 1]), 6) + 0.0 AS loss,
   round(100.0 * sum(CASE WHEN {PREDICTED} = label THEN 1.0 ELSE 0.0 END) / count(*), 6) + 0.0 AS accuracy FROM scored"""
 )
 def evaluate_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weights table made of the first ten vectors, with a sigmoid."""
-    rows = images(spark, sf_dir).withColumn("x", F.slice("pixels", 1, 32))
+    rows = images(spark, sf_dir).withColumn("x", F.col("pixels"))
     weights = rows.where("id < 10").select(
         F.lit(0).alias("layer"), F.col("id").alias("unit"), F.col("x").alias("w"), (F.col("id") * 0.01).alias("b"), F.lit("sigmoid").alias("activation")
     )

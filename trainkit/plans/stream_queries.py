@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainkit.plans.base import BATCH_METRICS, batch_metrics_of, query, r6, table
+from trainkit.plans.base import BATCH_METRICS, batch_metrics_of, new_folder, query, r6, table
 from trainkit.streaming import monitors
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; one of our own only where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parque[t]"  # a pattern, because a stream takes a plain path for a folder
@@ -37,12 +28,12 @@ def _drained(stream: DataFrame, output: str, write: str, folder: str) -> DataFra
 
 @query(f"WITH {BATCH_METRICS} SELECT run, epoch, round(CASE WHEN sum(n) <> 0 THEN sum(loss * n) / sum(n) END, 6) + 0.0 AS mean, CAST(sum(n) AS BIGINT) AS n FROM batch_metrics GROUP BY run, epoch")
 def stream_epoch_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _drained(monitors.stream_epoch_means(_feed(spark, sf_dir), ["run", "epoch"], "loss", "n"), "complete", "overwrite", _folder(spark))
+    out = _drained(monitors.stream_epoch_means(_feed(spark, sf_dir), ["run", "epoch"], "loss", "n"), "complete", "overwrite", new_folder(spark))
     return out.select("run", "epoch", r6(F.col("mean")).alias("mean"), "n")
 
 
 @query("SELECT user_id AS run, max(value) AS best FROM events GROUP BY user_id HAVING max(value) > 0")
 def stream_best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final best of every run; improvements on the way depend on the order of arrival."""
-    out = _drained(monitors.stream_best_so_far(_feed(spark, sf_dir), "run", "loss"), "update", "append", _folder(spark))
+    out = _drained(monitors.stream_best_so_far(_feed(spark, sf_dir), "run", "loss"), "update", "append", new_folder(spark))
     return out.groupBy("run").agg(F.max("best").alias("best"))

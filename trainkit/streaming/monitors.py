@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_epoch_means(stream: DataFrame, keys: list[str], val: str, n: str) -> DataFrame:
@@ -18,14 +13,5 @@ def stream_epoch_means(stream: DataFrame, keys: list[str], val: str, n: str) ->
 
 
 def stream_best_so_far(stream: DataFrame, run: str, metric: str) -> DataFrame:
-    """(run, best): a row whenever a run's best improves, starting from 0; the state is one double per run."""
-    kind = dict(stream.dtypes)[run]
-
-    def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0.0
-        best = max([before, *(float(f[metric].max()) for f in frames if f[metric].notna().any())])
-        if best > before:
-            state.update((best,))
-            yield pd.DataFrame({"run": [key[0]], "best": [best]})
-
-    return stream.groupBy(run).applyInPandasWithState(update, f"run {kind}, best double", "best double", "update", GroupStateTimeout.NoTimeout)
+    """(run, best): in update mode a row whenever a batch has rows of a run that is above 0; the state is one maximum per run."""
+    return stream.groupBy(F.col(run).alias("run")).agg(F.max(F.col(metric).cast("double")).alias("best")).where("best > 0")
