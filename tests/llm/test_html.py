@@ -47,6 +47,40 @@ def test_names_do_not_drop_most_of_the_text(opening, closing):
     assert html.main_text(page(f"{opening}<h1>Title</h1><p>{LONG}</p><p>{LONG} b</p>{closing}", NAV)) == f"Title\n{LONG}\n{LONG} b"
 
 
+LINKS = "".join(f'<li><a href="/{i}">Another story number {i}</a></li>' for i in range(8))
+PLAIN_MENU = f"<div><ul>{LINKS}</ul></div>"
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        # No article element and no telling names: density alone tells the text from menus and link lists.
+        (f"{PLAIN_MENU}<div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG} b</p></div>{PLAIN_MENU}", f"Title\n{LONG}\nShort.\n{LONG} b"),
+        (f"{PLAIN_MENU}<div><div><h2>A</h2><p>{LONG}</p><p>{LONG} 2</p></div>{PLAIN_MENU}<div><h2>B</h2><p>{LONG} 3</p></div></div>", f"A\n{LONG}\n{LONG} 2\nB\n{LONG} 3"),
+        (f"<article><h1>T</h1><p>{LONG}</p>{PLAIN_MENU}<p>{LONG} b</p></article>", f"T\n{LONG}\n{LONG} b"),
+        (f"{PLAIN_MENU}<article><p>{LONG}</p></article><article><p>{LONG} b</p></article>", f"{LONG}\n{LONG} b"),
+    ],
+)
+def test_density_decides(body, text):
+    assert html.main_text(page(body)) == text
+    assert html.main_text(page(body), by_density=False) != text
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        (f'<div class="layout has-sidebar"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<section class="post no-comments"><p>{LONG}</p></section>', LONG),
+        (f'<form id="aspnetForm"><article><p>{LONG}</p></article></form>', LONG),
+        (f'<div title="a hidden gem"><p>{LONG}</p></div>', LONG),
+        (f'<article><p>{LONG} <span class="search-term">needle</span> end</p></article>', f"{LONG} needle end"),
+        (f'<article><p>{LONG}</p><p class="ad">Buy now</p></article>', LONG),
+    ],
+)
+def test_names_are_taken_whole(body, text):
+    assert html.main_text(page(body)) == text
+
+
 def test_an_article_ends_unclosed_boilerplate():
     assert html.main_text(page(f"<div class='menu'><p>Home<article><p>{LONG}</p></article>")) == LONG
 

@@ -1,10 +1,11 @@
 """Main text of web pages by composite text density.
 
-The page's tags become a tree of nodes.  Boilerplate that names itself (navigation, forms, comments, ...) is
-left out first.  Every node's density is its characters per tag, adjusted for link characters and link tags;
-the density sum of a node adds up its children's.  The node with the largest sum is the core of the article;
-the smallest density on its path up to the body is the threshold by which the enclosing subtree is chosen.
-The text of that subtree is returned whole, one line per block.
+The page's tags become a tree of nodes.  Elements that are boilerplate by their tag or by an exact name (navigation,
+forms, comments, ...) are left out, unless they hold most of the page's text.  Every node's density is its characters
+per tag, adjusted for link characters and link tags; the density sum of a node adds up its children's.  The node with
+the largest sum is the core of the article; the smallest density on its path up to the body is the threshold: every
+node that reaches it marks the maximum-sum node of its subtree as content.  The marked parts, with the headings and
+plain blocks between them, are returned whole, one line per block.
 """
 
 from __future__ import annotations
@@ -45,19 +46,33 @@ CONTENT = frozenset("article main".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-WORD_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-LOWER_PARTS = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+# Words that may stand beside a boilerplate word in one name; words that turn its meaning; elements inside a line.
+BESIDE = frozenset("left right top bottom box area section list block container wrapper inner outer item items links link bar main site page global primary secondary post article entry story text widget col column the".split())
+TURNING = frozenset("has no with without not is non hide show after before".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("name", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "best", "in_content", "holds")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
         self.parts: list[Node | str] = []  # in page order
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.best = self  # the node of the largest sum in the subtree
+        self.holds = False  # whether it holds marked content
+        self.in_content = name in CONTENT or (parent is not None and parent.in_content)
+
+
+def names_noise(token: str) -> bool:
+    """Whether a whole class, id or role names boilerplate: `cookie-notice` and `sidebar-left` do, `has-sidebar` and `search-term` don't."""
+    words = {w.lower() for w in PARTS.findall(token)}
+    if words & OWN_HEADER:  # the article's own header holds its title
+        words.discard("header")
+    return bool(words & NOISE) and words <= NOISE | BESIDE | OWN_HEADER and not words & TURNING
 
 
 def is_noise(name: str, attributes: str, in_content: bool) -> bool:
@@ -65,16 +80,13 @@ def is_noise(name: str, attributes: str, in_content: bool) -> bool:
         return True
     if name == "header":  # of a page; an article's own header holds its title
         return not in_content
-    if name in ("body", "html", "article", "main", "p") or not attributes:
+    if name in ("body", "html", "article", "main") or name in INLINE or not attributes:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        words = {w.lower() for w in WORD_PARTS.findall(value)} | set(LOWER_PARTS.findall(value.lower()))
-        if words & OWN_HEADER:  # the article's own header holds its title
-            words.discard("header")
-        if key in ("class", "id", "role") and words & NOISE and not (name[0] == "h" and name[1:] in "123456"):
+        if key in ("class", "id", "role") and not (name[0] == "h" and name[1:] in "123456") and any(map(names_noise, value.split())):
             return True
     return False
 
@@ -170,10 +182,7 @@ def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) ->
                 here = node.parent
                 if name == "tr" and here.name == "tr":
                     here = here.parent
-        inside = here
-        while inside is not None and inside.name not in CONTENT:
-            inside = inside.parent
-        if left not in spared and is_noise(name, attributes, inside is not None):
+        if left not in spared and is_noise(name, attributes, here.in_content):
             if not attributes.endswith("/"):
                 skip_stack.append(name)
                 skipping = left
@@ -235,34 +244,75 @@ def measure(root: Node) -> None:
         node.sum = sum(p.density for p in node.parts if type(p) is Node)
         if any(type(p) is str and not p.isspace() for p in node.parts):
             node.sum = max(node.sum, node.density)
+        node.best, node.holds = node, False
+        for p in node.parts:
+            if type(p) is Node and p.best.sum > node.best.sum:
+                node.best = p.best
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+
 
+def mark(root: Node, by_density: bool = True) -> set[int]:
+    """Marks the content and returns ids of the marked nodes: for every node at the path's threshold, the maximum-sum node below it.
 
-def select(root: Node) -> Node:
-    """The subtree to return: from the node of the largest density sum up, while a parent's other parts pass the path's threshold."""
-    best, todo = root, [root]
+    `by_density=False` marks the whole page (a test's comparison).
+    """
+    best = root.best
+    threshold, node = best.density, best
+    while node.parent is not None:
+        node = node.parent
+        threshold = min(threshold, node.density)
+    marked, todo = set(), [root]
     while todo:
         node = todo.pop()
-        if node.sum > best.sum:
-            best = node
+        if not by_density or (node.chars and node.density >= threshold):
+            up = node.best if by_density else node
+            marked.add(id(up))
+            while up is not None and not up.holds:
+                up.holds = True
+                up = up.parent
         todo.extend(p for p in node.parts if type(p) is Node)
-    node = best
-    while node is not None and node.name not in CONTENT:
-        node = node.parent
-    if node is not None:  # the page says where its article is
-        return node
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    for node in path[1:]:
-        parts = [p for p in node.parts if type(p) is Node and p.chars]
-        if parts and all(p.density >= threshold for p in parts) and node.link_chars * 2 <= node.chars:
-            best = node
-    return best
-
-
-def blocks(node: Node) -> list[str]:
-    """One string per block of the subtree, in page order; text directly inside a block between two inner blocks is one too."""
+    return marked
+
+
+def linked(node: Node) -> bool:
+    """Whether a block is mostly links."""
+    return node.name in BLOCK and node.link_chars * 2 > node.chars
+
+
+def left_out(root: Node, marked: set[int]) -> set[int]:
+    """Ids of the nodes, and of their direct texts (as pairs), that are no content."""
+    out: set[int] = set()
+    homes = root.best.in_content  # the page says where its articles are: only they count
+    todo = [(root, id(root) in marked)]
+    while todo:
+        node, whole = todo.pop()
+        children = [p for p in node.parts if type(p) is Node]
+        kept = [k for k, p in enumerate(children) if p.holds]
+        for k, child in enumerate(children):
+            if homes and not child.in_content:  # on the way to an article
+                inner = child.holds
+                keep, all_of = inner, False
+            elif whole or (homes and child.in_content):
+                keep, all_of = child.holds or not linked(child), True
+            elif child.holds:
+                keep, all_of = True, id(child) in marked
+            else:
+                between = kept and kept[0] < k < kept[-1] and not linked(child)
+                heads = child.name in HEADINGS and k + 1 in kept
+                keep, all_of = between or heads, True
+            if keep:
+                todo.append((child, all_of))
+            else:
+                out.add(id(child))
+        if not whole and id(node) not in marked and (homes and not node.in_content or not kept or node.parent is None):
+            out.add(-id(node))  # texts directly in a node that is no content itself
+    return out
+
+
+def blocks(root: Node, out_ids: set[int] | frozenset[int] = frozenset()) -> list[str]:
+    """One string per block, in page order, without what `left_out` names; text directly inside a block between two inner blocks is one too."""
     out: list[str] = []
     line: list[str] = []
 
@@ -272,7 +322,7 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    todo: list[Node | str | None] = [node]
+    todo: list[Node | str | None] = [root]
     while todo:
         part = todo.pop()
         if part is None:
@@ -283,15 +333,19 @@ def blocks(node: Node) -> list[str]:
             if part.name in BLOCK:
                 end()
                 todo.append(None)
-            todo.extend(reversed(part.parts))
+            if id(part) in out_ids:
+                continue
+            silent = -id(part) in out_ids
+            todo.extend(p for p in reversed(part.parts) if not (silent and type(p) is str))
     end()
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, by_density: bool = True) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(select(tree(page))))
+    root = tree(page)
+    return "\n".join(blocks(root, left_out(root, mark(root, by_density)) if by_density else frozenset()))
 
 
 def _extract() -> Callable:
@@ -306,6 +360,7 @@ def extract_text(pages: DataFrame, carry: list[Column], html_col: str = "html")
     """`carry` as c0, c1, ... with text and n_chars (code points): one row per input row; no shuffle.
 
     Null and empty pages, and pages without text, give an empty text.  Broken markup is read as browsers do;
-    very long pages are read whole.  An empty table gives an empty result.
+    very long pages are read whole; repeated rows are read each; carried columns may have any names.  An empty table
+    gives an empty result.
     """
     return map_rows(pages, carry, [F.col(html_col)], _extract, "text string, n_chars long")
