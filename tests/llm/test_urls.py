@@ -48,3 +48,20 @@ def test_only_candidates_are_tried():
 
 def test_twin(spark):
     assert_same(queries.op3_url_filter(spark, ORACLE), queries.OP3_SQL, ORACLE)
+
+
+def test_filter_lists(spark):
+    """Lines of a table; the token index finds what trying every pattern finds."""
+    import re
+
+    lines = ["||ads.example.com^", "@@||good.example.net^", "/track*pixel^", "|https://shop.", ".gif|", "! comment", "", None, "/(^|[^a-z0-9])casino([^a-z0-9]|$)/casino", "/(/bad", "-banner-", "*"]
+    patterns = urls.read_filters(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert len(patterns) == 7
+    given = ["http://ads.example.com/x", "https://a.ads.example.com", "http://badads.example.com/", "http://good.example.net/casino", "http://x.com/track/a/pixel?z", "http://shop.x.org/", "http://x.com/a.GIF", "http://x.com/a.gif/b",
+             "http://casino.com", "http://casino.com/", "http://x.com/my-casino-page", "http://x.com/casinos", "http://x.com/a-banner-b", None, "x", "http://" + "a" * 50_000 + ".com/casino"]
+    rows = urls.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(given)], "i long, url string"), [F.col("i")], host_rules=[], patterns=patterns).collect()
+    for r in rows:
+        fits = {verdict for pattern, _, verdict in patterns if re.search(pattern, (r.host + r.path).lower())}
+        assert r.verdict == ("block" if "block" in fits else "allow"), given[r.c0]
+    blocked = {r.c0 for r in rows if r.verdict == "block"}
+    assert {0, 1, 4, 5, 6, 8, 9, 10, 12, 15} == blocked - {3}

@@ -45,7 +45,7 @@ judged AS (
   FROM parts)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host || path, '(^|[.\-])(casino|pills|bets|adult|spam|ads)([.\-]|$)[^/]*/') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])(casino|pills|bets|adult|spam|ads)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
 

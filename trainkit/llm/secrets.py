@@ -9,6 +9,7 @@ phone and card numbers are not) and the forest carries the judgement over to all
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -20,13 +21,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import cut, hash_share, map_rows
+from trainkit.llm.common import cut, forget, map_rows
 
 TRAIN_FINDINGS = 50_000  # bound of the labelled findings that the forest is trained on
-DICTIONARY_DOCS = 20_000  # bound of the sample that the dictionary is counted on
-DICTIONARY_WORDS = 5_000
+DICTIONARY_SHARE = 1 / 2000  # of all documents have a dictionary word; so there are at most 2000 times a document's mean distinct words
 TREES, DEPTH = 20, 6
-CONTEXT = 48  # characters kept on either side
+WORDS_BEFORE, WORDS_AFTER = 3, 2  # neighbouring words kept
 TRAIN_TASKS = 8
 
 # Names that announce a secret, words around harmless numbers, path words of examples.
@@ -56,12 +56,17 @@ NAMES = (
 
 
 def find(text: str | None) -> list[tuple[int, str, str, str]]:
-    """(position, candidate, text before, text after) of every candidate."""
-    out = []
+    """(position, candidate, text before, text after) of every candidate; with its neighbouring words, however far."""
+    out, words = [], None
     for m in CANDIDATE.finditer(text or ""):
+        if words is None:
+            words = [w.span() for w in WORD.finditer(text)]
+            stops = [b for _, b in words]
         kind = "value" if m["value"] else "plain"
         a, b = m.span(kind)
-        out.append((a, m[kind], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]))
+        left = bisect.bisect_right(stops, a) - WORDS_BEFORE  # words that end before the candidate
+        right = bisect.bisect_left(words, (b, b)) + WORDS_AFTER - 1
+        out.append((a, m[kind], text[words[left][0] if left >= 0 else 0 : a], text[b : words[right][1] if right < len(words) else len(text)]))
     return out
 
 
@@ -89,10 +94,10 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
     pairs = list(zip(classes, classes[1:], strict=False))
     vowels = [c in "aeiouAEIOU" for c in value]
     counts = Counter(value)
-    near = {w.lower() for w in WORD.findall(before)[-3:]} | {w.lower() for w in WORD.findall(after)[:2]}
+    near = {w.lower() for w in WORD.findall(before)[-WORDS_BEFORE:]} | {w.lower() for w in WORD.findall(after)[:WORDS_AFTER]}
     lead = before.rstrip()
     return [
-        float(min(n, 200)),
+        float(n),
         classes.count("d") / n,
         classes.count("u") / n,
         classes.count("l") / n,
@@ -102,7 +107,7 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
         sum(a != b for a, b in zip(vowels, vowels[1:], strict=False)) / max(1, n - 1),
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         len(counts) / n,
-        covered(value[:200], dictionary),
+        covered(value, dictionary),
         float(HEX.fullmatch(value) is not None and not value.isdigit()),
         max((len(d) for d in re.findall(r"\d+", value)), default=0) / n,
         float(bool(near & TELLING)),
@@ -140,20 +145,22 @@ def label_by_format() -> Column:
     return label
 
 
-def dictionary_of(docs: DataFrame, id_col: str, text_col: str, sample_docs: int = DICTIONARY_DOCS, words: int = DICTIONARY_WORDS) -> frozenset[str]:
-    """The most frequent words of three letters or more in a bounded sample of documents."""
-    n = docs.select(id_col).count()
-    sample = docs.where(hash_share(id_col, 7) < min(1.0, sample_docs / max(1, n)))
+def dictionary_of(docs: DataFrame, text_col: str, share: float = DICTIONARY_SHARE) -> frozenset[str]:
+    """The words of 3 to 16 letters that at least `share` of all documents have, and at least two; counted over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = Counter()
             for text in batch.column(0).to_pylist():
                 seen.update({w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= 16})
+            seen[""] = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = sample.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())
+    counted = cut(docs.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    rows = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    words = frozenset(r["word"] for r in counted.where((F.col("n") >= F.lit(max(2.0, share * rows))) & (F.col("word") != "")).collect())
+    forget(counted)
+    return words
 
 
 def _describe(shared) -> Callable:
@@ -178,9 +185,10 @@ def scan(
     `findings`: labelled findings (id, position, label 0/1) to train from; without it, formats label them.  At most
     about `train_findings` are used, drawn by hash.  If the labels know one class only, that is every
     candidate's verdict; without any label, nothing is a secret.  Null and empty texts have no candidates; a
-    null path counts as empty; repeated rows are scanned each.  An empty table gives an empty result.
+    null path counts as empty; very long texts are scanned whole; repeated rows are scanned each, equal candidates get
+    equal verdicts; other columns are left out, whatever their names.  An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary_of(docs, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary_of(docs, text_col))
     found = candidates(docs, id_col, text_col, path_col)
     columns = ["id", "position", "value", "before"]
     described = cut(

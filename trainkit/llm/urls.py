@@ -20,21 +20,58 @@ from trainkit.llm.common import map_rows
 
 HOST_PATH = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-TOKEN = re.compile(r"[^./:?#&=\-_~+%,;@!]+")
+TOKEN = re.compile(r"[^\W_]+")  # of lower-cased text
 RULES_AT_ONCE = 200_000  # rules in one broadcast; more are applied in several passes
 
 ALLOW, BLOCK = "allow", "block"
 #: The contract's host and path rules.
 HOST_RULES = [("org/", ALLOW), ("example.org/es/", BLOCK), ("example.org/en/1", BLOCK), ("com/fr/", ALLOW), ("com/de/", BLOCK)]
-#: The method's own patterns: (regular expression over host and path, literal tokens of any match, verdict).
-PATTERNS = [
-    (r"(^|[.\-])casino([.\-]|$)[^/]*/", ["casino"], BLOCK),
-    (r"(^|[.\-])pills([.\-]|$)[^/]*/", ["pills"], BLOCK),
-    (r"(^|[.\-])bets([.\-]|$)[^/]*/", ["bets"], BLOCK),
-    (r"(^|[.\-])adult([.\-]|$)[^/]*/", ["adult"], BLOCK),
-    (r"(^|[.\-])spam([.\-]|$)[^/]*/", ["spam"], BLOCK),
-    (r"(^|[.\-])ads([.\-]|$)[^/]*/", ["ads"], BLOCK),
-]
+#: The method's own list, in the syntax of `parse_filter`; any table of such lines does.
+FILTERS = [rf"/(^|[^a-z0-9]){word}([^a-z0-9]|$)/{word}" for word in ("casino", "pills", "bets", "adult", "spam", "ads")]
+
+
+def parse_filter(line: str | None) -> tuple[str, list[str], str] | None:
+    """(regular expression over lower-cased host and path, literal tokens of any match, verdict) of one line of a filter list.
+
+    `||` begins at a host or below it, `|` at the start or end, `^` is a sign or the end, `*` anything, `@@` allows,
+    `/expression/tokens` is a regular expression with the tokens (by blanks) of any match, `!` begins a comment; what
+    follows `$` is left out.  None for other lines.
+    """
+    line = (line or "").strip().lower()
+    if not line or line[0] in "![" or "##" in line:
+        return None
+    verdict, line = (ALLOW, line[2:]) if line.startswith("@@") else (BLOCK, line)
+    if line.startswith("/") and "/" in line[1:]:
+        expression, _, tokens = line[1:].rpartition("/")
+        try:
+            re.compile(expression)
+        except re.error:
+            return None
+        return expression, tokens.split(), verdict
+    body = line.partition("$")[0]
+    start, stop = "", ""
+    if body.startswith("||"):
+        start, body = r"^([^/]*\.)?", body[2:]
+    elif body.startswith("|"):
+        start, body = "^", re.sub(r"^[a-z]+://", "", body[1:])
+    if body.endswith("|"):
+        stop, body = "$", body[:-1]
+    if not body.strip("*"):
+        return None
+    # A run of letters and digits is a whole token if a sign or an anchor stands on either side.
+    runs = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(body)]
+    whole = [t for a, b, t in runs if (a > 0 and body[a - 1] not in "*_" or a == 0 and start) and (b < len(body) and body[b] not in "*_" or b == len(body) and stop)]
+    pieces = {"*": ".*", "^": r"([^a-z0-9_.%-]|$)"}
+    return start + "".join(pieces.get(c, re.escape(c)) for c in body) + stop, whole, verdict
+
+
+def read_filters(lines: DataFrame, line_col: str = "line") -> list[tuple[str, list[str], str]]:
+    """The patterns of a table with one line of a filter list per row; rules are broadcast, so the driver holds the list."""
+    found = lines.select(F.col(line_col).alias("line")).where("line IS NOT NULL").distinct().orderBy("line").collect()
+    return [f for f in (parse_filter(r["line"]) for r in found) if f is not None]
+
+
+PATTERNS = [f for f in map(parse_filter, FILTERS) if f is not None]
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -53,11 +90,11 @@ def path_of(url: Column) -> Column:
 
 def rule_tokens(rule: str) -> list[str]:
     """Tokens that every URL of a host and path rule has; a path's last piece may go on, so it is none."""
-    host, slash, path = rule.partition("/")
+    host, _, path = rule.lower().partition("/")
     pieces = TOKEN.findall(path)
     if pieces and path.endswith(pieces[-1]):
         pieces.pop()
-    return TOKEN.findall(host.lower()) + pieces
+    return TOKEN.findall(host) + pieces
 
 
 class RuleIndex:
@@ -83,13 +120,14 @@ class RuleIndex:
         best = ("", None)
         blocked = allowed = False
         candidates = list(self.always)
-        for token in set(TOKEN.findall(host)) | set(TOKEN.findall(path)):
+        whole = (host + path).lower()
+        for token in set(TOKEN.findall(whole)):
             candidates += self.by_token.get(token, ())
         for is_host, text, head, tail, verdict in candidates:
             if is_host:
                 if (host == head or host.endswith("." + head)) and path.startswith(tail) and (-len(text), text) < (-len(best[0]), best[0]):
                     best = (text, verdict)
-            elif head.search(host + path):
+            elif head.search(whole):
                 blocked, allowed = blocked or verdict == BLOCK, allowed or verdict == ALLOW
         return (best[0] or None), best[1], (BLOCK if blocked else ALLOW if allowed else None)
 
@@ -100,12 +138,14 @@ def token_frequencies(urls: DataFrame, url_col: str, tokens: set[str]) -> Counte
         return Counter()
     session = urls.sparkSession
     wanted = session.createDataFrame([(t,) for t in sorted(tokens)], "token string")
-    seen = urls.select(F.explode(F.array_distinct(F.split(F.concat_ws("/", host_of(F.col(url_col)), path_of(F.col(url_col))), TOKEN_SPLIT))).alias("token"))
-    counts = seen.groupBy("token").count().join(F.broadcast(wanted) if len(tokens) <= RULES_AT_ONCE else wanted, "token")
+    whole = F.lower(F.concat(host_of(F.col(url_col)), path_of(F.col(url_col))))
+    seen = urls.select(F.explode(F.array_distinct(F.split(whole, TOKEN_SPLIT))).alias("token"))
+    # Only the rules' own tokens are grouped.
+    counts = seen.join(F.broadcast(wanted) if len(tokens) <= RULES_AT_ONCE else wanted, "token").groupBy("token").count()
     return Counter({r["token"]: r["count"] for r in counts.collect()})
 
 
-TOKEN_SPLIT = r"[./:?#&=\-_~+%,;@!]+"
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def _judge(index: RuleIndex) -> Callable:
@@ -132,7 +172,8 @@ def judge_urls(
 
     The longest fitting host rule decides (of equally long ones the first in text order).  Where none fits,
     rule is null: a blocking pattern blocks, else an allowing one allows, else `default` holds.  A null URL, or
-    one without `://`, has an empty host and path.  An empty table gives an empty result.
+    one without `://`, has an empty host and path.  Very long URLs are read whole; repeated rows are judged each; carried
+    columns may have any names.  An empty table gives an empty result.
     """
     tokens = {t for rule, _ in host_rules for t in rule_tokens(rule)} | {t for _, ts, _ in patterns for t in ts}
     frequency = token_frequencies(pages, url_col, tokens)
