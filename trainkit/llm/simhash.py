@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainkit.llm.common import cut, forget, hash_share, map_rows, tasks_for
+from trainkit.llm.common import cut, forget, map_rows, tasks_for
 
 BITS = 64
 FANOUT = 16
@@ -37,8 +37,8 @@ RADIUS = 4
 SHINGLES_AT_ONCE = 65_536
 SEED = 42
 SKETCH = 512  # bits of a set's parity sketch
-ORDER_DOCS = 100_000  # about as many documents tell which shingles are frequent; that orders them only
-ORDER_SHINGLES = 1_000_000  # of 16 bytes, broadcast
+ORDER_BUCKETS = 1 << 20  # counts of shingles by the first bits of their hash, broadcast
+ORDER_CHUNK = 1 << 14  # buckets of one row
 ROUNDING = 1e-6  # by which bounds on counts give way
 BROADCAST_NODES = 1_000_000  # long keys that may be broadcast
 
@@ -443,25 +443,50 @@ def confirmed(edges: DataFrame, docs: DataFrame, text_col: str, key_col: str, wo
     return found
 
 
-def frequent_shingles(keyed: DataFrame, text_col: str, key_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ranks) of frequent shingles, sorted by hash. They come late in the order of shingles; any order finds all pairs."""
-    share = ORDER_DOCS / max(1, keyed.count())
-    some = keyed.where(hash_share(key_col, SEED) < share) if share < 1 else keyed
-    sets = map_rows(some, [], [F.col(text_col).cast("binary")], lambda: _shingle_sets(words_per_shingle), "shingles array<long>")
-    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    top = counted.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
-    hashes, counts = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def leading(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a sorted set, of which every set as similar holds one among its own first."""
-    known, counts = frequent
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, counts[at], 0)
+def order_buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(BITS - ORDER_BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(k: int):
+    """How many (text, shingle) pairs of a partition fall into each bucket: a row per chunk of buckets, in as few bytes as do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(counts, order_buckets(shingle_set(text.as_py(), k)), 1)
+        rows = [(i, c.astype(np.min_scalar_type(c.max()))) for i, c in enumerate(counts.reshape(-1, ORDER_CHUNK)) if c.any()]
+        if rows:
+            chunks, parts = zip(*rows, strict=True)
+            columns = [pa.array(chunks, pa.int32()), pa.array([c.itemsize for c in parts], pa.int32()), pa.array([c.tobytes() for c in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "width", "counts"])
+
+    return count
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each chunk's rows."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, width, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, f"u{width}").astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["chunk", "counts"])
+
+
+def shingle_counts(keyed: DataFrame, text_col: str, words_per_shingle: int) -> np.ndarray:
+    """For each bucket of hashes, how many of all texts' shingles fall into it. Shingles of full buckets come late; any order finds all pairs."""
+    parts = keyed.select(F.col(text_col).cast("binary")).mapInArrow(_counted(words_per_shingle), "chunk int, width int, counts binary")
+    sums = parts.repartition(tasks_for(keyed.sparkSession), "chunk").mapInArrow(_added, "chunk int, counts array<long>").toArrow()
+    counts = np.zeros((ORDER_BUCKETS // ORDER_CHUNK, ORDER_CHUNK), np.int64)
+    for chunk, row in zip(sums["chunk"].to_pylist(), sums["counts"], strict=True):
+        counts[chunk] = row.values.to_numpy()
+    return counts.ravel()
+
+
+def leading(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, by the counts of their buckets, of which every set as similar holds one among its own first."""
+    rank = counts[order_buckets(hashes)]
     needed = math.ceil(similarity * len(hashes) - ROUNDING)
     return hashes[np.argsort(rank, kind="stable")][: len(hashes) - needed + 1]
 
@@ -481,11 +506,11 @@ def may_be_similar(edges: DataFrame, nodes: DataFrame, similarity: float) -> Dat
     return edges.join(a, "u").join(b, "v").where((F.least("size_u", "size_v") >= needed) & (differing <= sizes - 2 * needed)).select("u", "v")
 
 
-def _describe_sets(k: int, similarity: float, frequent):
+def _describe_sets(k: int, similarity: float, counts):
     def compute(inputs: list[pa.Array]) -> list[pa.Array]:
         sets = [shingle_set(t.as_py(), k) for t in inputs[0]]
         digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-        first = [leading(s, frequent.value, similarity).view(np.int64) for s in sets]
+        first = [leading(s, counts.value, similarity).view(np.int64) for s in sets]
         codes = np.array([majority(bits_set(s)[None], len(s))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
         return [
             pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(codes)
@@ -584,14 +609,14 @@ def similar_groups(
     keyed = docs if key_col else cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias(key)))
     if not key_col:
         id_col, text_col = "id", "text"
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, text_col, key, words_per_shingle))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(keyed, text_col, words_per_shingle))
     fields = "digest binary, size int, sketch array<long>, leading array<long>, f0 long"
     rows = cut(
-        map_rows(keyed, [F.col(key), F.col(id_col).cast("long")], [F.col(text_col).cast("binary")], lambda: _describe_sets(words_per_shingle, similarity, frequent), fields)
+        map_rows(keyed, [F.col(key), F.col(id_col).cast("long")], [F.col(text_col).cast("binary")], lambda: _describe_sets(words_per_shingle, similarity, counts), fields)
         .withColumnRenamed("c0", "row_key")
         .withColumnRenamed("c1", "id")
     )
-    frequent.unpersist()
+    counts.unpersist()
     sets = cut(distinct_rows(rows, ["digest", "f0"]))
     nodes = rows.join(sets.select(F.col("node").alias("row_key")), "row_key").withColumnRenamed("row_key", "node")
     placed = nodes.select("node", "size", F.posexplode("leading").alias("place", "shingle")).select("shingle", "node", "size", "place")
