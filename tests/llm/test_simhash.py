@@ -195,6 +195,16 @@ def similar(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
+def test_shingle_counts_of_all_texts(spark):
+    expected = np.zeros(simhash.ORDER_BUCKETS, np.int64)
+    for row in AWKWARD:
+        words = (row[1] or "").encode().lower().split()
+        for shingle in {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else ():
+            expected[xxhash.xxh64_intdigest(shingle, 42) * simhash.ORDER_BUCKETS >> 64] += 1
+    assert (simhash.shingle_counts(awkward(spark), "text", 5) == expected).all()
+    assert not simhash.shingle_counts(nothing(spark), "text", 5).any()
+
+
 def test_similar_groups_of_awkward_rows(spark):
     got = simhash.similar_groups(awkward(spark)).collect()
     assert len(got) == len(AWKWARD)
