@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     A table is computed once, while an eager checkpoint computes its last stage twice, and its shuffle files go as soon as
     it is written.  Names are put aside while it is
-    written, so any names do.  Rows may be dealt out anew: a place in a partition is to be taken before.
+    written, so any names do.  zstd keeps texts that wait for a stage's end small.  Rows may be dealt out anew: a place in a partition is to be taken before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(DROP_SHUFFLES)
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        plain.write.parquet(path)
+        plain.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     table = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
