@@ -176,3 +176,26 @@ def test_empty_sides(spark):
     df = spark.createDataFrame([(0.5, True)], "p double, real boolean")
     row = metrics.real_fake_scores(df, F.col("p"), F.col("real")).first()
     assert row.real_score == 0.5 and row.fake_score is None and row.distance is None
+
+
+@pytest.mark.parametrize("keys", [["run"], ["run", "epoch"]])
+def test_split_runs_equal_plain_windows(spark, keys):
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 0, 0, 1, None]), i % 2, None if i % 50 == 0 else i * i, i, rng.choice([None, -1.0, float(rng.randrange(100))]), rng.randrange(3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "run int, epoch int, ts long, id int, loss double, n int")
+    for job in (lambda m: runs.running_average(df, keys, ["ts", "id"], "loss", "n", m), lambda m: runs.running_accuracy(df, keys, ["ts", "id"], "n", "id", m), lambda m: runs.best_so_far(df, keys, ["ts", "id"], "loss", m)):
+        assert sorted(map(repr, job(20).collect())) == sorted(map(repr, job(10_000).collect()))
+    assert "_range" in runs.best_so_far(df, keys, ["ts", "id"], "loss", 20)._jdf.queryExecution().toString()
+    assert runs.running_average(df.limit(0), keys, ["ts"], "loss", "n", 0).collect() == []
+
+
+def test_ranges_of_an_order(spark):
+    values = [None, 10**15, *range(5000)]
+    df = spark.createDataFrame([(v, ) for v in values], "v long")
+    found = df.withColumn("b", split.range_bucket(df, F.col("v"), 16)).orderBy(F.col("v").asc_nulls_first()).collect()
+    buckets = [r.b for r in found]
+    assert buckets == sorted(buckets) and buckets[0] == -1
+    assert max(buckets.count(b) for b in set(buckets)) < 700
+    times = spark.sql("SELECT timestamp_ntz'2024-01-01 10:00:00' AS a, timestamp'2024-01-01 10:00:00' AS b, date'2024-01-01' AS c, 'x' AS d")
+    assert [split.order_number(times, c) is None for c in "abcd"] == [False, False, False, True]
+    assert times.select(split.order_number(times, "a") - split.order_number(times, "b") / 1_000_000).first()[0] == 0

@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trainkit.operators import split
+
+RUN_ROWS = 1_000_000  # rows of a run that one task may hold
+
 
 def _so_far(keys: list[str], order: Sequence[str | Column]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def running_average(df: DataFrame, keys: list[str], order: list[str], val: str, n: str) -> DataFrame:
+def _totals(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], fold: Callable[[Column | str], Column], last: int, run_rows: int) -> DataFrame:
+    """`df` with a column per name: the sum or maximum (`fold`) of its value from the run's first row up to `last` rows after each.
+
+    Where a run has more than `run_rows` rows, runs are cut into ranges of their order; a range's rows take the
+    fold of the run's earlier ranges, so no task holds a run.
+    """
+    number = split.order_number(df, order[0])
+    if number is None or df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > run_rows).isEmpty():
+        window = _so_far(keys, order).rowsBetween(Window.unboundedPreceding, last)
+        return df.withColumns({name: fold(value).over(window) for name, value in values.items()})
+    rows = df.withColumn("_range", split.range_bucket(df, number))
+    ranges = rows.groupBy(*keys, "_range").agg(*[fold(value).alias(f"_fold{i}") for i, value in enumerate(values.values())])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    folds = [fold(f"_fold{i}").over(earlier).alias(f"_earlier{i}") for i in range(len(values))]
+    before = ranges.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *folds)
+    window = _so_far([*keys, "_range"], order).rowsBetween(Window.unboundedPreceding, last)
+    inside = rows.withColumns({name: fold(value).over(window) for name, value in values.items()})
+    match = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = inside.join(split.small(before, 100_000), match)
+    whole = joined.withColumns({name: fold_pair(fold, F.col(f"_earlier{i}"), F.col(name)) for i, name in enumerate(values)})
+    return whole.drop("_range", "_r", *[f"_k{i}" for i in range(len(keys))], *[f"_earlier{i}" for i in range(len(values))])
+
+
+def fold_pair(fold: Callable[[Column | str], Column], a: Column, b: Column) -> Column:
+    """The fold of two folds; a null one counts for nothing."""
+    return F.greatest(a, b) if fold is F.max else F.coalesce(a + b, a, b)
+
+
+def running_average(df: DataFrame, keys: list[str], order: list[str], val: str, n: str, run_rows: int = RUN_ROWS) -> DataFrame:
     """`df` with the weighted sum, count and average up to each row; null average while the weights are 0."""
-    so_far = _so_far(keys, order)
-    out = df.withColumn("run_sum", F.sum(F.col(val) * F.col(n)).over(so_far)).withColumn("run_count", F.sum(n).over(so_far))
+    out = _totals(df, keys, order, {"run_sum": F.col(val) * F.col(n), "run_count": F.col(n)}, F.sum, 0, run_rows)
     return out.withColumn("run_avg", F.when(F.col("run_count") != 0, F.col("run_sum") / F.col("run_count")))
 
 
-def running_accuracy(df: DataFrame, keys: list[str], order: list[str], correct: str, total: str) -> DataFrame:
-    so_far = _so_far(keys, order)
-    right, seen = F.sum(correct).over(so_far), F.sum(total).over(so_far)
-    return df.withColumn("run_accuracy", F.when(seen != 0, F.lit(100.0) * right / seen))
+def running_accuracy(df: DataFrame, keys: list[str], order: list[str], correct: str, total: str, run_rows: int = RUN_ROWS) -> DataFrame:
+    """`df` with the percentage of correct items up to each row; null while there are none."""
+    out = _totals(df, keys, order, {"_right": F.col(correct), "_seen": F.col(total)}, F.sum, 0, run_rows)
+    return out.withColumn("run_accuracy", F.when(F.col("_seen") != 0, F.lit(100.0) * F.col("_right") / F.col("_seen"))).drop("_right", "_seen")
 
 
-def best_so_far(df: DataFrame, keys: list[str], order: list[str], metric: str) -> DataFrame:
+def best_so_far(df: DataFrame, keys: list[str], order: list[str], metric: str, run_rows: int = RUN_ROWS) -> DataFrame:
     """`df` with is_best (strictly above everything before, starting from 0) and best (the running maximum)."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.greatest(F.lit(0.0), F.coalesce(F.max(metric).over(before), F.lit(0.0)))
-    out = df.withColumn("_previous", previous)
+    out = _totals(df, keys, order, {"_previous": F.col(metric)}, F.max, -1, run_rows)
+    out = out.withColumn("_previous", F.greatest(F.lit(0.0), F.coalesce("_previous", F.lit(0.0))))
     return out.withColumn("is_best", F.col(metric) > F.col("_previous")).withColumn("best", F.greatest("_previous", metric)).drop("_previous")
 
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trainkit.functions.draws import draw
 
 HASH_DIGITS = 3  # 4096 buckets
-KEY_BUCKETS = 1024
+KEY_BUCKETS = 256
 BROADCAST_CLASSES = 10_000  # rows of a table of classes that may be broadcast
 
 
@@ -46,6 +47,31 @@ def hash_bucket(hashed: Column) -> Column:
     return F.substring(hashed, 1, HASH_DIGITS)
 
 
+def order_number(df: DataFrame, key: str) -> Column | None:
+    """A number that rises with a numeric, date or time column; None for other types."""
+    kind = df.select(key).schema[0].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_date(F.to_date(key)) * 86_400 + F.hour(key) * 3600 + F.minute(key) * 60 + F.floor(F.second(key))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key)
+    return F.col(key) if isinstance(kind, T.NumericType) else None
+
+
+def range_bucket(df: DataFrame, value: Column, buckets: int = KEY_BUCKETS) -> Column:
+    """A bucket of about equally many rows that rises with `value`, nulls first; equal values share theirs."""
+    shares = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(value, shares, 10 * buckets)).first()[0]
+    bounds = sorted(set(found or []))
+
+    def place(low: int, high: int) -> Column:
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(value < bounds[middle], place(low, middle)).otherwise(place(middle + 1, high))
+
+    return F.when(value.isNull(), -1).otherwise(place(0, len(bounds)))
+
+
 def index_classes(df: DataFrame, name_col: str, label_col: str = "label") -> DataFrame:
     """`df` with the 0-based place of its class name in sorted order; a null name has a null label."""
     names = df.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull()).distinct()
@@ -64,9 +90,7 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, ratio: float =
         hashed = df.withColumn("_h", draw(seed, F.col(id_col)))
         rows = numbered(hashed, [class_col], [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h")), "_place", "_size").drop("_h")
     elif order == "index":
-        low, high = df.agg(F.min(id_col), F.max(id_col)).first()
-        width = max(1.0, ((high or 0) - (low or 0) + 1) / KEY_BUCKETS)
-        rows = numbered(df, [class_col], [F.col(id_col)], F.floor((F.col(id_col) - F.lit(low or 0)) / width), "_place", "_size")
+        rows = numbered(df, [class_col], [F.col(id_col)], range_bucket(df, F.col(id_col)), "_place", "_size")
     else:
         raise ValueError(f"unknown order {order}")
     train = F.col("_place") <= F.floor(F.col("_size") * F.lit(ratio))
@@ -98,9 +122,7 @@ def batch_rows(df: DataFrame, id_col: str, batch_size: int, seed: int = 0, epoch
         hashed = df.withColumn("_h", draw(seed, epoch, F.col(id_col)))
         rows = numbered(hashed, [], [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h")), "_place", "_size").drop("_h")
     else:
-        low, high = df.agg(F.min(id_col), F.max(id_col)).first()
-        width = max(1.0, ((high or 0) - (low or 0) + 1) / KEY_BUCKETS)
-        rows = numbered(df, [], [F.col(id_col)], F.floor((F.col(id_col) - F.lit(low or 0)) / width), "_place", "_size")
+        rows = numbered(df, [], [F.col(id_col)], range_bucket(df, F.col(id_col)), "_place", "_size")
     place = F.col("_place") - 1
     out = rows.withColumn("batch_idx", F.floor(place / batch_size)).withColumn("image_idx", (place % batch_size).cast("int"))
     if drop_last:
