@@ -199,3 +199,69 @@ def test_ranges_of_an_order(spark):
     times = spark.sql("SELECT timestamp_ntz'2024-01-01 10:00:00' AS a, timestamp'2024-01-01 10:00:00' AS b, date'2024-01-01' AS c, 'x' AS d")
     assert [split.order_number(times, c) is None for c in "abcd"] == [False, False, False, True]
     assert times.select(split.order_number(times, "a") - split.order_number(times, "b") / 1_000_000).first()[0] == 0
+
+
+@pytest.mark.parametrize("keys", [["run"], []])
+def test_long_runs_equal_plain_windows(spark, keys):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 0, 0, 1, None]), i, rng.choice([0, 1, 2, 5])) for i in sorted(rng.sample(range(100_000), 700))] + [(2, 5, 1)]
+    df = spark.createDataFrame(rows, "run int, us long, n int").select("run", F.timestamp_micros(F.col("us") * 10_000).alias("ts"), "n", F.lit("x").alias("_range"), F.lit("y").alias("_n"), F.lit("z").alias("_halo"))
+    jobs = (
+        lambda d, m: runs.step_times(d, keys, "ts", run_rows=m),
+        lambda d, m: runs.throughput_sma(d, keys, "ts", "n", 5, run_rows=m),
+        lambda d, m: runs.throughput_sma(d, keys, "ts", None, 40, run_rows=m),
+        lambda d, m: runs.progress_eta(d, keys, "ts", 50, 5, run_rows=m),
+    )
+    for job in jobs:
+        cut = job(df, 16)
+        assert "_range_0" in cut._jdf.queryExecution().toString()
+        plain = {repr(r[:6]): r for r in job(df, 10_000).collect()}
+        assert len(plain) == len(rows) == cut.count()
+        for r in cut.collect():
+            assert r[:6] == plain[repr(r[:6])][:6] and r[6:] == pytest.approx(plain[repr(r[:6])][6:], abs=1e-9)
+        assert job(df.limit(0), 0).collect() == []
+    windows = [x for x in runs.step_times(df, ["run"], "ts", run_rows=16)._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [lag" in x]
+    assert windows and all("_range_0" in x for x in windows)  # no window by run alone
+
+
+def test_runs_in_the_order_of_a_text(spark):
+    df = spark.createDataFrame([(1, f"epoch_{i:05d}", float(i % 37), 1) for i in range(900)] + [(1, None, 2.0, 1)], "run int, name string, loss double, n int")
+    got = runs.running_average(df, ["run"], ["name"], "loss", "n", 30)
+    assert "_range" in got._jdf.queryExecution().toString()
+    want = runs.running_average(df, ["run"], ["name"], "loss", "n", 10_000)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_names_of_one_beginning_spread(spark):
+    names = [f"class_of_things_{i:05d}" for i in range(2000)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)] + [(None,), (names[3],)], "name string")
+    bucket = split.order_bucket(df, ["name"], 20, 2002)
+    counts = [r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()]
+    assert len(counts) > 12 and max(counts) < 400
+    got = split.index_classes(df, "name", bucket_names=100).collect()
+    assert {r.name: r.label for r in got} == {None: None, **{n: i for i, n in enumerate(names)}} and len(got) == 2002
+
+
+def test_columns_of_any_name_stay(spark):
+    helpers = ["_bucket", "_n", "_b", "_rn", "_ahead", "_all", "_h", "_place", "_SIZE", "_range", "_previous", "_right", "_seen", "_name", "_k0", "_r"]
+    df = spark.createDataFrame([(i, f"c{i % 3}", *[str(i)] * len(helpers)) for i in range(60)], ", ".join(["id long", "c string", *[f"{h} string" for h in helpers]]))
+    jobs = [
+        split.batch_rows(df, "id", 7), split.batch_rows(df, "id", 7, shuffle=False), split.stratified_split(df, "c", "id"), split.stratified_split(df, "c", "id", order="index"), split.index_classes(df, "c"),
+        *[job for m in (5, 1000) for job in (runs.best_so_far(df, ["c"], ["id"], "id", m), runs.running_accuracy(df, ["c"], ["id"], "id", "id", m), runs.running_average(df, ["c"], ["id"], "id", "id", m))],
+    ]
+    for job in jobs:
+        assert set(df.columns) <= set(job.columns) and job.count() == 60
+        assert all(r[h] == str(r.id) for r in job.collect() for h in helpers)
+
+
+def test_long_videos(spark):
+    lengths = {1: 900, 2: 3, 3: 1, 4: 41}
+    rows = [(v, 7 * i + 1, f"{v}:{i}") for v, n in lengths.items() for i in range(n)]
+    df = spark.createDataFrame([*rows, (None, 5, "no video"), (4, None, "no index")], "video_id long, frame_idx int, payload string").repartition(5)
+    for job in (lambda m: frames.middle_frame(df, video_rows=m), lambda m: frames.resample_frames(df, 8, video_rows=m), lambda m: frames.resample_frames(df, 1, video_rows=m)):
+        assert sorted(map(repr, job(40).collect())) == sorted(map(repr, job(10_000).collect()))
+    got = frames.middle_frame(df, video_rows=40)
+    assert {r.video_id: r.payload for r in got.collect()} == {v: f"{v}:{n // 2}" for v, n in lengths.items()}
+    windows = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in x]
+    assert windows and all("range#" in x for x in windows)
+    assert frames.resample_frames(df.limit(0), 4, video_rows=0).count() == 0
