@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainkit.llm import decontam, exact, html, langid, mixing, secrets, simhash, tokens, toxicity, urls
+from trainkit.llm import decontam, exact, html, langid, merkle, mixing, secrets, simhash, tokens, toxicity, urls
 from trainkit.llm.common import id_remainder, table
 
 
@@ -126,6 +126,53 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    without_breaks = merkle.leaf([*fields[:-1], F.translate("text", "\n", "")])
+    tampered = F.when((id_remainder("doc_id", 2) == 0) & F.contains("text", F.lit("\n")), without_breaks)
+    proofs = merkle.manifest(docs, fields, claimed=tampered)
+    found = proofs.withColumn("folded_root", merkle.folded(F.col("path"), F.coalesce("claimed", "leaf")))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def _merkle_sql(leaf_levels: int = 12, source_levels: int = 8) -> str:
+    """The tree level by level, for sources of up to 3 ** leaf_levels rows."""
+    field = lambda x: f"coalesce(CAST(octet_length(encode(CAST({x} AS VARCHAR))) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    row = lambda text: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+    )
+    parts = [
+        f"""d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {row('text')} AS leaf,
+    CASE WHEN {crc} % 2 = 0 THEN {row("replace(text, chr(10), '')")} ELSE {row('text')} END AS shown FROM documents)""",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM d)",
+        "a0 AS (SELECT g, place, n, leaf AS h FROM p)",
+    ]
+
+    def levels(name: str, many: int) -> None:
+        for k in range(1, many + 1):
+            parts.append(f"{name}{k} AS (SELECT g, place // 3 AS place, max(n) AS n, CASE WHEN max(n) > {3 ** (k - 1)} THEN sha256(string_agg(h, '' ORDER BY place)) ELSE min(h) END AS h FROM {name}{k - 1} GROUP BY g, place // 3)")
+
+    levels("a", leaf_levels)
+    parts.append(f"b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n, h, g AS source_key FROM a{leaf_levels})")
+    levels("b", source_levels)
+    parts.append("f0 AS (SELECT p.doc_id, p.g, p.place, p.n, p.leaf, b0.h AS subroot, b0.place AS place2, b0.n AS n2, p.shown AS h, '' AS proof FROM p JOIN b0 ON b0.source_key = p.g)")
+    last = 0
+    for name, many, g, place, n in (("a", leaf_levels, "f.g", "f.place", "f.n"), ("b", source_levels, "0", "f.place2", "f.n2")):
+        for k in range(many):
+            at = f"{place} // {3**k}"
+            side = lambda sign, k=k, at=at: f"coalesce((SELECT string_agg(s.h, '' ORDER BY s.place) FROM {name}{k} s WHERE s.g = {g} AND s.place // 3 = ({at}) // 3 AND s.place {sign} {at}), '')"  # noqa: E731, B023
+            parts.append(f"s{last} AS (SELECT f.*, {side('<')} AS l, {side('>')} AS r FROM f{last} f)")
+            parts.append(f"f{last + 1} AS (SELECT f.* EXCLUDE (l, r) REPLACE (CASE WHEN {n} > {3**k} THEN sha256(l || f.h || r) ELSE f.h END AS h, CASE WHEN {n} > {3**k} THEN proof || l || r ELSE proof END AS proof) FROM s{last} f)")
+            last += 1
+    body = ",\n".join(parts)
+    return f"WITH {body}\nSELECT doc_id, leaf, subroot, b{source_levels}.h AS root, sha256(proof) AS proof_sha256, f{last}.h AS folded_root, f{last}.h = b{source_levels}.h AS verified FROM f{last}, b{source_levels}"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -137,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op11_merkle": _merkle_sql()}
