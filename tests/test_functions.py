@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trainkit.functions import arrays as A
 from trainkit.functions import losses as L
-from trainkit.functions import schedules
+from trainkit.functions import draws, schedules
 
 
 def one(spark, *columns, row="1 AS x"):
@@ -88,3 +88,16 @@ def test_long_arrays_take_time_in_proportion(spark):
     stats = metrics.channel_mean_std(spark.createDataFrame([(image.tolist(),)], "a array<double>"), "a", 3, 224 * 224).orderBy("channel").collect()
     assert np.allclose([(r["mean"], r["std"]) for r in stats], [(c.mean(), c.std(ddof=1)) for c in image.reshape(3, -1)])
     assert time.perf_counter() - began < 60
+
+
+def test_normal_draws(spark):
+    drawn = spark.range(3000).select(draws.normals(4, 7, F.col("id")).alias("x")).collect()
+    flat = sorted(v for r in drawn for v in r.x)
+    assert abs(sum(flat) / len(flat)) < 0.04 and abs(sum(v * v for v in flat) / len(flat) - 1) < 0.05
+    assert abs(flat[len(flat) // 2]) < 0.05 and abs(sum(v > 1.96 for v in flat) / len(flat) - 0.025) < 0.006
+    df = spark.createDataFrame([(1, [0.5, 1.0], [0.0, 0.0]), (1, [0.5, 1.0], [0.0, 0.0]), (2, [], []), (3, None, [1.0]), (None, [1.0], [1.0])], "id long, mu array<double>, v array<double>")
+    made = df.select("id", A.reparameterize(F.col("mu"), F.col("v"), seed=3, key=F.col("id")).alias("z"), draws.normals(2, 3, F.lit(1)).alias("e")).collect()
+    by_id = {r.id: r.z for r in made}
+    assert made[0].z == made[1].z == [0.5 + made[0].e[0], 1.0 + made[0].e[1]] and by_id[2] == [] and by_id[3] is None and by_id[None] is None
+    with pytest.raises(ValueError):
+        A.reparameterize(F.col("mu"), F.col("v"))

@@ -1,9 +1,11 @@
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from trainkit.operators import runs
-from trainkit.sources import files, logs
+from trainkit.sources import containers, files, logs
 
 FRAME = files.JPEG_START + b"x" * 200
 
@@ -91,3 +93,60 @@ def test_a_shipped_log(spark, tmp_path):
     assert (best.best, best.best_epoch) == (70.303907, 9)
     logs.write_run_log(log, str(tmp_path / "again"))
     assert "".join(f.read_text() for f in sorted((tmp_path / "again").glob("part-*"))) == lines
+
+
+def containers_on_disk(folder):
+    rng = random.Random(8)
+    frames = [files.JPEG_START + rng.randbytes(rng.randrange(98, 60_000)) for _ in range(400)]
+    (folder / "a b").mkdir()
+    blobs = {
+        "a b/long.seq": container(1024, *frames, tail=struct.pack("<I", 5000) + b"cut"),
+        "mixed.seq": container(1024, frames[0], b"no jpeg" * 30, frames[1]) + b"\0" * 8 + container(0, frames[2]),
+        "second.seq": container(2048, FRAME, FRAME), "third.seq": container(4096, FRAME), "noise.seq": rng.randbytes(9000), "empty.seq": b"",
+    }
+    for name, blob in blobs.items():
+        (folder / name).write_bytes(blob)
+    return blobs
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_large_containers_give_the_same_frames(spark, tmp_path, most):
+    blobs = containers_on_disk(tmp_path)
+    got = containers.extract_large_frames(spark, str(tmp_path), max_frames=most, split_bytes=1 << 20)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.path.rpartition("/")[2], {})[r.frame_idx] = bytes(r.frame)
+    want = {name.rpartition("/")[2]: files.frames_in(blob, most or 10**6) for name, blob in blobs.items()}
+    assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_one_large_container_is_read_by_many_tasks_in_small_batches(spark, tmp_path, monkeypatch):
+    frame = files.JPEG_START + bytes(99_998)
+    with (tmp_path / "big.seq").open("wb") as out:
+        out.write(bytes(1024))
+        for _ in range(1200):  # 120 MB
+            out.write(struct.pack("<I", len(frame)) + frame)
+    got = containers.extract_large_frames(spark, str(tmp_path), split_bytes=4 << 20)
+    tasks = got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.sum(F.octet_length("frame")).alias("bytes")).collect()
+    assert sum(t.n for t in tasks) == 1200 and len(tasks) >= 12 and max(t.bytes for t in tasks) < 40 << 20
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.read_bytes = file, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.file.read(n)
+
+    with (tmp_path / "big.seq").open("rb") as file:
+        counting = Counting(file)
+        places = list(containers.frame_places(counting, (tmp_path / "big.seq").stat().st_size, None))
+        assert len(places) == 1200 and counting.read_bytes < 10_000  # the index reads lengths only
+    monkeypatch.setattr(containers, "BATCH_BYTES", 1 << 20)
+    rows = [(i, at, n) for i, (at, n) in enumerate(places[:100])]
+    batches = list(containers.read_ranges(iter([containers._indexed(str(tmp_path / "big.seq"), rows)])))
+    assert sum(b.num_rows for b in batches) == 100 and max(b.nbytes for b in batches) < 3 << 20

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trainkit.functions.draws import normals
+
 # Usual channel means and deviations of normalised image sets.
 CIFAR_MEAN, CIFAR_STD = (0.4914, 0.4822, 0.4465), (0.2023, 0.1994, 0.2010)
 IMAGENET_MEAN, IMAGENET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -148,8 +150,15 @@ def one_hot(code: Column, k: int) -> Column:
     return F.when(code.isNotNull(), F.transform(_indices(k), lambda i: (i == code).cast("int")))
 
 
-def reparameterize(mu: Column, logvar: Column, eps: Column) -> Column:
-    """mu + e^(logvar / 2) * eps."""
+def reparameterize(mu: Column, logvar: Column, eps: Column | None = None, seed: int = 0, key: Column | None = None) -> Column:
+    """mu + e^(logvar / 2) * eps, where eps is given, or drawn from the seed, the row's key and the element's place.
+
+    Null where mu, logvar or the key is null; elements beyond the shorter array are null.
+    """
+    if eps is None:
+        if key is None:
+            raise ValueError("eps or a key to draw it from")
+        eps = normals(F.size(mu), seed, key)
     scaled = F.zip_with(logvar, eps, lambda v, e: F.exp(v * 0.5) * e)
     return F.zip_with(mu, scaled, lambda m, s: m + s)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainkit.functions.draws import below, coin
+from trainkit.functions.draws import below, coin, normals
 
 
 def random_apply(df: DataFrame, id_col: str, col: str, p: float, fn: Callable[[Column], Column], seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -70,15 +70,6 @@ def _crop_batches(rows: DataFrame, col: str, c: int, h: int, w: int, size: int,
     return rows.mapInArrow(crop, rows.schema)
 
 
-def noise_table(spark: SparkSession, n: int, dim: int, seed: int = 0, block: int = 1024) -> DataFrame:
-    """(id, noise): n standard normal vectors. Each block of ids has its own generator, so partitioning changes nothing."""
-
-    def draw_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                size = min(block, n - k * block)
-                values = np.random.Generator(np.random.PCG64([seed, k])).standard_normal((size, dim))
-                ids = np.arange(k * block, k * block + size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(values), pa.list_(pa.float64()))], names=["id", "noise"])
-
-    return spark.range(-(-n // block)).mapInArrow(draw_blocks, "id long, noise array<double>")
+def noise_table(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
+    """(id, noise): n standard normal vectors, drawn from md5 of seed, id and place, so partitioning changes nothing and SQL can repeat them."""
+    return spark.range(n).select("id", normals(dim, seed, F.col("id")).alias("noise"))

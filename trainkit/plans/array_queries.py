@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trainkit.functions import arrays as A
 from trainkit.functions import losses as L
 from trainkit.operators import augment, metrics, scoring
-from trainkit.plans.base import IMAGES, below_sql, draw_sql, images, long_rows, query, r6, sql_long, table
+from trainkit.plans.base import IMAGES, below_sql, draw_sql, images, long_rows, normal_sql, query, r6, sql_long, table
 
 
 def _bytes(df: DataFrame) -> DataFrame:
@@ -92,9 +92,24 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_rows(images(spark, sf_dir), ["id"], A.one_hot(F.col("label"), 10))
 
 
-@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(range(1, 17), lambda i: pixels[CAST(i AS BIGINT)] + exp(pixels[CAST(i + 16 AS BIGINT)] * 0.5) * pixels[CAST(i + 32 AS BIGINT)]) AS arr FROM images)", "id", "arr"))
+@query(f"WITH {IMAGES} " + sql_long("(SELECT id, list_transform(range(1, 65), lambda i: pixels[CAST(i AS BIGINT)] + exp(pixels[CAST(65 - i AS BIGINT)] * 0.5) * 2.0 * pixels[CAST(i AS BIGINT)]) AS arr FROM images)", "id", "arr"))
 def reparameterize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_rows(images(spark, sf_dir), ["id"], A.reparameterize(F.slice("pixels", 1, 16), F.slice("pixels", 17, 16), F.slice("pixels", 33, 16)))
+    doubled = F.transform("pixels", lambda x: x * 2.0)
+    return long_rows(images(spark, sf_dir), ["id"], A.reparameterize(F.col("pixels"), F.reverse("pixels"), doubled))
+
+
+@query(f"WITH {IMAGES} SELECT id, CAST(i AS BIGINT) AS pos, round(pixels[i + 1] + exp(pixels[64 - i] * 0.5) * {normal_sql('21', 'id', 'i')}, 6) + 0.0 AS value FROM (SELECT *, unnest(range(0, 64)) AS i FROM images)")
+def reparameterize_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_rows(images(spark, sf_dir), ["id"], A.reparameterize(F.col("pixels"), F.reverse("pixels"), seed=21, key=F.col("id")))
+
+
+@query(f"WITH {IMAGES} SELECT id, CAST(i AS BIGINT) AS pos, round(pixels[i + 1] + 0.1 * {normal_sql('4', 'id', 'i')}, 6) + 0.0 AS value FROM (SELECT *, unnest(range(0, 64)) AS i FROM images)")
+def noise_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with a tenth of their noise vector added; as many vectors as there are ids."""
+    rows = images(spark, sf_dir)
+    n = (rows.agg(F.max("id")).first()[0] or 0) + 1
+    noisy = rows.join(augment.noise_table(spark, n, 64, seed=4), "id")
+    return long_rows(noisy, ["id"], F.zip_with("pixels", "noise", lambda x, e: x + e * 0.1))
 
 
 @query(
@@ -108,16 +123,17 @@ def _bump(x: str, a: float, b: float, c: float) -> str:
     return f"{a} * exp(-({x} - {b}) * ({x} - {b}) / (2 * {c} * {c}))"
 
 
-X = "((pixels[1] + 1.0) / 2.0)"
+X = "((pixels[i + 1] + 1.0) / 2.0)"
 
 
 @query(
-    f"""WITH {IMAGES} SELECT id, round(least(1.0, {_bump(X, 0.5, 0.6, 0.2)} + {_bump(X, 1.0, 0.8, 0.3)}), 6) + 0.0 AS r, round(least(1.0, {_bump(X, 1.0, 0.5, 0.3)}), 6) + 0.0 AS g,
-round(least(1.0, {_bump(X, 1.0, 0.2, 0.3)}), 6) + 0.0 AS b FROM images"""
+    f"""WITH {IMAGES} SELECT id, CAST(i AS BIGINT) AS pos, round(least(1.0, {_bump(X, 0.5, 0.6, 0.2)} + {_bump(X, 1.0, 0.8, 0.3)}), 6) + 0.0 AS r, round(least(1.0, {_bump(X, 1.0, 0.5, 0.3)}), 6) + 0.0 AS g,
+round(least(1.0, {_bump(X, 1.0, 0.2, 0.3)}), 6) + 0.0 AS b FROM (SELECT *, unnest(range(0, 64)) AS i FROM images)"""
 )
 def heat_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heat = A.heat_color((F.get("pixels", F.lit(0)) + 1.0) / 2.0)
-    return images(spark, sf_dir).select("id", heat.alias("h")).select("id", *[r6(F.col(f"h.{c}")).alias(c) for c in "rgb"])
+    rows = images(spark, sf_dir).select("id", F.posexplode("pixels").alias("pos", "x"))
+    heat = A.heat_color((F.col("x") + 1.0) / 2.0)
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), heat.alias("h")).select("id", "pos", *[r6(F.col(f"h.{c}")).alias(c) for c in "rgb"])
 
 
 @query(f"WITH {IMAGES} SELECT id, CAST(p AS BIGINT) AS pos, round((p // 8) / 7.0, 6) + 0.0 AS row, round((p % 8) / 7.0, 6) + 0.0 AS col FROM (SELECT id, unnest(range(0, 64)) AS p FROM images)")

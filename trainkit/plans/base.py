@@ -111,3 +111,9 @@ def unit_sql(*parts: str) -> str:
     """A number in [0, 1) from the first eight hex digits of a draw."""
     digits = [f"(instr('0123456789abcdef', substr({draw_sql(*parts)}, {k + 1}, 1)) - 1) * {16 ** (7 - k)}" for k in range(8)]
     return f"(({' + '.join(digits)}) / {float(2**32)})"
+
+
+def normal_sql(*parts: str) -> str:
+    """The twin of `normal`."""
+    unit = lambda start: "((" + " + ".join(f"(instr('0123456789abcdef', substr({draw_sql(*parts)}, {start + k}, 1)) - 1) * {16 ** (7 - k)}" for k in range(8)) + f") + 0.5) / {float(2**32)}"
+    return f"(sqrt(-2.0 * ln({unit(1)})) * cos({unit(9)} * 2.0 * pi()))"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainkit.operators import frames as V
-from trainkit.plans.base import FRAMES, draw_sql, frames, query, table
-from trainkit.sources import files
+from trainkit.plans.base import FRAMES, draw_sql, frames, new_folder, query, table
+from trainkit.sources import containers, files
 
 K = 4
 
@@ -70,11 +70,42 @@ SELECT CAST(video_id AS VARCHAR) AS path, CAST(place - 1 AS BIGINT) AS frame_idx
 )
 def extract_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations packed into containers (a header, then length-prefixed frames), and unpacked again."""
+    out = files.extract_frames(_containers(spark, sf_dir).withColumn("path", F.col("video_id").cast("string")), max_frames=3)
+    return out.select("path", F.col("frame_idx").cast("long").alias("frame_idx"), F.octet_length("frame").cast("long").alias("size"))
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, content): the frames of at least 100 bytes behind a header of zeros."""
     body = F.concat(F.unhex(F.lit("FFD8")), F.col("payload").cast("binary"))
     size = F.lpad(F.hex(F.octet_length(body)), 8, "0")
     little = F.unhex(F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)]))
     framed = frames(spark, sf_dir).where(F.octet_length("payload") >= 100).select("video_id", "frame_idx", F.concat(little, body).alias("blob"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "blob"))), lambda s: s["blob"])
-    packed = framed.groupBy("video_id").agg(F.concat(F.unhex(F.lit("00" * 1024)), F.unhex(F.array_join(F.transform(ordered, F.hex), ""))).alias("content"))
-    out = files.extract_frames(packed.withColumn("path", F.col("video_id").cast("string")), max_frames=3)
-    return out.select("path", F.col("frame_idx").cast("long").alias("frame_idx"), F.octet_length("frame").cast("long").alias("size"))
+    return framed.groupBy("video_id").agg(F.concat(F.unhex(F.lit("00" * 1024)), F.unhex(F.array_join(F.transform(ordered, F.hex), ""))).alias("content"))
+
+
+@query(
+    f"""WITH {FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS place FROM frames WHERE octet_length(encode(payload)) >= 100)
+SELECT 'c' || video_id || '.seq' AS name, CAST(place - 1 AS BIGINT) AS frame_idx, md5(payload) AS payload_md5 FROM n"""
+)
+def extract_large_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same containers as files, read by byte ranges, all frames."""
+    folder = new_folder(spark)
+    files.write_files(_containers(spark, sf_dir).withColumn("name", F.concat(F.lit("c"), "video_id", F.lit(".seq"))), folder)
+    out = containers.extract_large_frames(spark, folder, split_bytes=1 << 20)
+    payload = F.md5(F.expr("substring(frame, 3)"))
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("frame_idx").cast("long").alias("frame_idx"), payload.alias("payload_md5"))
+
+
+@query(
+    """SELECT source AS class_name, CAST(row_number() OVER (ORDER BY source) - 1 AS BIGINT) AS label, CAST(ceil(count(*) / 20.0) AS BIGINT) AS n_files, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS size
+FROM documents WHERE source IS NOT NULL GROUP BY source"""
+)
+def catalog_labeled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 20 document ids in a folder per source, catalogued without reading them."""
+    folder = new_folder(spark)
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", F.col("doc_id").cast("string").alias("value"))
+    docs.repartition("source").write.option("maxRecordsPerFile", 20).partitionBy("source").text(folder)
+    found = files.catalog_labeled_files(spark, folder, "*.txt")
+    named = found.withColumn("class_name", F.regexp_replace("class_name", "^source=", ""))
+    return named.groupBy("class_name", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n_files"), F.sum("size").alias("size"))

@@ -167,18 +167,16 @@ def run_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("epoch").cast("long").alias("epoch"), *[r6(F.col(c)).alias(c) for c in ("lr", "train_loss", "valid_loss", "train_acc")])
 
 
-def _two_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    means = R.epoch_means(batch_metrics(spark, sf_dir), ["tag", "epoch"], ["loss", "n"])
-    means = means.withColumns({c: r6(F.col(c)) for c in ("loss", "n")})
-    return {"first": means.where("tag = 'click'"), "second": means.where("tag = 'view'")}
-
-
 @query(
-    f"""WITH {BATCH_METRICS}, m AS (SELECT CASE tag WHEN 'click' THEN 'first' ELSE 'second' END AS title, epoch, round(avg(loss), 6) + 0.0 AS loss, round(avg(n), 6) + 0.0 AS n FROM batch_metrics WHERE tag IN ('click', 'view') GROUP BY tag, epoch)
-SELECT title || '(loss)' AS series, epoch, loss AS value FROM m UNION ALL SELECT title || '(n)', epoch, n FROM m"""
+    f"""WITH {BATCH_METRICS}, m AS (SELECT tag, epoch, round(avg(loss), 6) + 0.0 AS loss, round(avg(n), 6) + 0.0 AS n FROM batch_metrics WHERE tag IS NOT NULL GROUP BY tag, epoch)
+SELECT tag || '(loss)' AS series, epoch, loss AS value FROM m UNION ALL SELECT tag || '(n)', epoch, n FROM m"""
 )
 def union_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.union_runs(_two_runs(spark, sf_dir), "epoch", ["loss", "n"])
+    """A log per event type, all of them side by side."""
+    means = R.epoch_means(batch_metrics(spark, sf_dir), ["tag", "epoch"], ["loss", "n"])
+    means = means.withColumns({c: r6(F.col(c)) for c in ("loss", "n")})
+    tags = [r.tag for r in batch_metrics(spark, sf_dir).where("tag IS NOT NULL").select("tag").distinct().collect()]  # a handful of types
+    return R.union_runs({tag: means.where(F.col("tag") == tag) for tag in tags}, "epoch", ["loss", "n"])
 
 
 @query(

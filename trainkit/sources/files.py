@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,29 @@ def read_files(spark: SparkSession, root: str, glob: str = "*.seq") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "content")
 
 
+def write_files(df: DataFrame, folder: str, name_col: str = "name", content_col: str = "content") -> int:
+    """Writes every row's content to a file `folder`/name and returns their number; the folder must be one that all tasks reach.
+
+    A file appears whole under its name, so a task that runs twice leaves one.  Null contents are empty files; names must differ.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+                whole = f"{path}/{name}"
+                store.create_dir(whole.rpartition("/")[0])
+                part = f"{whole}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    if content.is_valid:
+                        out.write(content.as_buffer())
+                store.move(part, whole)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = df.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content"))
+    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_labeled_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Parquet records with the given columns and types; raises ValueError for a missing column."""
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
