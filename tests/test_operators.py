@@ -265,3 +265,61 @@ def test_long_videos(spark):
     windows = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in x]
     assert windows and all("range#" in x for x in windows)
     assert frames.resample_frames(df.limit(0), 4, video_rows=0).count() == 0
+
+
+def clustered(n, centres, d, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    at = np.random.default_rng(99).normal(size=(centres, d))
+    return at[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("book, rows", [(clustered(4000, 60, 16, 1), clustered(3000, 60, 16, 2)), (np.random.default_rng(3).normal(size=(700, 8)), np.random.default_rng(4).normal(size=(900, 8)))])
+def test_groups_of_codes_lose_nothing(book, rows):
+    book[5::50] = book[7]  # ties
+    cells = quantize.Cells(np.arange(len(book)) * 3, book)
+    code, distance = np.full(len(rows), quantize.NO_CODE), np.full(len(rows), np.inf)
+    cells.improve(rows, code, distance)
+    exact = ((rows[:, None, :] - book[None, :, :]) ** 2).sum(axis=2)
+    assert (code == exact.argmin(axis=1) * 3).all() and np.allclose(distance, exact.min(axis=1), atol=1e-12)
+    assert cells.compared < len(rows) * len(book) // (8 if len(book) == 4000 else 1)
+
+
+def test_a_vector_meets_few_slices_of_a_large_codebook(spark, monkeypatch):
+    book, rows = clustered(2000, 40, 8, 5), clustered(1500, 40, 8, 6)
+    codes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(book)], "code long, vec array<double>")
+    monkeypatch.setattr(quantize, "CODEBOOK_BYTES", 300 * 8 * 8)
+    slices = list(quantize._slices(codes))
+    assert len(slices) == 8 and sorted(c for s in slices[1:] for c in s.codes) == list(range(2000))
+    code, distance = np.full(len(rows), quantize.NO_CODE), np.full(len(rows), np.inf)
+    for s in slices:
+        s.improve(rows, code, distance)
+    assert sum(s.compared for s in slices) < len(rows) * len(book) / 5
+    got = quantize.assign_codes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, vec array<double>"), codes)
+    exact = ((rows[:, None, :] - book[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    assert {r.id: r.code for r in got.collect()} == dict(enumerate(exact)) and (code == exact).all()
+
+
+def test_vectors_without_a_code(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [inf, 0.0]), (6, []), (7, [1.0, 1.0])], "id long, vec array<double>").coalesce(1)
+    book = spark.createDataFrame([(0, None), (1, [9.0, 9.0]), (2, [1.0, 2.0]), (3, [1.0, float("nan")]), (None, [1.0, 1.0])], "code long, vec array<double>")
+    got = {r.id: (r.code, r.distance) for r in quantize.assign_codes(df, book).collect()}
+    assert got == {**{i: (None, None) for i in range(1, 7)}, 7: (2, 1.0)}
+    assert [r.code for r in quantize.assign_codes(df, book.limit(0)).collect()] == [None] * 7
+    assert quantize.assign_codes(df.limit(0), book).count() == 0
+    moved, losses = quantize.fit_codebook(df, book, 1)
+    assert {r.code: r.vec for r in moved.collect()} == {1: [9.0, 9.0], 2: [1.0, 1.0]} and losses == [0.5]
+    with pytest.raises(ValueError):
+        quantize.fit_codebook(df, book.limit(0), 1)
+
+
+@pytest.mark.parametrize("mode, rate", [("mean", 1.0), ("gradient", 20.0)])
+def test_a_codebook_beyond_the_bound_is_fitted_alike(spark, monkeypatch, mode, rate):
+    df = spark.createDataFrame(list(enumerate(clustered(300, 12, 4, 7).tolist())), "id long, vec array<double>").repartition(3)
+    start = spark.createDataFrame([(i, v) for i, v in enumerate(clustered(30, 12, 4, 8).tolist())], "code long, vec array<double>")
+    book, losses = quantize.fit_codebook(df, start, 2, mode, rate)
+    monkeypatch.setattr(quantize, "CODEBOOK_BYTES", 12 * 4 * 8)
+    monkeypatch.setattr(quantize, "ROWS_AT_ONCE", 32)
+    small, again = quantize.fit_codebook(df, start, 2, mode, rate)
+    want = {r.code: r.vec for r in book.collect()}
+    assert {r.code: pytest.approx(r.vec, abs=1e-9) for r in small.collect()} == want and again == pytest.approx(losses)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +14,15 @@ from pyspark.sql import types as T
 from trainkit.functions.arrays import spatial_vectors, square_distance
 from trainkit.functions.draws import draw
 from trainkit.functions.losses import weighted_total_loss
+from trainkit.sources.tables import written
 
-CODEBOOK_BYTES = 64 << 20  # a codebook beyond this is joined, not broadcast
+CODEBOOK_BYTES = 64 << 20  # of a codebook, or a slice of one, that is broadcast
+SLICES_AT_ONCE = 4  # that a worker holds
+GROUPS_A_SLICE = 8  # neighbourhoods by which codes are put into slices
+TRIED = 32  # codes looked at for a pivot
+PLAIN_CODES = 256  # that are compared without groups
 ROWS_AT_ONCE = 4096
+NO_CODE = np.iinfo(np.int64).max
 
 
 def flatten_spatial(df: DataFrame, id_col: str, arr_col: str, c: int, h: int, w: int, layout: str = "channels_last") -> DataFrame:
@@ -31,18 +38,18 @@ def unflatten_spatial(df: DataFrame, id_col: str, c: int, h: int, w: int, arr_co
     return rows.select(id_col, flat.alias(arr_col))
 
 
-def codebook_matrix(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """(codes, vectors) on the driver, lowest code first; None if they exceed CODEBOOK_BYTES."""
-    n, width = codebook.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if not n or n * (width or 0) * 8 > CODEBOOK_BYTES:
-        return None
-    rows = codebook.select("code", F.col("vec").cast("array<double>").alias("vec")).orderBy("code").collect()
-    return np.array([r["code"] for r in rows], np.int64), np.array([r["vec"] for r in rows], float)
+def _sound(codebook: DataFrame) -> DataFrame:
+    """(code, vec) of the codes that have a vector of finite numbers."""
+    rows = codebook.select("code", F.col("vec").cast("array<double>").alias("vec"))
+    return rows.where(F.col("code").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix) of the vectors of a width; null ones, others' widths, and vectors with null or non-finite elements are left out."""
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(len(fits), width)
+    finite = np.isfinite(flat).all(axis=1)
+    return fits[finite], flat[finite]
 
 
 def nearest(vectors: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +64,106 @@ def nearest(vectors: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], exact[first]
 
 
+def far_apart(vectors: np.ndarray, n: int) -> np.ndarray:
+    """Places of `n` vectors, each the farthest from those before it, among at most 2 * TRIED * n of evenly spaced places."""
+    tried = np.arange(0, len(vectors), max(1, len(vectors) // (TRIED * n)))
+    some, picked = vectors[tried], [0]
+    away = ((some - some[0]) ** 2).sum(axis=1)
+    for _ in range(min(n, len(tried)) - 1):
+        picked.append(int(away.argmax()))
+        away = np.minimum(away, ((some - some[picked[-1]]) ** 2).sum(axis=1))
+    return tried[np.unique(picked)]
+
+
+class Cells:
+    """Codes grouped around pivots, so that a vector is compared with the codes of few groups.
+
+    A code of a group lies at least (distance to the pivot - radius of the group) from a vector, by the triangle inequality; groups for which that is
+    above the best distance so far can't have the nearest code.  A little slack covers rounding, so nothing is lost by it.
+    """
+
+    def __init__(self, codes: np.ndarray, vectors: np.ndarray) -> None:
+        """`codes` ascend; up to PLAIN_CODES form one group."""
+        self.compared = 0
+        pivots = max(1, round(len(codes) ** 0.5)) if len(codes) > PLAIN_CODES else 1
+        self.pivots = vectors[far_apart(vectors, pivots)]
+        parts = [nearest(vectors[at : at + ROWS_AT_ONCE], self.pivots) for at in range(0, len(codes), ROWS_AT_ONCE)]
+        near, far = np.concatenate([p for p, _ in parts]), np.concatenate([d for _, d in parts])
+        order = np.argsort(near, kind="stable")
+        self.codes, self.vectors = codes[order], vectors[order]
+        self.ends = np.cumsum(np.bincount(near, minlength=len(self.pivots)))
+        self.radius = np.sqrt(np.maximum.reduceat(np.append(far[order], 0.0), np.append(0, self.ends[:-1])))
+        self.slack = np.sqrt((self.pivots**2).sum(axis=1).max())
+
+    def improve(self, rows: np.ndarray, code: np.ndarray, distance: np.ndarray) -> None:
+        """Puts nearer codes (on ties lower ones) and their squared distances in the place of those that the rows have."""
+        if not len(rows):
+            return
+        if len(self.pivots) == 1:
+            self._visit(0, np.arange(len(rows)), rows, code, distance)
+            return
+        squares = (rows * rows).sum(axis=1)[:, None]
+        away = np.sqrt(np.maximum(squares + (self.pivots**2).sum(axis=1)[None, :] - 2.0 * rows @ self.pivots.T, 0.0))
+        least = away - self.radius[None, :] - 1e-6 * (1.0 + np.sqrt(squares) + self.slack)
+        first = away.argmin(axis=1)
+        for cell in np.unique(first):
+            at = np.flatnonzero(first == cell)
+            self._visit(cell, at[least[at, cell] <= np.sqrt(distance[at])], rows, code, distance)
+        least[np.arange(len(rows)), first] = np.inf
+        for cell in np.flatnonzero((least <= np.sqrt(distance)[:, None]).any(axis=0)):
+            self._visit(cell, np.flatnonzero(least[:, cell] <= np.sqrt(distance)), rows, code, distance)
+
+    def _visit(self, cell: int, at: np.ndarray, rows: np.ndarray, code: np.ndarray, distance: np.ndarray) -> None:
+        start, end = self.ends[cell - 1] if cell else 0, self.ends[cell]
+        if start == end or not len(at):
+            return
+        self.compared += len(at) * int(end - start)
+        place, found = nearest(rows[at], self.vectors[start:end])
+        known = self.codes[start + place]
+        better = (found < distance[at]) | ((found == distance[at]) & (known < code[at]))
+        code[at[better]], distance[at[better]] = known[better], found[better]
+
+
+def _slices(codebook: DataFrame) -> Iterator[Cells]:
+    """The sound codes in slices of at most CODEBOOK_BYTES, codes that lie together in one slice where there are several."""
+    rows = _sound(codebook)
+    n, width = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not n:
+        return
+    most = CODEBOOK_BYTES // (8 * max(1, width))
+    if not most:
+        raise ValueError("one code exceeds CODEBOOK_BYTES")
+    order = ["code"]
+    if n > most:  # slices of neighbours: codes by the nearest of some codes
+        groups = min(most, GROUPS_A_SLICE * -(-n // most))
+        some = rows.orderBy(F.xxhash64("code"), "code").limit(min(most, TRIED * groups)).orderBy("code").collect()
+        centres = _cells([some[i] for i in far_apart(np.array([r["vec"] for r in some], float), groups)])
+        rows, order = written(_improved(rows, "vec", [centres], "cell", "_away").drop("_away")), ["cell", "code"]
+        yield centres  # so that each vector has a near code before it meets the first slice
+    last = None
+    while True:
+        rest = rows if last is None else rows.where(F.struct(*order) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, last, strict=True)]))
+        part = rest.orderBy(*order).limit(most).collect()
+        if not part:
+            return
+        last = [part[-1][c] for c in order]
+        yield _cells(sorted(part, key=lambda r: r["code"]))
+
+
+def _cells(rows: list) -> Cells:
+    return Cells(np.array([r["code"] for r in rows], np.int64), np.array([r["vec"] for r in rows], float))
+
+
 def assign_codes(vecs: DataFrame, codebook: DataFrame, vec_col: str = "vec", method: str = "matmul", key_cols: list[str] | None = None) -> DataFrame:
     """`vecs` with code and distance (squared) of the nearest codebook row; the lowest code on ties.
 
-    matmul: the codebook is broadcast (within CODEBOOK_BYTES) and each Arrow batch is one matrix product; the
-    vectors are not shuffled.  join: every pair is compared in SQL, for small tables and as a check; it needs
-    `key_cols` that identify a row.  A codebook beyond the bound, of distinct codes, is assigned in slices that fit it;
-    every code is seen.  An empty codebook gives null codes, no vectors no rows.
+    matmul: the codebook is broadcast (within CODEBOOK_BYTES); the vectors are not shuffled, and each Arrow batch is multiplied with the
+    codes of those groups that can have a nearest one.  A codebook beyond the bound, of distinct codes, is assigned in slices that fit it; every code is
+    seen, and vectors carry the best of earlier slices.  join: every pair is compared in SQL, for small tables and as a check; it needs `key_cols` that
+    identify a row.
+
+    matmul gives null codes to null vectors, those with null or non-finite elements and those of another length than the codes; codes without a sound
+    vector are nobody's.  An empty codebook gives null codes, no vectors no rows; columns that have the results' names are replaced.
     """
     if method == "join":
         keys = key_cols or [c for c in vecs.columns if c != vec_col]
@@ -74,47 +174,41 @@ def assign_codes(vecs: DataFrame, codebook: DataFrame, vec_col: str = "vec", met
         return best.select(*keys, vec_col, F.col("_best.code").alias("code"), F.col("_best.distance").alias("distance"))
     if method != "matmul":
         raise ValueError(f"unknown method {method}")
-    book = codebook_matrix(codebook)
-    if book is not None:
-        return _assign_within(vecs, vec_col, book)
-    n, width = codebook.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if not n:
-        return vecs.withColumn("code", F.lit(None).cast("long")).withColumn("distance", F.lit(None).cast("double"))
-    most = CODEBOOK_BYTES // (8 * max(1, width or 0))  # codes of one slice
-    if not most:
-        raise ValueError("one code exceeds CODEBOOK_BYTES")
-    taken = set(vecs.columns) | {"code", "distance"}
-    old_code, old_distance = (next(f"{c}_{i}" for i in range(len(taken) + 1) if f"{c}_{i}" not in taken) for c in ("code", "distance"))
-    out, last = None, None
-    while True:  # the best of each slice of the codebook, carried along
-        rest = codebook if last is None else codebook.where(F.col("code") > last)
-        rows = rest.select("code", F.col("vec").cast("array<double>").alias("vec")).orderBy("code").limit(most).collect()
-        if not rows:
-            return out
-        last = rows[-1]["code"]
-        part = np.array([r["code"] for r in rows], np.int64), np.array([r["vec"] for r in rows], float)
-        step = _assign_within(vecs if out is None else out.withColumnsRenamed({"code": old_code, "distance": old_distance}), vec_col, part)
-        if out is not None:
-            closer = F.struct("distance", "code") < F.struct(old_distance, old_code)
-            step = step.withColumns({"code": F.when(closer, F.col("code")).otherwise(F.col(old_code)), "distance": F.when(closer, F.col("distance")).otherwise(F.col(old_distance))})
-            step = step.drop(old_code, old_distance)
-        out = step
-
-
-def _assign_within(vecs: DataFrame, vec_col: str, book: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    shared = vecs.sparkSession.sparkContext.broadcast(book)
+    out, parts = vecs.drop("code", "distance"), []
+    for cells in _slices(codebook):
+        if len(parts) == SLICES_AT_ONCE:  # of which workers hold no more
+            out, parts = written(_improved(out, vec_col, parts)), []
+        parts.append(cells)
+    return _improved(out, vec_col, parts)
+
+
+def _improved(vecs: DataFrame, vec_col: str, parts: list[Cells], code: str = "code", distance: str = "distance") -> DataFrame:
+    """`vecs` with the nearest code of some slices, or of those and the code that they already have."""
+    if not parts:
+        return vecs if code in vecs.columns else vecs.withColumns({code: F.lit(None).cast("long"), distance: F.lit(None).cast("double")})
+    shared = [vecs.sparkSession.sparkContext.broadcast(cells) for cells in parts]
     rows = vecs.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
-    at = rows.columns.index(vec_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField("code", T.LongType()), T.StructField("distance", T.DoubleType())])
+    if code not in vecs.columns:
+        rows = rows.withColumns({code: F.lit(None).cast("long"), distance: F.lit(None).cast("double")})
+    at, code_at, distance_at = (rows.columns.index(c) for c in (vec_col, code, distance))
+    names = rows.columns
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, vectors = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(start, ROWS_AT_ONCE)
-                place, distance = nearest(_vectors(batch.column(at)), vectors)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes[place]), pa.array(distance)], names=[f.name for f in schema.fields])
-
+                codes = pc.fill_null(batch.column(code_at), NO_CODE).to_numpy(zero_copy_only=False).copy()
+                distances = pc.fill_null(batch.column(distance_at), float("inf")).to_numpy(zero_copy_only=False).copy()
+                for cells in shared:
+                    places, vectors = _vectors(batch.column(at), cells.value.vectors.shape[1])
+                    known, away = codes[places], distances[places]
+                    cells.value.improve(vectors, known, away)
+                    codes[places], distances[places] = known, away
+                columns, none = list(batch.columns), np.isinf(distances)
+                columns[code_at], columns[distance_at] = pa.array(codes, mask=none), pa.array(distances, mask=none)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
     return rows.mapInArrow(assign, schema)
 
 
@@ -149,55 +243,67 @@ def init_codebook(spark: SparkSession, k: int, d: int, seed: int = 0) -> DataFra
     return spark.range(k).select(F.col("id").cast("int").alias("code")).select("code", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: (number(i) * 2.0 - 1.0) / float(k)).alias("vec"))
 
 
-def codebook_sums(vecs: DataFrame, book: tuple[np.ndarray, np.ndarray], vec_col: str = "vec") -> DataFrame:
-    """(code, n, total, squares): members of every code. Each task sends one row per code it saw, so popular codes don't skew the shuffle."""
-    shared = vecs.sparkSession.sparkContext.broadcast(book)
+def codebook_sums(assigned: DataFrame, width: int, vec_col: str = "vec") -> DataFrame:
+    """(code, n, total, squares) of rows with code and distance: members of every code.
+
+    Each task sends a row for a code it saw (more only if it saw more codes than fit in CODEBOOK_BYTES), so popular codes don't skew the shuffle.
+    """
+    most = max(1, CODEBOOK_BYTES // (8 * (width + 2)))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, vectors = shared.value
-        n, totals, squares = np.zeros(len(codes), np.int64), np.zeros(vectors.shape), np.zeros(len(codes))
+        codes, n, totals, squares = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width)), np.empty(0)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                rows = _vectors(whole.column(0).slice(start, ROWS_AT_ONCE))
-                place, distance = nearest(rows, vectors)
-                n += np.bincount(place, minlength=len(codes))
-                squares += np.bincount(place, weights=distance, minlength=len(codes))
-                np.add.at(totals, place, rows)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(codes[used]), pa.array(n[used]), pa.array(list(totals[used]), pa.list_(pa.float64())), pa.array(squares[used])], names=["code", "n", "total", "squares"]
-        )
-
-    rows = vecs.select(F.col(vec_col).cast("array<double>").alias("vec"))
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                places, rows = _vectors(batch.column(2), width)
+                seen = np.union1d(codes, batch.column(0).to_numpy()[places])
+                if len(codes) and len(seen) > most:
+                    yield _sums(codes, n, totals, squares)
+                    codes, n, totals, squares, seen = codes[:0], n[:0], totals[:0], squares[:0], np.unique(batch.column(0).to_numpy()[places])
+                old, new = np.searchsorted(seen, codes), np.searchsorted(seen, batch.column(0).to_numpy()[places])
+                counts, sums, away = np.bincount(new, minlength=len(seen)), np.zeros((len(seen), width)), np.bincount(new, weights=batch.column(1).to_numpy()[places], minlength=len(seen))
+                np.add.at(sums, new, rows)
+                counts[old] += n
+                sums[old] += totals
+                away[old] += squares
+                codes, n, totals, squares = seen, counts, sums, away
+        yield _sums(codes, n, totals, squares)
+
+    rows = assigned.where(F.col("code").isNotNull()).select(F.col("code").cast("long").alias("code"), "distance", F.col(vec_col).cast("array<double>").alias("vec"))
     parts = rows.mapInArrow(partial, "code long, n long, total array<double>, squares double")
-    width = book[1].shape[1]
-    return parts.groupBy("code").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(width)]).alias("total"), F.sum("squares").alias("squares"))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    together = F.aggregate(F.collect_list("total"), zeros, lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+    return parts.groupBy("code").agg(F.sum("n").alias("n"), together.alias("total"), F.sum("squares").alias("squares"))
+
+
+def _sums(codes: np.ndarray, n: np.ndarray, totals: np.ndarray, squares: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(list(totals), pa.list_(pa.float64())), pa.array(squares)], names=["code", "n", "total", "squares"])
 
 
 def fit_codebook(vecs: DataFrame, codebook: DataFrame, steps: int, mode: str = "mean", learning_rate: float = 1.0, vec_col: str = "vec") -> tuple[DataFrame, list[float]]:
     """(new codebook, mean squared loss before each step).
 
     mean: a code moves to the mean of its members; gradient: one plain gradient step of the codebook loss.
-    Codes without members stay.  Only the codebook (at most CODEBOOK_BYTES) passes the driver.
+    Codes without members stay, vectors that have no code don't count.  The codebook is a table, written after each step; it may be larger than CODEBOOK_BYTES, then vectors are
+    assigned slice by slice.  Only sums over all codes pass the driver.  An empty codebook raises ValueError.
     """
-    book = codebook_matrix(codebook)
-    if book is None:
-        raise ValueError("the codebook is empty or larger than CODEBOOK_BYTES")
-    codes, vectors = book
-    place = {c: i for i, c in enumerate(codes.tolist())}
+    if mode not in ("mean", "gradient"):
+        raise ValueError(f"unknown mode {mode}")
+    book = _sound(codebook)
+    width = book.agg(F.max(F.size("vec"))).first()[0]
+    if width is None:
+        raise ValueError("the codebook has no codes")
     losses: list[float] = []
     for _ in range(steps):
-        sums = codebook_sums(vecs, (codes, vectors), vec_col).collect()
-        n = sum(r["n"] for r in sums)
-        losses.append(sum(r["squares"] for r in sums) / max(1, n * vectors.shape[1]))
-        vectors = vectors.copy()
-        for r in sums:
-            i, total = place[r["code"]], np.array(r["total"])
-            if mode == "mean":
-                vectors[i] = total / r["n"]
-            elif mode == "gradient":
-                vectors[i] -= learning_rate * 2.0 / (n * vectors.shape[1]) * (r["n"] * vectors[i] - total)
-            else:
-                raise ValueError(f"unknown mode {mode}")
-    rows = [(int(c), v.tolist()) for c, v in zip(codes, vectors, strict=True)]
-    return vecs.sparkSession.createDataFrame(rows, "code int, vec array<double>"), losses
+        sums = written(codebook_sums(assign_codes(vecs.select(F.col(vec_col).alias("vec")), book), width))
+        n, squares = sums.agg(F.sum("n"), F.sum("squares")).first()
+        elements = max(1, (n or 0) * width)
+        losses.append((squares or 0.0) / elements)
+        met = book.join(sums.withColumnRenamed("code", "_code"), F.col("code") == F.col("_code"), "left")
+        if mode == "mean":
+            moved = F.transform("total", lambda t: t / F.col("n"))
+        else:
+            rate = learning_rate * 2.0 / elements
+            moved = F.zip_with("vec", "total", lambda v, t: v - (F.col("n") * v - t) * rate)
+        book = written(met.select("code", F.when(F.col("n").isNull(), F.col("vec")).otherwise(moved).alias("vec")))
+    return book, losses

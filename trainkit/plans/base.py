@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trainkit.sources.tables import new_folder
+
+__all__ = ["ORACLES", "QUERIES", "new_folder"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -31,16 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; one of our own only where it names none and all tasks run here."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-written-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def r6(x: Column, digits: int = 6) -> Column:
     """Rounded, and never minus zero."""
     return F.round(x, digits) + F.lit(0.0)
