@@ -65,3 +65,30 @@ def test_filter_lists(spark):
         assert r.verdict == ("block" if "block" in fits else "allow"), given[r.c0]
     blocked = {r.c0 for r in rows if r.verdict == "block"}
     assert {0, 1, 4, 5, 6, 8, 9, 10, 12, 15} == blocked - {3}
+
+
+def test_index_equals_a_scan_of_all_rules(spark):
+    """Random URLs of letters of several alphabets, signs and the rules' own words, long ones and repeated ones too."""
+    import random
+
+    rng = random.Random(11)
+    parts = ["casino", "pills", "ads", "spam", "é", "ß", "Ж", "_", "-", ".", "/", "%", "中", "x", "7", "CASINO", "İ", "track", "pixel", "banner", "́"]
+    lines = ["||ads.example.com^", "@@||good_site.net^", "/track*pixel^", "_banner_", "|ads.", ".casino|", "-pills-", "é-spam^", "@@^track^", "ads_7", *urls.FILTERS, "/[^a-z0-9]pills(é|$)/pills", "/(é|ж)x/", "/(^|[^a-z0-9])spam-x([^a-z0-9]|$)/spam-x"]
+    patterns = urls.read_filters(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert len(patterns) == len(lines)
+    hosts = [("example.com/", "block"), ("é.org/x", "allow"), ("casino.net/é/", "block"), ("org/中", "block")]
+    given = ["http://" + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".net/", ".org/", ".com/é/", ".org/中x"]) + "".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    given += ["http://x.net/écasino", "http://x.net/casinoé", "http://y.é.org/xx", "http://x.net/" + "é-" * 40_000 + "casino"] + given[:50]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "i long, url string")
+    rows = urls.judge_urls(pages, [F.col("i")], host_rules=hosts, patterns=patterns).collect()
+    everything = urls.RuleIndex([], [], Counter())  # the same rules, none filed under a token: all are tried on every URL
+    for rule, verdict in hosts:
+        host, _, path = rule.partition("/")
+        everything.always.append((True, rule, host, "/" + path, verdict))
+    everything.always += [(False, p, urls.re.compile(p), None, v) for p, _, v in patterns]
+    hit = 0
+    for r in rows:
+        rule, by_rule, by_pattern = everything.judge(*urls.host_and_path(given[r.c0]))
+        hit += by_pattern is not None
+        assert (r.rule, r.verdict) == (rule, by_rule or by_pattern or "allow"), given[r.c0]
+    assert len(rows) == len(given) and hit > 800

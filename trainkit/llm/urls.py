@@ -20,7 +20,8 @@ from trainkit.llm.common import map_rows
 
 HOST_PATH = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-TOKEN = re.compile(r"[^\W_]+")  # of lower-cased text
+TOKEN = re.compile(r"[a-z0-9]+")  # of lower-cased text; every other sign, letters of other alphabets too, ends a token as it does in patterns
+TOKEN_SPLIT = r"[^a-z0-9]+"
 RULES_AT_ONCE = 200_000  # rules in one broadcast; more are applied in several passes
 
 ALLOW, BLOCK = "allow", "block"
@@ -34,8 +35,8 @@ def parse_filter(line: str | None) -> tuple[str, list[str], str] | None:
     """(regular expression over lower-cased host and path, literal tokens of any match, verdict) of one line of a filter list.
 
     `||` begins at a host or below it, `|` at the start or end, `^` is a sign or the end, `*` anything, `@@` allows,
-    `/expression/tokens` is a regular expression with the tokens (by blanks) of any match, `!` begins a comment; what
-    follows `$` is left out.  None for other lines.
+    `/expression/tokens` is a regular expression with tokens (runs of a-z and 0-9, nothing like them beside them) that any match has, `!` begins
+    a comment; what follows `$` is left out.  None for other lines.
     """
     line = (line or "").strip().lower()
     if not line or line[0] in "![" or "##" in line:
@@ -47,7 +48,7 @@ def parse_filter(line: str | None) -> tuple[str, list[str], str] | None:
             re.compile(expression)
         except re.error:
             return None
-        return expression, tokens.split(), verdict
+        return expression, TOKEN.findall(tokens), verdict
     body = line.partition("$")[0]
     start, stop = "", ""
     if body.startswith("||"):
@@ -58,9 +59,9 @@ def parse_filter(line: str | None) -> tuple[str, list[str], str] | None:
         stop, body = "$", body[:-1]
     if not body.strip("*"):
         return None
-    # A run of letters and digits is a whole token if a sign or an anchor stands on either side.
+    # A run of letters and digits is a whole token of any match if a sign or an anchor stands on either side.
     runs = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(body)]
-    whole = [t for a, b, t in runs if (a > 0 and body[a - 1] not in "*_" or a == 0 and start) and (b < len(body) and body[b] not in "*_" or b == len(body) and stop)]
+    whole = [t for a, b, t in runs if (a > 0 and body[a - 1] != "*" or a == 0 and start) and (b < len(body) and body[b] != "*" or b == len(body) and stop)]
     pieces = {"*": ".*", "^": r"([^a-z0-9_.%-]|$)"}
     return start + "".join(pieces.get(c, re.escape(c)) for c in body) + stop, whole, verdict
 
@@ -145,8 +146,6 @@ def token_frequencies(urls: DataFrame, url_col: str, tokens: set[str]) -> Counte
     return Counter({r["token"]: r["count"] for r in counts.collect()})
 
 
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-
 
 def _judge(index: RuleIndex) -> Callable:
     def judge(inputs: list[pa.Array]) -> list[pa.Array]:
