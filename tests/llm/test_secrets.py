@@ -58,3 +58,69 @@ def test_query_against_known_formats(spark):
 
 def test_query_covers_the_small_table(spark):
     assert queries.op7_secret_scan(spark, ORACLE).columns == ["doc_id", "position", "value", "probability", "is_secret"]
+
+
+def test_long_texts_without_letters_take_little_space():
+    """Neighbouring words are kept, not what lies between: a megabyte of numbers, and one of signs."""
+    import time
+
+    import pyarrow as pa
+
+    for text in ("password " + "1234567890 " * 90_000, "20240101 " * 110_000, "a = " + "=" * 500_000 + "12345678 " * 60_000 + "end"):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["p"]), pa.array([text])], names=["id", "path", "text"])
+        began = time.perf_counter()
+        sizes = [(b.num_rows, b.nbytes) for b in secrets._find_all(iter([batch]))]
+        assert sum(n for n, _ in sizes) > 50_000 and sum(b for _, b in sizes) < 12 * len(text) and max(n for n, _ in sizes) <= secrets.BATCH_ROWS
+        assert time.perf_counter() - began < 20
+
+
+def test_neighbours_by_brute_force():
+    """Words and signs around every candidate equal those read from the whole text on either side."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["token", "password", "é", "name", "my", " ", "  ", "\n", ":", "=", " = ", '"', "'", "12", "20240101", "ab12cd34ef", "10.20.30.40", "(", "+", "/", "_", "-", "555-5010 "]
+    seen = 0
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        for at, value, before, after in secrets.find(text):
+            seen += 1
+            left, right = text[:at], text[at + len(value) :]
+            cut = lambda s: [w for w in secrets.WORD.findall(s)]
+            inside = secrets.WORD.findall(text[:at] + "\0")
+            assert cut(before)[-3:] == inside[-3:] or text[at - 1 : at].isalpha()
+            words_right = [m[0] for m in secrets.WORD.finditer(text) if m.start() >= at + len(value)]
+            assert cut(after) == words_right[:2]
+            for pattern, _ in secrets.FORMATS:  # the formats see what they need
+                assert bool(re.search(pattern, before + value)) == bool(re.search(pattern, left + value)), (text, value, pattern)
+            assert before.rstrip()[-1:] in ("=", ":") or left.rstrip()[-1:] not in ("=", ":")
+            assert (before[-1:] in ("'", '"')) == (left[-1:] in ("'", '"'))
+            del right
+    assert seen > 500
+
+
+def test_recall_on_a_format_that_was_not_trained(spark):
+    """Keys of a shape that no labelled finding has: half of the labels' shapes are held out."""
+    import random
+
+    rng = random.Random(9)
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    upper, hexa, mixed, digits = "ABCDEFGHJKLMNPQRSTUVWXYZ234567", "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", "0123456789"
+    trained = [lambda: f'token = "{pick(hexa, 40)}"', lambda: f"api_key={pick(mixed, 32)}"]
+    unseen = [lambda: f"secret: sk_{pick(mixed, 28)}", lambda: f"access_key = AKIA{pick(upper, 16)}"]
+    harmless = [lambda: f"order {pick(digits, 12)}", lambda: f"see 10.{rng.randrange(99)}.{rng.randrange(99)}.{rng.randrange(99)}", lambda: f"version release-{rng.randrange(2000, 2030)}-01-{rng.randrange(10, 29)}"]
+    rows = []
+    for i in range(900):
+        kind = i % 3
+        make = rng.choice((trained if i < 600 else unseen) if kind == 0 else harmless)
+        rows.append((i, f"the words before {make()} and after", int(kind == 0)))
+    docs = spark.createDataFrame([(i, t, "src") for i, t, _ in rows], "doc_id long, text string, source string")
+    truth = {i: y for i, _, y in rows}
+    places = [(i, at, truth[i]) for i, t, _ in rows[:600] for at, *_ in secrets.find(t)]
+    got = {}
+    for r in secrets.scan(docs, spark.createDataFrame(places, "id long, position long, label int")).collect():
+        got[r.id] = max(got.get(r.id, False), r.is_secret)
+    held = [i for i, _, _ in rows[600:]]
+    recall = sum(got.get(i, False) for i in held if truth[i]) / sum(truth[i] for i in held)
+    false = sum(got.get(i, False) for i in held if not truth[i]) / sum(not truth[i] for i in held)
+    assert recall >= 0.9 and false <= 0.05, (recall, false)

@@ -26,8 +26,9 @@ from trainkit.llm.common import cut, forget, map_rows
 TRAIN_FINDINGS = 50_000  # bound of the labelled findings that the forest is trained on
 DICTIONARY_SHARE = 1 / 2000  # of all documents have a dictionary word; so there are at most 2000 times a document's mean distinct words
 TREES, DEPTH = 20, 6
-WORDS_BEFORE, WORDS_AFTER = 3, 2  # neighbouring words kept
+WORDS_BEFORE, WORDS_AFTER = 3, 2  # neighbouring words that are kept, whole
 TRAIN_TASKS = 8
+BATCH_ROWS, BATCH_CHARS = 10_000, 8 << 20  # of candidates that a task holds at once
 
 # Names that announce a secret, words around harmless numbers, path words of examples.
 TELLING = frozenset("password passwd pwd secret token apikey api key auth bearer credential credentials access private signature".split())
@@ -39,6 +40,7 @@ CANDIDATE = re.compile(
     r"|(?<![A-Za-z0-9+/_.-])(?P<plain>(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{8,}={0,2})"
 )
 WORD = re.compile(r"[^\W\d_]+")
+LEADING = frozenset(" \t\n\r\f\v:='\"")  # signs between a name and its value
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 #: Unmistakable formats: (regular expression over "text before + candidate", label).
@@ -56,7 +58,11 @@ NAMES = (
 
 
 def find(text: str | None) -> list[tuple[int, str, str, str]]:
-    """(position, candidate, text before, text after) of every candidate; with its neighbouring words, however far."""
+    """(position, candidate, before, after) of every candidate.
+
+    `before` has the last words before it, however far away, and the signs directly before it: blanks, quotes, `:` and `=`, with one sign more in front of
+    them; `after` has the next words.  What else lies between isn't copied, so a text's candidates take space in proportion to it.
+    """
     out, words = [], None
     for m in CANDIDATE.finditer(text or ""):
         if words is None:
@@ -64,9 +70,14 @@ def find(text: str | None) -> list[tuple[int, str, str, str]]:
             stops = [b for _, b in words]
         kind = "value" if m["value"] else "plain"
         a, b = m.span(kind)
-        left = bisect.bisect_right(stops, a) - WORDS_BEFORE  # words that end before the candidate
-        right = bisect.bisect_left(words, (b, b)) + WORDS_AFTER - 1
-        out.append((a, m[kind], text[words[left][0] if left >= 0 else 0 : a], text[b : words[right][1] if right < len(words) else len(text)]))
+        left = bisect.bisect_right(stops, a)  # words that end before the candidate
+        right = bisect.bisect_left(words, (b, b))
+        last, start = stops[left - 1] if left else 0, a
+        while start > last and text[start - 1] in LEADING:
+            start -= 1
+        start = max(last, start - 1)
+        near = " ".join(text[i:j] for i, j in words[max(0, left - WORDS_BEFORE) : left])
+        out.append((a, m[kind], near + (" " if near and start > last else "") + text[start:a], " ".join(text[i:j] for i, j in words[right : right + WORDS_AFTER])))
     return out
 
 
@@ -118,15 +129,30 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
     ]
 
 
+def _found_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for k, text in enumerate(batch.column(2)):
+        for found in find(text.as_py()):
+            yield (k, *found)
+
+
 def _find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates in batches of bounded rows and characters."""
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at = pa.array([r[0] for r in rows])
+        columns = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.string()), (4, pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["id", "path", "position", "value", "before", "after"])
+
     for batch in batches:
-        texts, rows = batch.column(2).to_pylist(), []
-        for k, text in enumerate(texts):
-            rows += [(k, *x) for x in find(text)]
-        if rows:
-            at = pa.array([r[0] for r in rows])
-            cols = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.string()), (4, pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols], names=["id", "path", "position", "value", "before", "after"])
+        held, size = [], 0
+        for row in _found_rows(batch):
+            held.append(row)
+            size += sum(map(len, row[2:])) + len(batch.column(1)[row[0]].as_py())
+            if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+                yield made(batch, held)
+                held, size = [], 0
+        if held:
+            yield made(batch, held)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
