@@ -1,6 +1,7 @@
 import re
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,46 @@ def test_digest_of_nothing(spark):
 
 def test_twin(spark):
     assert_same(queries.op8_decontamination(spark, ORACLE), queries.OP8_SQL, ORACLE)
+
+
+def test_repeated_lines_cost_their_places(spark):
+    """A line repeated 20,000 times against a like item: time and space in proportion, results as by brute force on a small one."""
+    import resource
+    import time
+
+    for line in ("again", "left right", "one two three"):
+        small = [" ".join([line] * n) for n in (30, 57)]
+        bench = [(1, small[0]), (2, small[1] + " then"), (3, line)]
+        docs = [f"x {small[1]} y {small[0]} then", small[0], line, f"{line} then"]
+        got = {r.c0: r for r in decontam.match(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), [F.col("doc_id")]).collect()}
+        for i, text in enumerate(docs):
+            assert (got[i].n_words, got[i].n_hit, got[i].item_ids) == brute(text, bench)
+            check_matches(text, got[i].matches, bench)
+        known = decontam.Suffixes([("1", 0, (line * 1 + " ").encode().split() * 3000)], 13)
+        words_ = ((line + " ") * 20_000).encode().split()
+        ids = np.array([known.vocabulary[w] for w in words_] + [0])
+        began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        change, best = known.search(ids, np.array([0, len(ids)]))
+        assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+        assert (np.cumsum(change[:-1]) > 0).sum() == len(words_) and best[0, 2] == 3000 * len(line.split())
+
+
+def test_random_texts_of_few_words(spark):
+    """Small alphabets, so that windows repeat within items and across them."""
+    import random
+
+    rng = random.Random(17)
+    items = [(i % 20, " ".join(rng.choices("ab", k=rng.randrange(1, 40)))) for i in range(24)]
+    texts = [" ".join(rng.choices("abab" if i % 2 else "aaaab", k=rng.randrange(1, 120))) for i in range(30)]
+    got = decontam.match(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), [F.col("doc_id")], window=5).collect()
+    for r in got:
+        assert (r.n_words, r.n_hit, r.item_ids) == brute(texts[r.c0], items, 5)
+        best = {}
+        for i, x in items:
+            n = longest(texts[r.c0], x, 5)
+            if n:
+                best[str(i)] = max(n, best.get(str(i), 0))
+        mine = {}
+        for m in r.matches:
+            mine[m.item_id] = max(m.length, mine.get(m.item_id, 0))
+        assert mine == best

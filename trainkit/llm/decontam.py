@@ -3,9 +3,9 @@
 The documents of an Arrow batch make one shard.  Two neighbouring words that no benchmark item has can't lie in a
 match, so only suffixes that stay clear of such pairs for a window's length are kept.  The shard's suffix array is
 their sorted order, found by prefix doubling.  Every benchmark suffix is looked up by binary search: the range of
-suffixes that agree on its leading window gives all verbatim occurrences, and comparing on from there their lengths,
-so that every item's longest verbatim match in a document is known with its place in both.  A document lies in one
-shard, so nothing is shuffled.
+suffixes that agree on its leading window gives all verbatim occurrences.  Each of them has its longest match with an item at one of the two
+neighbours in suffix order, so every item's longest verbatim match in a document is known with its place in both, and
+repeated lines cost no more than their places.  A document lies in one shard, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from trainkit.llm.common import cut, map_rows
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: all but ASCII signs, capitals and controls
 WINDOW = 13
 BLOCK_WORDS = 1_000_000  # benchmark words in one broadcast; a larger benchmark goes in several
-PIECE_WORDS = 50_000  # a longer item goes in pieces that overlap by a window
+PIECE_WORDS = 1_000_000  # a longer item goes in pieces that overlap by a window
 SHARD_WORDS = 1_000_000
+PAIRS = 1 << 18  # (place, family) pairs that are looked at together, and at most as many more as a shard has places
 MATCH = "item_id:string,start:int,item_start:int,length:int"
 HITS = f"spans array<struct<start:int,stop:int>>, matches array<struct<{MATCH}>>"
 
@@ -55,7 +56,11 @@ def common(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndar
 
 
 class Suffixes:
-    """Items of the benchmark as word numbers, each followed by a zero, and their windows."""
+    """Items of the benchmark as word numbers, each followed by a zero, and their windows.
+
+    Equal windows are looked up once.  The places at which one item has it form a family, of which a document needs the nearest
+    in suffix order only.
+    """
 
     def __init__(self, items: list[tuple[str | None, int, list[bytes]]], window: int):
         self.window = window
@@ -68,11 +73,19 @@ class Suffixes:
         self.ids = np.array([x for part in ids for x in part], np.int64)
         self.starts = np.cumsum(np.append(0, sizes + 1))[:-1]
         counts = np.maximum(1, sizes - window + 1)  # windows of each item; a shorter item is one
-        self.item = np.repeat(np.arange(len(items)), counts)
+        item = np.repeat(np.arange(len(items)), counts)
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.suffix = self.starts[self.item] + step
-        self.rest = sizes[self.item] - step  # words up to the item's end
-        self.length = np.minimum(window, sizes)[self.item]
+        suffix, length = self.starts[item] + step, np.minimum(window, sizes)[item]
+        known: dict[bytes, int] = {}
+        content = np.array([known.setdefault(self.ids[x : x + n].tobytes(), len(known)) for x, n in zip(suffix.tolist(), length.tolist(), strict=True)], np.int64)
+        first = np.unique(content, return_index=True)[1]
+        self.suffix, self.length = suffix[first], length[first]  # of each different window, where it is first
+        order = np.lexsort((item, content))
+        self.member, self.rest = suffix[order], (sizes[item] - step)[order]  # a family's places, and words up to the item's end
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(content[order]) != 0) | (np.diff(item[order]) != 0)
+        self.family = np.cumsum(new) - 1  # of each place
+        self.item, self.content = item[order][new], content[order][new]  # of each family
         self.longest = int(sizes.max(initial=1))
         self.shortest = int(self.length.min(initial=window))
         base = len(self.vocabulary) + 1
@@ -90,15 +103,18 @@ class Suffixes:
         place = np.arange(len(ids))
         return np.where(ids > 0, ends[np.searchsorted(ends, place)] - place + 1, 0)
 
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the shard, window, words in common) of every occurrence of a window in a shard of word numbers."""
-        none = np.empty(0, np.int64)
+    def search(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a shard of word numbers: change of the number of open windows at each place; (document, item, words in common, place, place in the benchmark) of each item's longest match in each document.
+
+        Documents begin at `bounds`.
+        """
+        change, none = np.zeros(len(ids) + 1, np.int64), np.empty((0, 5), np.int64)
         if not len(self.names):
-            return none, none, none
+            return change, none
         reach = self.reach(ids)
         starts = np.flatnonzero((reach > 0) & (np.append(0, reach[:-1]) < 2) & (reach >= self.shortest))
         if not len(starts):
-            return none, none, none
+            return change, none
         # The stretches that may hold a match, each followed by a zero, and the benchmark behind them.
         sizes = reach[starts] + 1
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -108,14 +124,47 @@ class Suffixes:
         levels = doubled(np.concatenate([text, self.ids]), max(self.longest, self.window))
         suffix = np.flatnonzero(inside)
         suffix = suffix[np.argsort(levels[-1][suffix], kind="stable")]
-        asked = len(text) + self.suffix
-        low, high = (self._bound(levels, suffix, asked, after) for after in (False, True))
-        found = np.flatnonzero(high > low)
-        many = (high - low)[found]
-        window = np.repeat(found, many)
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = suffix[np.repeat(low[found], many) + step]
-        return place[at], window, common(levels, at, asked[window], self.rest[window])
+        low, high = (self._bound(levels, suffix, len(text) + self.suffix, after) for after in (False, True))
+        for n in np.unique(self.length[high > low]):  # at most as many lengths as a window has words
+            of = (high > low) & (self.length == n)
+            ends = np.bincount(low[of], minlength=len(suffix) + 1) - np.bincount(high[of], minlength=len(suffix) + 1)
+            at = place[suffix[np.cumsum(ends[:-1]) > 0]]
+            change[at] += 1
+            np.add.at(change, at + n, -1)
+        return change, self._longest(levels, len(text), suffix, place, low, high, bounds)
+
+    def _longest(self, levels: list[np.ndarray], base: int, suffix: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Every place that has a window meets the family's places right before and behind it in suffix order: none has more words in common."""
+        rank = levels[-1]
+        top = int(rank.max()) + 1
+        open_ = (high > low)[self.content[self.family]]
+        member, rest, family = self.member[open_], self.rest[open_], self.family[open_]
+        keys = family * top + rank[base + member]
+        order = np.argsort(keys, kind="stable")
+        member, rest, family, keys = member[order], rest[order], family[order], keys[order]
+        asked = np.unique(family)
+        sizes = (high - low)[self.content[asked]]
+        best = np.empty((0, 5), np.int64)
+        part = (np.cumsum(sizes) - sizes) // PAIRS  # families whose places are looked at together
+        for k in np.unique(part):
+            few = part == k
+            of = np.repeat(asked[few], sizes[few])
+            step = np.arange(len(of)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
+            at = suffix[low[self.content[of]] + step]
+            behind = np.searchsorted(keys, of * top + rank[at])
+            found = [best]
+            for near in (behind - 1, behind):
+                near = np.clip(near, 0, len(keys) - 1)
+                mine = family[near] == of
+                a, b = at[mine], near[mine]
+                same = common(levels, a, base + member[b], rest[b])
+                doc = np.searchsorted(bounds, place[a], "right") - 1
+                found.append(np.stack([doc, self.item[of[mine]], same, place[a], member[b]], axis=1))
+            best = np.concatenate(found)
+            order = np.lexsort((best[:, 4], best[:, 3], -best[:, 2], best[:, 1], best[:, 0]))
+            best = best[order]
+            best = best[np.concatenate([[True], (np.diff(best[:, :2], axis=0) != 0).any(axis=1)])]
+        return best
 
     def _bound(self, levels: list[np.ndarray], suffix: np.ndarray, asked: np.ndarray, after: bool) -> np.ndarray:
         """For each window the first place in the suffix array that is not before it (or, `after`, that is behind it)."""
@@ -165,10 +214,7 @@ def _judge(shared) -> Callable:
         ids = np.zeros(int(bounds[-1]), np.int64)
         for k, words in enumerate(docs):
             ids[bounds[k] : bounds[k] + len(words)] = np.fromiter(map(known.vocabulary.get, words, repeat(0)), np.int64, len(words))
-        place, window, same = known.search(ids)
-        change = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(change, place, 1)
-        np.add.at(change, place + known.length[window], -1)
+        change, found = known.search(ids, bounds)
         hit = np.cumsum(change[:-1]) > 0
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -176,11 +222,7 @@ def _judge(shared) -> Callable:
         for d, a, b in zip((np.searchsorted(bounds, starts, "right") - 1).tolist(), starts.tolist(), stops.tolist(), strict=True):
             spans[d].append({"start": a - int(bounds[d]), "stop": b - int(bounds[d])})
         matches: list[list] = [[] for _ in docs]
-        doc, item = np.searchsorted(bounds, place, "right") - 1, known.item[window]
-        order = np.lexsort((known.suffix[window], place, -same, item, doc))  # the longest of each item first
-        doc, item = doc[order], item[order]
-        first = order[np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])] if len(order) else order
-        for d, i, p, j, n in zip(*((np.searchsorted(bounds, place[first], "right") - 1).tolist(), known.item[window[first]].tolist(), place[first].tolist(), known.suffix[window[first]].tolist(), same[first].tolist()), strict=True):
+        for d, i, n, p, j in found.tolist():
             matches[d].append({"item_id": known.names[i], "start": p - int(bounds[d]), "item_start": j - int(known.starts[i]) + int(known.firsts[i]), "length": n})
         return [(len(w), spans[k], matches[k]) for k, w in enumerate(docs)]
 
