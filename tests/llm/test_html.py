@@ -108,3 +108,44 @@ def test_query_against_the_article_element(spark):
         lines = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<b>", "").replace("</b>", ""))]
         assert r.text == "\n".join(x for x in lines if x)
         assert r.n_chars == len(r.text)
+
+
+LONGER = " ".join([LONG] * 3)
+SMALL = f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG} b</p><p>{LONG} c</p></div>"
+SMALL_TEXT = f"Title\n{LONG}\n{LONG} b\n{LONG} c"
+MANY = "".join(f"<p>{LONGER} {i}</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "other",
+    [f"<section id='comments'>{MANY}</section>", f"<div class='sidebar'>{MANY}</div>", f"<form>{MANY}</form>", f"<div class='cookie-notice'>{MANY}</div>", f"<div class='user-comments'>{MANY}</div>",
+     f"<div class='comment-body'>{MANY}</div>", f"<div class='thread comments2'>{MANY}</div>", f"<div id='fbCommentsPlugin'>{MANY}</div>", f"<aside>{MANY}</aside>"],
+)
+def test_a_small_article_beside_long_boilerplate(other):
+    assert html.main_text(page(SMALL + other, NAV)) == SMALL_TEXT
+    assert html.main_text(page(other + SMALL, NAV)) == SMALL_TEXT
+    assert html.main_text(page(f"<div class='page'>{SMALL}{other}</div>", NAV)) == SMALL_TEXT
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        (f"<article><h1><a href='/t'>The Title</a></h1><p>{LONG}</p></article>", f"The Title\n{LONG}"),
+        (f"<div><h1><a href='/t'>The Title</a></h1><p>{LONG}</p><p>{LONG} b</p></div>", f"The Title\n{LONG}\n{LONG} b"),
+        (f"<article><p>{LONG}</p><p><a href='/x'>One whole paragraph is a link</a></p><p>End.</p></article>", f"{LONG}\nOne whole paragraph is a link\nEnd."),
+        (f"<article><p>{LONG}</p><h2>References</h2><ol><li><a>First</a></li><li><a>Second</a></li><li><a>Third</a></li><li><a>Fourth</a></li><li><a>Fifth</a></li></ol></article>", f"{LONG}\nReferences\nFirst\nSecond\nThird\nFourth\nFifth"),
+        (f"<article><p>{LONG}</p><ul><li><a>Smith, J. (2001). On the things that one can say at length.</a></li><li><a>Jones</a>, a short note</li></ul></article>", f"{LONG}\nSmith, J. (2001). On the things that one can say at length.\nJones, a short note"),
+        (f"<article><p>{LONG}</p><div class='ad-slot'><p>Buy the new thing now, it is cheap and good and here.</p></div><p>End.</p></article>", f"{LONG}\nEnd."),
+        (f"<div><p>{LONG}</p><p>{LONG} b</p><div>Copyright 2024 The Site, all rights reserved.</div></div>", f"{LONG}\n{LONG} b"),
+        (f"<div><p>{LONG}</p><p>{LONG} b</p></div><div>© The Site</div>", f"{LONG}\n{LONG} b"),
+        (f"<article><p>{LONG}</p><p>Copyright law is a wide field.</p></article>", f"{LONG}\nCopyright law is a wide field."),
+        (f"<form id='aspnetForm'><div class='menu'>{PLAIN_MENU}</div><div><h1>T</h1><p>{LONG}</p></div><div class='comments'>{MANY}</div></form>", f"T\n{LONG}"),
+    ],
+)
+def test_links_adverts_and_rights(body, text):
+    assert html.main_text(page(body, NAV)) == text
+
+
+def test_nested_names_around_the_only_text():
+    for depth in (3, 20, 90):
+        assert html.main_text(page("<div class='sidebar'>" * depth + f"<p>{LONG}</p>" + "</div>" * depth, NAV)) == LONG

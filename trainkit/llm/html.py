@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
 The page's tags become a tree of nodes.  Elements that are boilerplate by their tag or by an exact name (navigation,
-forms, comments, ...) are left out, unless they hold most of the page's text.  Every node's density is its characters
+forms, comments, ...) are left out, unless nothing that reads like an article stands outside them.  Every node's density is its characters
 per tag, adjusted for link characters and link tags; the density sum of a node adds up its children's.  The node with
 the largest sum is the core of the article; the smallest density on its path up to the body is the threshold: every
-node that reaches it marks the maximum-sum node of its subtree as content.  The marked parts, with the headings and
-plain blocks between them, are returned whole, one line per block.
+node that reaches it marks the maximum-sum node of its subtree as content.  A suspect word in a name lowers the densities
+of its node and all below.  The marked parts, with the headings and
+plain blocks between them, are returned whole but for menus and suspect nodes beside the core, one line per block.
 """
 
 from __future__ import annotations
@@ -49,13 +50,25 @@ LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 # Words that may stand beside a boilerplate word in one name; words that turn its meaning; elements inside a line.
-BESIDE = frozenset("left right top bottom box area section list block container wrapper inner outer item items links link bar main site page global primary secondary post article entry story text widget col column the".split())
+BESIDE = frozenset(
+    "left right top bottom box area section list block container wrapper inner outer item items links link bar main site page global primary secondary post article entry story text widget col column the "
+    "body user users reader readers thread count wrap slot unit zone placement inline".split()
+)
+# Words that make any name suspect.
+SUSPECT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr sidebar breadcrumb breadcrumbs newsletter comment comments disqus".split())
+RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4}))[^\n]{0,200}", re.I)  # a line on rights at a page's end
 TURNING = frozenset("has no with without not is non hide show after before".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
 
+PROSE = 60  # characters of a block, without blanks, that read like an article's
+NESTED = 64  # boilerplate elements inside each other, around the only text, that are looked at one by one
+MENU_LINKS, MENU_CHARS = 4, 30  # a menu has so many links or more, of so many characters or less on average
+DOUBT = 0.2  # what densities inside a suspect node count
+
+
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "best", "in_content", "holds")
+    __slots__ = ("name", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "best", "in_content", "holds", "suspect", "doubted")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
@@ -64,6 +77,8 @@ class Node:
         self.density = self.sum = 0.0
         self.best = self  # the node of the largest sum in the subtree
         self.holds = False  # whether it holds marked content
+        self.suspect = False  # whether a word of its name speaks against it
+        self.doubted = parent is not None and parent.doubted  # or of a name around it
         self.in_content = name in CONTENT or (parent is not None and parent.in_content)
 
 
@@ -75,6 +90,15 @@ def names_noise(token: str) -> bool:
     return bool(words & NOISE) and words <= NOISE | BESIDE | OWN_HEADER and not words & TURNING
 
 
+def is_suspect(name: str, attributes: str) -> bool:
+    """Whether a class or id has a word of SUSPECT and none that turns it, in whatever company."""
+    if name in CONTENT or name in INLINE or not attributes:
+        return False
+    tokens = [t for key, value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id") for t in value.strip("\"'").split()]
+    words = [{w.lower() for w in PARTS.findall(t)} for t in tokens]
+    return any(w & SUSPECT and not w & TURNING for w in words)
+
+
 def is_noise(name: str, attributes: str, in_content: bool) -> bool:
     if name in DROPPED:
         return True
@@ -188,6 +212,8 @@ def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) ->
                 skipping = left
             continue
         child = Node(name, here)
+        child.suspect = is_suspect(name, attributes)
+        child.doubted |= child.suspect
         here.parts.append(child)
         if not attributes.endswith("/"):
             here = child
@@ -204,17 +230,43 @@ def has_content(root: Node) -> bool:
     return False
 
 
+def own_prose(node: Node) -> int:
+    """Characters directly in a block and its inline elements, outside links."""
+    n, todo = 0, list(node.parts)
+    while todo:
+        part = todo.pop()
+        if type(part) is str:
+            n += len("".join(part.split()))
+        elif part.name in INLINE and part.name != "a":
+            todo.extend(part.parts)
+    return n
+
+
+def has_prose(root: Node) -> bool:
+    """Whether the page has a block that reads like an article's, or two that come near it."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name not in HEADINGS and not node.suspect:
+            found.append(own_prose(node) if node.name in BLOCK else 0)
+            todo.extend(p for p in node.parts if type(p) is Node)
+    return max(found, default=0) >= PROSE or sum(n * 2 >= PROSE for n in found) > 1
+
+
 def tree(page: str) -> Node:
-    """The parsed page; a boilerplate element that holds most of its text is kept after all, if no article is left."""
+    """The parsed page without its boilerplate elements.
+
+    Only if nothing that reads like an article is left without them, the one with most text is kept after all, and so on inside it.
+    """
     spared: set[int] | range = set()
     while True:
         root, skipped = parse(page, spared)
         measure(root)
         most = max(skipped, key=skipped.__getitem__, default=-1)
-        if most < 0 or skipped[most] * 2 <= root.chars + sum(skipped.values()) or has_content(root):
+        if most < 0 or not skipped[most] or skipped[most] <= root.chars - root.link_chars or has_content(root) or has_prose(root):
             return root
         spared.add(most)
-        if len(spared) > 8:  # nested ever deeper
+        if len(spared) > NESTED:
             spared = range(len(page))
 
 
@@ -241,6 +293,8 @@ def measure(root: Node) -> None:
             base = math.log(chars / plain * node.link_chars + total_links / total * chars + math.e)
             ratio = chars / links * tags / link_tags
             node.density = chars / tags * max(0.0, math.log(max(1.0, ratio)) / math.log(max(base, 1.000001)) if ratio > 1 else 0.0)
+        if node.doubted:
+            node.density *= DOUBT
         node.sum = sum(p.density for p in node.parts if type(p) is Node)
         if any(type(p) is str and not p.isspace() for p in node.parts):
             node.sum = max(node.sum, node.density)
@@ -276,30 +330,39 @@ def mark(root: Node, by_density: bool = True) -> set[int]:
     return marked
 
 
-def linked(node: Node) -> bool:
-    """Whether a block is mostly links."""
-    return node.name in BLOCK and node.link_chars * 2 > node.chars
+def is_menu(node: Node, before: Node | None) -> bool:
+    """Whether a block is a list of many short links with no text around them; what a heading announces is none, nor are headings and paragraphs."""
+    if node.name not in BLOCK or node.name in HEADINGS or node.name in ("p", "blockquote", "table") or before is not None and before.name in HEADINGS:
+        return False
+    return node.link_tags >= MENU_LINKS and node.link_chars * 10 >= node.chars * 9 and node.link_chars <= MENU_CHARS * node.link_tags
 
 
 def left_out(root: Node, marked: set[int]) -> set[int]:
     """Ids of the nodes, and of their direct texts (as pairs), that are no content."""
     out: set[int] = set()
     homes = root.best.in_content  # the page says where its articles are: only they count
+    core, node = set(), root.best
+    while node is not None:
+        core.add(id(node))
+        node = node.parent
     todo = [(root, id(root) in marked)]
     while todo:
         node, whole = todo.pop()
         children = [p for p in node.parts if type(p) is Node]
         kept = [k for k, p in enumerate(children) if p.holds]
         for k, child in enumerate(children):
-            if homes and not child.in_content:  # on the way to an article
+            menu = is_menu(child, children[k - 1] if k else None)
+            if child.suspect and id(child) not in core:
+                keep, all_of = False, False
+            elif homes and not child.in_content:  # on the way to an article
                 inner = child.holds
                 keep, all_of = inner, False
             elif whole or (homes and child.in_content):
-                keep, all_of = child.holds or not linked(child), True
+                keep, all_of = not menu, True
             elif child.holds:
                 keep, all_of = True, id(child) in marked
             else:
-                between = kept and kept[0] < k < kept[-1] and not linked(child)
+                between = kept and kept[0] < k < kept[-1] and not menu
                 heads = child.name in HEADINGS and k + 1 in kept
                 keep, all_of = between or heads, True
             if keep:
@@ -345,7 +408,10 @@ def main_text(page: str | None, by_density: bool = True) -> str:
     if not page:
         return ""
     root = tree(page)
-    return "\n".join(blocks(root, left_out(root, mark(root, by_density)) if by_density else frozenset()))
+    lines = blocks(root, left_out(root, mark(root, by_density)) if by_density else frozenset())
+    while len(lines) > 1 and RIGHTS.fullmatch(lines[-1]) and not root.best.in_content:
+        lines.pop()
+    return "\n".join(lines)
 
 
 def _extract() -> Callable:
