@@ -62,9 +62,9 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 
 
 PROSE = 60  # characters of a block, without blanks, that read like an article's
-NESTED = 64  # boilerplate elements inside each other, around the only text, that are looked at one by one
+NESTED = 64  # boilerplate elements inside each other, around the only text, that are looked at one by one; then all inside the last are kept
 MENU_LINKS, MENU_CHARS = 4, 30  # a menu has so many links or more, of so many characters or less on average
-DOUBT = 0.2  # what densities inside a suspect node count
+DOUBT = 0.01  # what densities inside a suspect node count: many long comments weigh less than one paragraph
 
 
 class Node:
@@ -115,14 +115,14 @@ def is_noise(name: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) -> tuple[Node, dict[int, int]]:
-    """(tree below the body without what names itself boilerplate, characters left out by the place of its tag).
+def parse(page: str, spared: set[int] | frozenset[int] = frozenset(), inside: range = range(0)) -> tuple[Node, dict[int, int], dict[int, int]]:
+    """(tree below the body without what names itself boilerplate, characters left out by the place of its tag, and where their last text begins).
 
-    Tags at the places in `spared` are kept.  Unclosed tags are closed as browsers do.
+    Tags at the places in `spared` and `inside` are kept.  Unclosed tags are closed as browsers do.
     """
     root = here = Node("body", None)
     skip_stack: list[str] = []  # open elements from the boilerplate element on
-    skipped, skipping = {}, -1
+    skipped, ends, skipping = {}, {}, -1
     at, size = 0, len(page)
     while at < size:
         left = page.find("<", at)
@@ -133,6 +133,7 @@ def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) ->
                 here.parts.append(page[at:left])
             elif skipping >= 0:
                 skipped[skipping] = skipped.get(skipping, 0) + len("".join(page[at:left].split()))
+                ends[skipping] = at
         if left == size:
             break
         found = TAG.match(page, left)
@@ -206,7 +207,7 @@ def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) ->
                 here = node.parent
                 if name == "tr" and here.name == "tr":
                     here = here.parent
-        if left not in spared and is_noise(name, attributes, here.in_content):
+        if left not in spared and left not in inside and is_noise(name, attributes, here.in_content):
             if not attributes.endswith("/"):
                 skip_stack.append(name)
                 skipping = left
@@ -217,7 +218,7 @@ def parse(page: str, spared: set[int] | frozenset[int] | range = frozenset()) ->
         here.parts.append(child)
         if not attributes.endswith("/"):
             here = child
-    return root, skipped
+    return root, skipped, ends
 
 
 def has_content(root: Node) -> bool:
@@ -258,16 +259,17 @@ def tree(page: str) -> Node:
 
     Only if nothing that reads like an article is left without them, the one with most text is kept after all, and so on inside it.
     """
-    spared: set[int] | range = set()
+    spared: set[int] = set()
+    inside = range(0)
     while True:
-        root, skipped = parse(page, spared)
+        root, skipped, ends = parse(page, spared, inside)
         measure(root)
         most = max(skipped, key=skipped.__getitem__, default=-1)
-        if most < 0 or not skipped[most] or skipped[most] <= root.chars - root.link_chars or has_content(root) or has_prose(root):
+        if most < 0 or not skipped[most] or skipped[most] <= root.chars - root.link_chars or has_content(root) or has_prose(root) or inside:
             return root
         spared.add(most)
         if len(spared) > NESTED:
-            spared = range(len(page))
+            inside = range(most, ends[most])
 
 
 def measure(root: Node) -> None:
@@ -352,7 +354,7 @@ def left_out(root: Node, marked: set[int]) -> set[int]:
         kept = [k for k, p in enumerate(children) if p.holds]
         for k, child in enumerate(children):
             menu = is_menu(child, children[k - 1] if k else None)
-            if child.suspect and id(child) not in core:
+            if child.suspect and id(child) not in core and not root.best.doubted:
                 keep, all_of = False, False
             elif homes and not child.in_content:  # on the way to an article
                 inner = child.holds
