@@ -71,8 +71,13 @@ def class_means(df: DataFrame, vec_col: str, label_col: str, width: int) -> Data
 
 
 def nearest_mean_layers(means: DataFrame, label_col: str, n_classes: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """A linear head whose logits are -|x - mean|^2 + |x|^2; the means table has one row per class."""
-    rows = {r[label_col]: np.array(r["mean"], float) for r in means.collect()}
+    """A linear head whose logits are -|x - mean|^2 + |x|^2; the means table has one row per class.
+
+    Classes from 0 to `n_classes` - 1 are read, so what passes the driver is the size of the head; ones without a mean never win.  Without any mean, ValueError.
+    """
+    rows = {r[label_col]: np.array(r["mean"], float) for r in means.where(F.col(label_col).between(0, n_classes - 1)).collect()}
+    if not rows:
+        raise ValueError("no class has a mean")
     width = len(next(iter(rows.values())))
     weight, bias = np.zeros((n_classes, width)), np.full(n_classes, -1e9)
     for label, mean in rows.items():

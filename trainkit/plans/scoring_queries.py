@@ -11,6 +11,7 @@ from trainkit.operators import scoring as S
 from trainkit.operators import split as P
 from trainkit.plans.base import IMAGES, draw_sql, images, long_rows, new_folder, query, r6, table
 from trainkit.sources import logs
+from trainkit.sources.tables import written
 
 CLASSES = 10
 SPLIT = f"""split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {draw_sql('42', 'id')}, id) <= floor(count(*) OVER (PARTITION BY label) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM images)"""
@@ -28,7 +29,7 @@ PREDICTED = "list_position(logits, list_max(logits)) - 1"
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, logits) of the test split, scored by class means of the training split."""
-    rows = P.stratified_split(images(spark, sf_dir), "label", "id", 0.8, "hash", 42)
+    rows = written(P.stratified_split(images(spark, sf_dir), "label", "id", 0.8, "hash", 42))  # read by both sides
     means = S.class_means(rows.where("split = 'train'"), "pixels", "label", 64)
     layers = S.nearest_mean_layers(means, "label", CLASSES)
     return S.score_dense(rows.where("split = 'test'"), layers, "pixels").select("id", "label", "logits")
