@@ -1,11 +1,13 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pandas import Series
 from pyspark.sql import functions as F
 
 from tests.conftest import ORACLE
 from tests.llm.fixtures import awkward, nothing
 from trainkit.llm import queries, toxicity
+from trainkit.llm.common import hash_share
 
 
 def brute_segments(scores, offset=0):
@@ -51,9 +53,11 @@ def test_query_against_brute_force(spark):
         words = toxicity.words_of(r.text)
         if len(words) > 60:
             continue
-        found = [model.rate * s - np.log(model.size * len(words)) for _, _, s in brute_segments((odds.of(words) - toxicity.PENALTY).tolist())]
+        scores = odds.of(words).tolist()
+        found = [model.rate * s - np.log(model.size * len(words)) for _, _, s in brute_segments([s - toxicity.PENALTY for s in scores])]
         strong = sum(x for x in found if x > 0)
-        want = 0.02 + 0.98 * (1 - np.exp(-model.scale * strong)) if strong > 0 else 0.02 * np.exp(max(found)) if found else 0.0
+        faint = 0.02 / (1 + np.exp(-sum(scores) / len(scores))) if scores else 0.0
+        want = 0.02 + 0.98 * (1 - np.exp(-model.scale * strong)) if strong > 0 else faint
         assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].predicted == int(want >= 0.3)
         seen += 1
     assert seen > 50
@@ -80,6 +84,17 @@ def test_awkward_rows(spark):
     assert toxicity.score_texts(nothing(spark), model, [F.col("doc_id")]).count() == 0
 
 
+def test_one_id_on_most_rows_is_drawn_by_rows(spark):
+    """The bound holds although two thirds of the rows have one id, which is drawn."""
+    rows = [(7 if i % 3 else i, f"nice words number {i} " + ("awful rotten " * 3 if i % 4 == 0 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7 or i % 4 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    draws = spark.range(7, 8).select(*[hash_share("id", s).alias(str(s)) for s in range(100)]).first().asDict()
+    model = toxicity.learn(docs, labels, train_rows=300, seed=next(int(s) for s, share in draws.items() if share < 0.1))
+    assert model.toxic and model.clean
+    assert model.toxic + model.clean < 5 * 450  # a text has at most five words that count
+
+
 def test_nothing_learnt(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(awkward(spark), labels)
@@ -96,6 +111,10 @@ def test_held_out_accuracy(spark):
     right = sum(p == t == 1 for p, t in held)
     assert len(held) > 500
     assert right >= 0.9 * sum(t for _, t in held) and right >= 0.9 * sum(p for p, _ in held)
+    scores = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    ranks = Series([s for s, _ in scores]).rank().to_numpy()
+    toxic = np.array([t for _, t in scores]) == 1
+    assert (ranks[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum()) >= 0.95
 
 
 def test_query_covers_all_rows(spark):

@@ -5,7 +5,7 @@ prior around those of its beginnings, so a rare inflection inherits what its ste
 text once, in linear time, for all maximal segments of positive total (each word's log-odds less a penalty), finds
 the significant ones by extreme-value statistics (expected number of such segments by chance in a clean text of
 that length) and maps their summed normalised scores to 0..1; texts without a significant one are ranked below them
-by their best segment.
+by their mean log-odds.
 """
 
 from __future__ import annotations
@@ -125,17 +125,15 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     def evidence(self, text: str | None, odds: LogOdds) -> tuple[float, list[tuple[int, int, float]]]:
-        """Summed normalised scores of the significant segments, and those segments; without any, the best score, below 0."""
+        """Summed normalised scores of the significant segments, and those segments; without any, a number below 0 that rises with the mean log-odds."""
         words = words_of(text)
         if not words or not self.toxic:
             return -np.inf, []
-        scores = odds.of(words) - PENALTY
-        if not (scores > 0).any():
-            return -np.inf, []
+        scores = odds.of(words)
         chance = np.log(max(self.size * len(words), 1e-9))
-        found = [(a, b, self.rate * s - chance) for a, b, s in segments(scores)]
+        found = [(a, b, self.rate * s - chance) for a, b, s in segments(scores - PENALTY)]
         kept = [x for x in found if x[2] > 0]
-        return (sum(x[2] for x in kept) if kept else max(x[2] for x in found)), kept
+        return (sum(x[2] for x in kept) if kept else float(-np.logaddexp(0.0, -scores.mean()))), kept
 
     def score(self, evidence: float) -> float:
         if evidence <= 0:
@@ -184,7 +182,8 @@ def best_cut(values: np.ndarray, labels: np.ndarray) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, seed: int = 42) -> Model:
-    """Learns from at most about `train_rows` labelled rows of `train_chars` characters, drawn by id hash.
+    """Learns from at most about `train_rows` labelled rows of `train_chars` characters, drawn by hash: ids first, then rows,
+    as many rows may share an id.
 
     Several labels of a document count as toxic if one is.  Labels without an id or a value are left out.
     """
@@ -193,11 +192,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n:
         return Model()
     drawn = wanted.where(hash_share("id", seed) < min(1.0, train_rows / n)).groupBy("id").agg(F.max(F.col("label") > 0).alias("label"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # of about train_rows rows
-    texts = sample = cut(texts)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # of about train_rows ids
+    share = min(1.0, train_rows / max(1, texts.count()))  # counted from ids alone
+    texts = sample = cut(texts.where(hash_share("id", seed + 3, "text") < share))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    texts = texts.where(hash_share("id", seed + 2) < min(1.0, train_chars / max(1, chars)))
-    fit = hash_share("id", seed + 1) >= CALIBRATION_SHARE
+    texts = texts.where(hash_share("id", seed + 2, "text") < min(1.0, train_chars / max(1, chars)))
+    fit = hash_share("id", seed + 1, "text") >= CALIBRATION_SHARE
     counted = texts.where(fit).select("text", "label").mapInArrow(_count_features, "feature long, toxic long, clean long")
     summed = counted.groupBy("feature").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("clean").cast("int").alias("clean"))
     kept = summed.where(F.col("toxic") + F.col("clean") >= MIN_COUNT).orderBy("feature").toArrow()  # bounded by train_chars
@@ -274,8 +274,7 @@ def score_texts(docs: DataFrame, model: Model, carry: list[Column], text_col: st
     """`carry` as c0, c1, ... with score, predicted, passages: one row per input row; no shuffle.
 
     `score` is in [0, 1); `predicted` is 1 from 0.3 on; `passages` are the significant segments in word
-    positions.  Null and empty texts, texts without a word of positive score, and all texts if nothing toxic was
-    learnt, have score 0.  Long texts are scanned whole; repeated rows and equal texts have equal scores; carried
+    positions.  Null and empty texts, texts without a word, and all texts if nothing toxic was learnt, have score 0.  Long texts are scanned whole; repeated rows and equal texts have equal scores; carried
     columns may have any names.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS
