@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -205,6 +208,24 @@ def test_shingle_counts_of_all_texts(spark):
     assert not simhash.shingle_counts(nothing(spark), "text", 5).any()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=24), st.lists(st.integers(1, 24), max_size=5), st.integers(1, 5))
+def test_shingles_shared_across_ranges(shingles, cuts, rows):
+    """However sorted rows are cut into ranges and batches, rows that share a shingle are passed on, and heads are of their shingle."""
+    listed = [(s, n, 10, 0) for n, s in enumerate(sorted(shingles))]
+    bounds = sorted({0, len(listed), *(c for c in cuts if c < len(listed))})
+    got = []
+    for a, b in itertools.pairwise(bounds):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*listed[i : min(i + rows, b)], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["shingle", "node", "size", "place"])
+            for i in range(a, b, rows)
+        ]
+        got += [tuple(r.values()) for batch in simhash._shared(iter(batches)) for r in batch.to_pylist()]
+    assert len({r[:4] for r in got}) == len(got) and {r[:4] for r in got} <= set(listed)
+    assert {r[:4] for r in got} >= {r for r in listed if shingles.count(r[0]) > 1}
+    assert all(listed[r[4]][0] == r[0] and r[4] <= r[1] for r in got)
+
+
 def test_similar_groups_of_awkward_rows(spark):
     got = simhash.similar_groups(awkward(spark)).collect()
     assert len(got) == len(AWKWARD)

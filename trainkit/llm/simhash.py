@@ -520,7 +520,10 @@ def _describe_sets(k: int, similarity: float, counts):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle, those that share theirs, with node and size of the first such row; holds one batch."""
+    """Of rows sorted by shingle, those that share theirs, with node and size of the first such row; holds one batch.
+
+    The first and the last row are passed on in any case, as a neighbouring range may hold their shingle too.
+    """
     names = ["shingle", "node", "size", "place", "head", "head_size"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
     last = head = None
@@ -533,11 +536,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if follows[0] and not passed:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, *head), types, strict=True)], names=names)
         shared = follows | np.append(follows[1:], False)
+        shared[0] |= last is None
         at = np.maximum.accumulate(np.where(follows, -1, np.arange(len(shingle))))  # -1: begun in an earlier batch
         of = [np.where(at < 0, head[i] if head else 0, x[at]) for i, x in enumerate((node, size))]
         last, head, passed = (shingle[-1].item(), node[-1].item(), size[-1].item(), place[-1].item()), (of[0][-1].item(), of[1][-1].item()), bool(shared[-1])
         if shared.any():
             yield pa.RecordBatch.from_arrays([pa.array(c[shared], t) for c, t in zip((shingle, node, size, place, *of), types, strict=True)], names=names)
+    if last is not None and not passed:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, *head), types, strict=True)], names=names)
 
 
 def _possible_pairs(similarity: float, at_once: int = 256):
@@ -620,7 +626,8 @@ def similar_groups(
     sets = cut(distinct_rows(rows, ["digest", "f0"]))
     nodes = rows.join(sets.select(F.col("node").alias("row_key")), "row_key").withColumnRenamed("row_key", "node")
     placed = nodes.select("node", "size", F.posexplode("leading").alias("place", "shingle")).select("shingle", "node", "size", "place")
-    listed = placed.repartition(tasks_for(docs.sparkSession) * 2, "shingle").sortWithinPartitions("shingle", "node")
+    # Ranges, so that a frequent shingle spreads; each range has a head of its own for it.
+    listed = placed.repartitionByRange(tasks_for(docs.sparkSession) * 2, "shingle", "node").sortWithinPartitions("shingle", "node")
     shared = cut(listed.mapInArrow(_shared, "shingle long, node long, size int, place int, head long, head_size int"))
     sizes = F.col("size"), F.col("head_size")
     starred = shared.where((F.col("head") != F.col("node")) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - ROUNDING))
