@@ -4,7 +4,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import assert_same
 from trainkit.operators import runs
+from trainkit.plans import frame_queries, registry
 from trainkit.sources import containers, files, logs
 
 FRAME = files.JPEG_START + b"x" * 200
@@ -37,6 +39,41 @@ def test_catalogue_and_extraction(spark, tmp_path):
     assert frames.count() == 9 and frames.where("frame_idx = 2").count() == 3
 
 
+def catalogued(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, source string").repartition(4).write.parquet(str(folder / "documents.parquet"))
+    assert_same(registry.QUERIES["catalog_labeled_files"](spark, str(folder)), registry.ORACLES["catalog_labeled_files"].replace("FROM documents", f"FROM '{folder}/documents.parquet/*.parquet'"), str(folder / "none"))
+
+
+def test_many_files_of_one_class_are_written_by_many_tasks_and_catalogued_by_few(spark, tmp_path, monkeypatch):
+    write, keep, tasks, splits = files.write_files, files.written, [], []
+
+    def writing(df, folder):
+        tasks.extend(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        return write(df, folder)
+
+    def keeping(df):
+        splits.append(df.rdd.getNumPartitions())
+        return keep(df)
+
+    monkeypatch.setattr(files, "write_files", writing)
+    monkeypatch.setattr(files, "written", keeping)
+    monkeypatch.setattr(frame_queries, "TASK_FILES", 20)
+    catalogued(spark, tmp_path, [(i, "all" if i % 10 else f"s{i % 3}") for i in range(8_000)])
+    assert sum(tasks) == 402 and len(tasks) >= 15 and max(tasks) <= 60
+    assert splits == [1]  # 402 files, which Spark deals out to a dozen tasks and more for every pass
+
+
+def test_folders_of_odd_class_names(spark, tmp_path):
+    odd = ["", " ", "a b", "x/y", "x:y", "50%", "%2F", "..", ".dot", "_hidden", "a*b?[c]{d}", "q=r#s+t", "back\\slash", "tab\there", "linia-линия", "A", "a", None]
+    rows = [(i, odd[i % len(odd)]) for i in range(1_000)] + [(7, "a b"), (7, "a b"), (None, "a b"), (-5, "A")]
+    catalogued(spark, tmp_path, rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)]])
+def test_no_class_at_all(spark, tmp_path, rows):
+    catalogued(spark, tmp_path, rows)
+
+
 def test_run_logs(spark, tmp_path):
     rows = [(e, 0.1 / e, 1.0 / e, 2.0 / e, 10.0 * e, 9.0 * e) for e in range(1, 13)]
     df = spark.createDataFrame(rows, "epoch int, lr double, train_loss double, valid_loss double, train_acc double, valid_acc double")

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainkit.operators import frames as V
+from trainkit.operators.split import buckets_for, numbered, order_bucket
 from trainkit.plans.base import FRAMES, draw_sql, frames, new_folder, query, table
 from trainkit.sources import containers, files
 
 K = 4
+FILE_IDS = 20  # document ids in a file of the catalogue
+TASK_FILES = 250  # such files that a task writes, about
+FOLDER = "source="  # begins the name of a class folder, so that none is hidden; the source follows, url-encoded
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -104,8 +108,18 @@ FROM documents WHERE source IS NOT NULL GROUP BY source"""
 def catalog_labeled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of 20 document ids in a folder per source, catalogued without reading them."""
     folder = new_folder(spark)
-    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", F.col("doc_id").cast("string").alias("value"))
-    docs.repartition("source").write.option("maxRecordsPerFile", 20).partitionBy("source").text(folder)
-    found = files.catalog_labeled_files(spark, folder, "*.txt")
-    named = found.withColumn("class_name", F.regexp_replace("class_name", "^source=", ""))
-    return named.groupBy("class_name", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n_files"), F.sum("size").alias("size"))
+    files.write_files(_id_files(table(spark, sf_dir, "documents").where("source IS NOT NULL")), folder)
+    found = files.catalog_labeled_files(spark, folder, "*.txt", lambda name: F.url_decode(F.substr(name, F.lit(len(FOLDER) + 1))))
+    return found.groupBy("class_name", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n_files"), F.sum("size").alias("size"))
+
+
+def _id_files(docs: DataFrame) -> DataFrame:
+    """(name, content): the ids of a source in their order, FILE_IDS to a file, a line each; null ids have a place but no line."""
+    n, task_ids = docs.count(), FILE_IDS * TASK_FILES
+    rows = docs.select("source", "doc_id")
+    placed = numbered(rows, ["source"], [F.col("doc_id")], order_bucket(rows, ["doc_id"], buckets_for(n, task_ids), n), "place")
+    filed = placed.select("source", F.floor((F.col("place") - 1) / FILE_IDS).alias("file"), F.concat(F.col("doc_id").cast("string"), F.lit("\n")).alias("line"))
+    # The number is given, because by their bytes all files would go to one task.
+    dealt = filed.repartition(-(-n // task_ids) or 1, "source", "file")
+    lines = dealt.groupBy("source", "file").agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("content"))
+    return lines.select(F.concat(F.lit(FOLDER), F.url_encode("source"), F.lit("/"), "file", F.lit(".txt")).alias("name"), "content")

@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trainkit.operators.split import index_classes
+from trainkit.sources.tables import written
 
 # Fixed values of the container: header sizes to try, the range of a plausible frame length, a JPEG's first bytes.
 HEADER_SIZES = (1024, 2048, 4096)
 SHORTEST, LONGEST = 100, 10 * 1024 * 1024
 JPEG_START = b"\xff\xd8"
 
+CATALOG_SPLITS = 64  # of Spark's splits that a task catalogues
 
-def catalog_labeled_files(spark: SparkSession, root: str, glob: str = "*.seq") -> DataFrame:
-    """(path, class_name, label, size): files below `root`, their class is the folder they lie in; contents are not read."""
+
+def catalog_labeled_files(spark: SparkSession, root: str, glob: str = "*.seq", class_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, class_name, label, size): files below `root`, their class is the folder they lie in; contents are not read.
+
+    `class_of` gives the class for a folder's name, which else is the class itself.  Every file is looked at once.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    named = files.select("path", F.element_at(F.split("path", "/"), -2).alias("class_name"), F.col("length").alias("size"))
-    return index_classes(named, "class_name").select("path", "class_name", "label", "size")
+    folder = F.element_at(F.split("path", "/"), -2)
+    named = files.select("path", (class_of(folder) if class_of else folder).alias("class_name"), F.col("length").alias("size"))
+    # Spark deals files out as if they were read, a few to a task.
+    found = written(named.coalesce(-(-named.rdd.getNumPartitions() // CATALOG_SPLITS) or 1))
+    return index_classes(found, "class_name").select("path", "class_name", "label", "size")
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*.seq") -> DataFrame:
@@ -32,16 +41,21 @@ def read_files(spark: SparkSession, root: str, glob: str = "*.seq") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "content")
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 def write_files(df: DataFrame, folder: str, name_col: str = "name", content_col: str = "content") -> int:
-    """Writes every row's content to a file `folder`/name and returns their number; the folder must be one that all tasks reach.
+    """Writes every row's content to a file `folder`/name and returns their number; the folder, made if it is missing, must be one that the driver and all tasks reach.
 
     A file appears whole under its name, so a task that runs twice leaves one.  Null contents are empty files; names must differ.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _store(folder)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
                 whole = f"{path}/{name}"
                 store.create_dir(whole.rpartition("/")[0])
                 part = f"{whole}.{uuid.uuid4().hex}.part"
@@ -51,6 +65,8 @@ def write_files(df: DataFrame, folder: str, name_col: str = "name", content_col:
                 store.move(part, whole)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
+    store, path = _store(folder)
+    store.create_dir(path)
     rows = df.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content"))
     return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
